@@ -1,0 +1 @@
+"""Place for Structured Streaming queries; there are none yet."""
