@@ -1,5 +1,6 @@
 """Reusable DataFrame-to-DataFrame steps."""
 
+from tarnwell.operators.joins import fits_broadcast, join_for_totals
 from tarnwell.operators.totals import totals_by
 
-__all__ = ["totals_by"]
+__all__ = ["fits_broadcast", "join_for_totals", "totals_by"]

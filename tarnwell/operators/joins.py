@@ -1,0 +1,34 @@
+"""Joins that feed a sum."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tarnwell.operators.totals import totals_by
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Catalyst's size estimate is within the session's broadcast threshold."""
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return estimate <= limit
+
+
+def join_for_totals(
+    facts: DataFrame, side: DataFrame, fact_key: str, side_key: str, **measures: Column
+) -> DataFrame:
+    """Inner-join ``facts`` to ``side`` where only sums of ``measures`` matter afterwards.
+
+    When ``side`` fits a broadcast the facts stay where they are, and the measures are
+    worked out for the rows that match. Otherwise both sides are shuffled, and the
+    facts are summed per key first.
+    """
+    matches = F.col(fact_key) == F.col(side_key)
+    if fits_broadcast(side):
+        return facts.join(side, matches).select(*side.columns, *named(measures))
+    return totals_by(facts, fact_key, **measures).join(side, matches)
+
+
+def named(measures: dict[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in measures.items()]

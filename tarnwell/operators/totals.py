@@ -1,17 +1,16 @@
-"""Sums taken ahead of a join."""
+"""Sums per key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def totals_by(df: DataFrame, key: str, *measures: str) -> DataFrame:
-    """Sum ``measures`` per ``key``, keeping the column names.
+def totals_by(df: DataFrame, key: str, **measures: Column) -> DataFrame:
+    """Sum each measure per ``key`` under the measure's name.
 
-    Use it just before an equi-join on ``key`` when only sums are needed after
-    the join. The map-side half sends each task's share of a key as one row, so
-    a key that holds much of the data cannot overload a join task, and the join
-    takes over the partitioning the aggregation leaves behind.
+    Ahead of a shuffled join on ``key``, the map-side half sends each task's share
+    of a key as one row, so a key that holds much of the data cannot overload a join
+    task, and the join takes over the partitioning the aggregation leaves behind.
     """
-    return df.groupBy(key).agg(*(F.sum(m).alias(m) for m in measures))
+    return df.groupBy(key).agg(*(F.sum(m).alias(name) for name, m in measures.items()))

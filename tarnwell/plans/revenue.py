@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.functions import discounted_price
-from tarnwell.operators import totals_by
+from tarnwell.operators import join_for_totals, totals_by
 from tarnwell.sources import read_table
 
 
@@ -20,11 +20,7 @@ def revenue_by_nation(
 
     Counts the lines of orders dated from ``start`` up to, not including, ``end``.
     """
-    lines = read_table(spark, directory, "lineitem").select(
-        "l_orderkey",
-        F.lit(1).cast("bigint").alias("line_count"),
-        discounted_price(F.col("l_extendedprice"), F.col("l_discount")).alias("revenue"),
-    )
+    lines = read_table(spark, directory, "lineitem")
     orders = (
         read_table(spark, directory, "orders")
         .filter(
@@ -36,16 +32,16 @@ def revenue_by_nation(
     customers = read_table(spark, directory, "customer").select("c_custkey", "c_nationkey")
     nations = read_table(spark, directory, "nation").select("n_nationkey", "n_name")
 
-    # No broadcast hints: Catalyst and AQE broadcast a side only when its size is
-    # under the session's threshold, and shuffle it otherwise.
-    per_order = totals_by(lines, "l_orderkey", "line_count", "revenue")
-    ordered = per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    per_customer = totals_by(ordered, "o_custkey", "line_count", "revenue")
-    placed = per_customer.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    per_nation = totals_by(placed, "c_nationkey", "line_count", "revenue")
-    named = per_nation.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    per_line = {
+        "line_count": F.lit(1).cast("bigint"),
+        "revenue": discounted_price(F.col("l_extendedprice"), F.col("l_discount")),
+    }
+    summed = {name: F.col(name) for name in per_line}
+    ordered = join_for_totals(lines, orders, "l_orderkey", "o_orderkey", **per_line)
+    placed = join_for_totals(ordered, customers, "o_custkey", "c_custkey", **summed)
+    named = join_for_totals(placed, nations, "c_nationkey", "n_nationkey", **summed)
     return (
-        totals_by(named, "n_name", "line_count", "revenue")
+        totals_by(named, "n_name", **summed)
         .select(
             F.col("n_name").alias("nation_name"),
             "line_count",

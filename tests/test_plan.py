@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from tarnwell.operators import fits_broadcast
 from tarnwell.plans import revenue_by_nation
 
 SF = "/root/testdata/sf0.01"
@@ -63,8 +64,23 @@ def test_totals_are_started_before_each_shuffle(shuffled_plan):
         assert len(re.findall(partial, shuffled_plan)) == 1
 
 
-def test_small_sides_are_broadcast(spark):
-    assert plan_of(revenue_by_nation(spark, SF)).count("BroadcastHashJoin Inner") == 3
+def test_small_sides_are_broadcast_and_lines_stay_in_place(spark):
+    plan = plan_of(revenue_by_nation(spark, SF))
+    assert plan.count("BroadcastHashJoin Inner") == 3
+    assert re.findall(r"hashpartitioning\((\w+)#", plan) == ["n_name"]
+
+
+def test_each_side_is_sized_on_its_own(spark, settings):
+    """As on large tables: only the nations are small enough to broadcast."""
+    nations = spark.read.parquet(f"{SF}/nation.parquet")
+    customers = spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey", "c_nationkey")
+    settings("spark.sql.autoBroadcastJoinThreshold", "4KB")
+    assert fits_broadcast(nations)
+    assert not fits_broadcast(customers)
+    plan = plan_of(revenue_by_nation(spark, SF))
+    assert plan.count("BroadcastHashJoin Inner") == 1
+    shuffles = re.findall(r"hashpartitioning\((\w+)#", plan)
+    assert sorted(shuffles) == ["c_custkey", "l_orderkey", "n_name", "o_custkey", "o_orderkey"]
 
 
 def test_a_hot_order_is_shuffled_once_per_task(spark, settings, tmp_path):

@@ -20,6 +20,10 @@ SCHEMAS = {
 START, END = datetime(1996, 1, 1), datetime(1997, 1, 1)
 INSIDE = datetime(1996, 6, 1)
 
+both_ways = pytest.mark.parametrize(
+    "threshold", ["10MB", "-1"], ids=["broadcast", "shuffled"]
+)
+
 
 def write(spark, path, **tables):
     for name, schema in SCHEMAS.items():
@@ -83,7 +87,7 @@ def random_tables(seed: int):
     }
 
 
-@pytest.mark.parametrize("threshold", ["10485760", "-1"], ids=["broadcast", "shuffled"])
+@both_ways
 @pytest.mark.parametrize("seed", range(4))
 def test_equals_brute_force(spark, settings, tmp_path, seed, threshold):
     settings("spark.sql.autoBroadcastJoinThreshold", threshold)
@@ -93,7 +97,7 @@ def test_equals_brute_force(spark, settings, tmp_path, seed, threshold):
     assert rows_of(revenue_by_nation(spark, write(spark, tmp_path, **tables))) == expected
 
 
-@pytest.mark.parametrize("threshold", ["10485760", "-1"], ids=["broadcast", "shuffled"])
+@both_ways
 def test_one_order_customer_and_nation_hold_most_rows(spark, settings, tmp_path, threshold):
     settings("spark.sql.autoBroadcastJoinThreshold", threshold)
     rng = random.Random(11)
