@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwell.llm import language_id, toxicity
+from tarnwell.llm import language_id, token_store, toxicity
 from tarnwell.llm.license_scan import scan_licenses
+from tarnwell.llm.packing import pack
 from tarnwell.llm.secret_scan import scan_secrets
 from tarnwell.sources import read_table
 
@@ -24,6 +26,21 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op8_token_store(
+    spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None
+) -> DataFrame:
+    index = token_store.write_store(
+        read_table(spark, sf_dir, "documents"),
+        tokenizer_path or public_tokenizers.path("word_bpe_49k.json"),
+        token_store.new_store_folder(spark),
+    )
+    return token_store.read_store(index)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -32,6 +49,8 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
+    "op8_token_store": op8_token_store,
+    "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
 }
 
