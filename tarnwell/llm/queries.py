@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarnwell.llm import language_id, token_store, toxicity
+from tarnwell.llm.decontamination import find_overlaps
 from tarnwell.llm.license_scan import scan_licenses
 from tarnwell.llm.packing import pack
 from tarnwell.llm.secret_scan import scan_secrets
+from tarnwell.llm.voronoi_topk import top_k
 from tarnwell.sources import read_table
 
 
@@ -26,6 +29,16 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_overlaps(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    ).drop("text_key")
+
+
+def op5_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_token_store(
     spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None
 ) -> DataFrame:
@@ -49,6 +62,8 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
+    "op4_decontamination": op4_decontamination,
+    "op5_voronoi_topk": op5_voronoi_topk,
     "op8_token_store": op8_token_store,
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
