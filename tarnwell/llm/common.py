@@ -51,3 +51,25 @@ def hash_sample(df: DataFrame, id_column: str, most: int, seed: int) -> DataFram
     buckets = 1 << 30
     cut = int(most / total * buckets)
     return df.filter(F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(buckets)) < cut)
+
+
+def bitmap(df: DataFrame, column: str, bits: int) -> DataFrame:
+    """One row with one array of ``bits`` bits, those set that values of ``column`` map to.
+
+    For use as ``bitmap(...).scalar()``: a sieve of fixed size that lets through every
+    value of the column and few others, ahead of a join on the whole value.
+    """
+    bit = F.pmod(F.col(column), F.lit(bits))
+    words = (
+        df.select(F.floor(bit / 64).alias("word"), (bit % 64).cast("int").alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    )
+    every = df.sparkSession.range(bits // 64).withColumnRenamed("id", "word")
+    pairs = F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits"))))
+    return every.join(words, "word", "left").agg(F.transform(pairs, lambda p: p["bits"]).alias("bitmap"))
+
+
+def is_set(bitmap: Column, value: Column, bits: int) -> Column:
+    bit = F.pmod(value, F.lit(bits))
+    return F.getbit(F.get(bitmap, F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1

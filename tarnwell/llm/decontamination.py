@@ -16,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import settle
+from tarnwell.llm.common import bitmap, is_set, settle
 
 MASKS = [(0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8)]
 WINDOW, SAME = 13, 11  # 0.8 of the window, rounded up
-BITS = 1 << 22
+BITS = 1 << 22  # of the bitmap
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -56,29 +56,6 @@ def benchmark_seeds(items: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame
     ).select("item_id", "size", "place", "item_around", "item_at", "s.mask", "s.seed").filter("seed IS NOT NULL")
 
 
-def bit_of(value: Column) -> Column:
-    return F.pmod(value, F.lit(BITS))
-
-
-def bitmap(seeds: DataFrame) -> DataFrame:
-    """One row with one array of ``BITS`` bits, set for each seed."""
-    words = (
-        seeds.select(bit_of(F.col("seed")).alias("bit"))
-        .select(F.floor(F.col("bit") / 64).alias("word"), (F.col("bit") % 64).cast("int").alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    )
-    every = seeds.sparkSession.range(BITS // 64).withColumnRenamed("id", "word")
-    pairs = F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits"))))
-    return every.join(words, "word", "left").agg(F.transform(pairs, lambda p: p["bits"]).alias("bitmap"))
-
-
-def is_set(bits: Column, value: Column) -> Column:
-    bit = bit_of(value)
-    word = F.get(bits, F.floor(bit / 64).cast("int"))
-    return F.getbit(word, (bit % 64).cast("int")) == 1
-
-
 def equal_words() -> Column:
     """Most equal words of a window that holds the hit, over all ways to lay the window."""
     reach = WINDOW - F.col("span")
@@ -125,7 +102,7 @@ def find_overlaps(
     short = sorted(r["size"] for r in hashed.filter(F.col("size") < WINDOW).select("size").distinct().collect())
     masks = MASKS + [tuple(range(size)) for size in short]
     seeds = settle(benchmark_seeds(hashed, masks), "benchmark-seeds")
-    bits = bitmap(seeds).scalar()
+    bits = bitmap(seeds, "seed", BITS).scalar()
     at = F.col("at")
     rows = docs.select(
         F.col(id_column).alias("doc_id"),
@@ -133,7 +110,7 @@ def find_overlaps(
         word_hashes(F.col(text_column)).alias("doc_hashes"),
     ).select("doc_id", "text_key", "doc_hashes", F.posexplode("doc_hashes").alias("at", "_"))
     values = [seed(F.col("doc_hashes"), at, mask, number) for number, mask in enumerate(masks)]
-    likely = rows.filter(any_of([is_set(bits, value) for value in values]))
+    likely = rows.filter(any_of([is_set(bits, value, BITS) for value in values]))
     first = F.greatest(at - WINDOW, F.lit(0))
     around = F.slice("doc_hashes", first + 1, at + 2 * WINDOW - first)
     found = likely.select(
