@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import language_id, token_store, toxicity
+from tarnwell.llm import language_id, ppm, token_store, toxicity
 from tarnwell.llm.decontamination import find_overlaps
 from tarnwell.llm.jaccard_join import link
 from tarnwell.llm.license_scan import scan_licenses
@@ -40,6 +40,10 @@ def op5_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(read_table(spark, sf_dir, "documents")).drop("first_of_component", "text_key")
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
     "op5_voronoi_topk": op5_voronoi_topk,
+    "op6_ppm_scoring": op6_ppm_scoring,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_token_store": op8_token_store,
     "op9_packing": op9_packing,
