@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "jwt", "der_key", "ssh_key")
 #: The base patterns, and what must follow for a match to count.
@@ -196,3 +197,32 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return docs.selectExpr(
         f"CAST(`{id_column}` AS bigint) AS doc_id", f"CAST(`{text_column}` AS string) AS text"
     ).mapInPandas(scan, SCHEMA)
+
+
+def blanked(text: str) -> str:
+    """The text with each span, or run of overlapping ones, replaced by ``[kind]`` of its first."""
+    out, at = [], 0
+    for kind, start, end in sorted(
+        base_spans(text) + confirmed_spans(text), key=lambda s: (s[1], KINDS.index(s[0]))
+    ):
+        if start >= at:
+            out += [text[at:start], f"[{kind}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def blank_secrets(docs: DataFrame, text_column: str = "text", length_column: str | None = None) -> DataFrame:
+    """``docs`` with every span of each text replaced; all other columns stay.
+
+    ``length_column`` is set to the new number of characters. Null texts stay null.
+    """
+
+    @F.pandas_udf("string")
+    def blank(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: text if text is None else blanked(text))
+
+    result = docs.withColumn(text_column, blank(F.col(text_column)))
+    if length_column:
+        length = F.length(text_column).cast(docs.schema[length_column].dataType)
+        result = result.withColumn(length_column, length)
+    return result
