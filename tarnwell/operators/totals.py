@@ -7,10 +7,5 @@ from pyspark.sql import functions as F
 
 
 def totals_by(df: DataFrame, key: str, **measures: Column) -> DataFrame:
-    """Sum each measure per ``key`` under the measure's name.
-
-    Ahead of a shuffled join on ``key``, the map-side half sends each task's share
-    of a key as one row, so a key that holds much of the data cannot overload a join
-    task, and the join takes over the partitioning the aggregation leaves behind.
-    """
+    """Sum each measure per ``key`` under the measure's name."""
     return df.groupBy(key).agg(*(F.sum(m).alias(name) for name, m in measures.items()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from decimal import Decimal
 from pathlib import Path
 
@@ -23,8 +24,14 @@ def duckdb_rows(sf_dir: Path, sql: str):
     return columns, result.fetchall()
 
 
-def test_every_oracle_has_a_query():
-    assert queries()
+#: Queries for training data have tests of their own, beside brute force where SQL can't express them.
+OWN = [name for name in queries() if not re.match(r"op\d+_|pipeline$", name)]
+SPARK_TYPES = {"VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double"}
+
+
+def test_every_query_has_an_oracle_and_every_oracle_a_query():
+    assert OWN
+    assert set(OWN) == set(oracle_sql()) & set(OWN)
     assert set(oracle_sql()) <= set(queries())
 
 
@@ -38,12 +45,14 @@ def test_entry_has_rows_and_a_stable_schema(spark):
 
 
 @pytest.mark.parametrize("scale", SCALES)
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", OWN)
 def test_query_equals_duckdb(spark, name, scale):
     columns, expected = duckdb_rows(DATA / scale, oracle_sql()[name])
     actual = queries()[name](spark, str(DATA / scale))
     assert actual.columns == [column for column, _ in columns]
-    assert [kind for _, kind in columns] == ["VARCHAR", "BIGINT", "DECIMAL(27,4)"]
+    assert [kind for _, kind in actual.dtypes] == [
+        SPARK_TYPES.get(kind, kind.lower()) for _, kind in columns
+    ]
     assert [tuple(row) for row in actual.collect()] == expected
 
 

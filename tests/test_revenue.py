@@ -7,8 +7,11 @@ from collections import defaultdict
 from datetime import datetime
 from decimal import ROUND_HALF_UP, Decimal
 
+import duckdb
 import pytest
+from pyspark.errors import ArithmeticException
 
+from __spark_entry__ import oracle_sql
 from tarnwell.plans import revenue_by_nation
 
 SCHEMAS = {
@@ -114,6 +117,46 @@ def test_one_order_customer_and_nation_hold_most_rows(spark, settings, tmp_path,
     assert rows_of(revenue_by_nation(spark, path)) == brute_force(**tables)
 
 
+BAD = {"price": (2e10, 0.0), "discount": (1.0, 25.0)}
+
+
+def with_bad_line(place: str, bad: tuple[float, float]) -> dict:
+    """One good line of 10, and one whose measures don't fit their decimals."""
+    orders = [(0, 0, INSIDE), (1, 0, START if place == "counted" else END), (2, 99, INSIDE)]
+    order_of = {"outside the range": 1, "without an order": 50, "without a customer": 2, "counted": 1}
+    return {
+        "nation": [(0, "A")],
+        "customer": [(0, 0)],
+        "orders": orders,
+        "lineitem": [(0, 10.0, 0.0), (order_of[place], *bad)],
+    }
+
+
+@both_ways
+@pytest.mark.parametrize("kind", sorted(BAD))
+@pytest.mark.parametrize("place", ["outside the range", "without an order", "without a customer"])
+def test_lines_that_are_not_counted_cannot_fail(spark, settings, tmp_path, threshold, kind, place):
+    settings("spark.sql.autoBroadcastJoinThreshold", threshold)
+    path = write(spark, tmp_path, **with_bad_line(place, BAD[kind]))
+    expected = [("A", 1, Decimal("10.0000"))]
+    assert rows_of(revenue_by_nation(spark, path)) == expected
+    con = duckdb.connect()
+    for table in SCHEMAS:
+        con.execute(
+            f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}/{table}.parquet/*.parquet')"
+        )
+    assert con.execute(oracle_sql()["revenue_by_nation"]).fetchall() == expected
+
+
+@both_ways
+@pytest.mark.parametrize("kind", sorted(BAD))
+def test_a_counted_line_that_does_not_fit_fails(spark, settings, tmp_path, threshold, kind):
+    settings("spark.sql.autoBroadcastJoinThreshold", threshold)
+    path = write(spark, tmp_path, **with_bad_line("counted", BAD[kind]))
+    with pytest.raises(ArithmeticException):
+        rows_of(revenue_by_nation(spark, path))
+
+
 def test_start_is_included_and_end_is_not(spark, tmp_path):
     dates = [START, datetime(1996, 12, 31, 23, 59, 59, 999999), END, datetime(1995, 12, 31, 23, 59, 59)]
     path = write(
