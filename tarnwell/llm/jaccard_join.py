@@ -35,8 +35,8 @@ MOST_SMALL = 24  # the boundary between small and large sets is looked for up to
 SCAN = 8  # cost of one inverted list against one subset
 LONG_LIST = 64
 BLOCK = 256
-COMMON = 200_000  # frequent elements whose counts go into the order
-CHUNK = 4_000_000  # elements counted together within a task
+COMMON = 100_000  # frequent elements whose counts go into the order
+CHUNK = 1_000_000  # elements counted together within a task
 BITS = 1 << 24  # of the bitmaps that thin out joins
 COLUMNS = 8192  # elements compared at once within a block
 
@@ -123,7 +123,7 @@ def count_common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def counted() -> pd.DataFrame:
         values, counts = np.unique(np.concatenate(elements), return_counts=True)
-        keep = counts > 2
+        keep = counts > 1
         return pd.DataFrame({"kind": 0, "key": values[keep].view(np.int64), "n": counts[keep]})
 
     for batch in batches:
@@ -176,6 +176,7 @@ def linked_in_block(percent: int):
     """Compares two blocks of sets; gives links for a forest and what they add up to."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("cid")
         i, j = rows["i"].iloc[0], rows["j"].iloc[0]
         left, right = rows[rows["block"] == i], rows[rows["block"] == j]
         shared = shared_counts(left["tokens"].tolist(), right["tokens"].tolist())
@@ -301,8 +302,16 @@ def link(
         ),
         "classes",
     )
-    ids = classes.select("cid")
-    lists = rows.select("row", "size", "keys").filter("keys IS NOT NULL").join(ids, F.col("row") == F.col("cid"), "left_semi")
+    # Tasks give keys to the first set of each kind they meet; of those, all but the class's first go.
+    again = settle(
+        rows.filter("keys IS NOT NULL")
+        .select("row", "name")
+        .join(classes.filter("weight > 1").select("name", "cid"), "name")
+        .filter("row <> cid")
+        .select("row"),
+        "again",
+    )
+    lists = rows.select("row", "size", "keys").filter("keys IS NOT NULL").join(again, "row", "left_anti")
     entries = lists.select(F.col("row").alias("cid"), "size", F.explode("keys").alias("key"))
     lengths = settle(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
     kept = entries.filter(is_set(bitmap(lengths, "key", BITS).scalar(), F.col("key"), BITS))
@@ -366,7 +375,10 @@ def meeting_often(entries: DataFrame, clusters: DataFrame | None, small: int, pe
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets of the classes in ``wanted``, made again from one text of each."""
+    """The sets of the classes in ``wanted``, made again from one text of each.
+
+    Where rows repeat an id and its text, the set is there as often.
+    """
     wanted = settle(
         wanted.select(
             "cid", "size", "weight", F.col("at.doc_id").alias("at_id"), F.col("at.text_key").alias("text_key")
@@ -386,7 +398,7 @@ def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             yield batch.drop(columns="text").assign(tokens=tokens)
 
     made = found.mapInPandas(make, "cid bigint, size int, weight bigint, tokens array<bigint>")
-    return settle(made.dropDuplicates(["cid"]), "tokens")
+    return settle(made, "tokens")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -399,6 +411,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .join(right, "b")
         .filter(shared * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent)
         .select("a", "b", "a_weight", "b_weight")
+        .distinct()
     )
     both = F.array(
         F.struct(F.col("a"), F.col("b"), F.col("b_weight").alias("links")),
