@@ -80,5 +80,63 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-#: SQL for DuckDB, for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+#: SQL for DuckDB, for the queries that SQL can express whole: plain nested comparisons.
+ORACLES = {
+    "op5_voronoi_topk": """
+        WITH whole AS (
+            SELECT vec_id,
+                   list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, d.vec_id,
+                   CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
+            FROM whole q JOIN whole d ON q.vec_id <> d.vec_id
+            WHERE q.vec_id % 100 = 0
+        ),
+        ranked AS (
+            SELECT query_id, vec_id, score,
+                   CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+    "op7_jaccard_join": """
+        WITH RECURSIVE split AS (
+            SELECT doc_id,
+                   regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ),
+        shingles AS (
+            SELECT DISTINCT doc_id, s FROM (
+                SELECT doc_id,
+                       unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1),
+                                             lambda i: array_to_string(w[i:i + 3], ' '))) AS s
+                FROM split WHERE len(w) > 0
+            )
+        ),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        linked AS (
+            SELECT a.doc_id AS x, b.doc_id AS y
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+            JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, p.n, q.n
+            HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))
+        ),
+        reached AS (
+            SELECT x, y FROM linked
+            UNION
+            SELECT r.x, l.y FROM reached r JOIN linked l ON r.y = l.x
+        )
+        SELECT d.doc_id,
+               coalesce(max(n), 0) AS n_shingles,
+               least(d.doc_id, (SELECT min(y) FROM reached r WHERE r.x = d.doc_id)) AS component_id,
+               (SELECT count(*) FROM linked l WHERE l.x = d.doc_id) AS links
+        FROM documents d LEFT JOIN sizes USING (doc_id)
+        GROUP BY d.doc_id
+    """,
+}
