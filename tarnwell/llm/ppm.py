@@ -26,12 +26,13 @@ from tarnwell.llm.common import fold, settle
 
 ORDER = 4  # bytes of the longest context
 END = 0xFF  # never in UTF-8: ends a text, and stands before it
-BLOCK_BYTES = 32 << 20
-PART_BYTES = 2 << 20  # worked on at once within a block
+BLOCK_BYTES = 24 << 20
+PART_BYTES = 1 << 20  # worked on at once within a block
 HELD = 2_000_000  # distinct entries a task gathers before it hands them on
 
 WORD, ENTRY, CONTEXT = 0, 1, 16  # kinds of keys; + length of the context
 END_WORD = 0  # key of the end token
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_keys(text: str | None) -> np.ndarray:
@@ -160,19 +161,48 @@ def keys_of_block(rows: pd.DataFrame) -> pd.DataFrame:
     ).assign(block=rows["block"].iloc[0])[["block", "kind", "key"]]
 
 
-class Lookup:
-    """Numbers by key; zero for keys that training hasn't seen."""
+class Slots:
+    """Places of distinct keys, found through a table of slots; -1 for other keys."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.shift, self.mask = keys, np.uint64(64 - bits), (1 << bits) - 1
+        self.table = np.full(1 << bits, -1, dtype=np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self.slot_of(keys)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]
+            behind = self.table[slot] != left
+            left, slot = left[behind], (slot[behind] + 1) & self.mask
 
-    def __init__(self, rows: pd.DataFrame):
-        rows = rows.sort_values("key")
-        self.keys = rows["key"].to_numpy()
-        self.values = rows[["x", "y", "z"]].to_numpy(dtype=np.float64)
+    def slot_of(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * SPREAD) >> self.shift).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
-            return np.zeros((len(keys), 3))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where((self.keys[at] == keys)[:, None], self.values[at], 0.0)
+            return np.full(len(keys), -1, dtype=np.int32)
+        slot = self.slot_of(keys)
+        at = self.table[slot]
+        left = np.flatnonzero((at >= 0) & (self.keys[at] != keys))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & self.mask
+            at[left] = self.table[slot]
+            wrong = (at[left] >= 0) & (self.keys[at[left]] != keys[left])
+            left, slot = left[wrong], slot[wrong]
+        return at
+
+
+class Lookup:
+    """Numbers by key; zero for keys that training hasn't seen."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        self.slots = Slots(np.ascontiguousarray(keys))
+        self.values = [np.append(v.astype(np.float64), 0.0) for v in values]  # place -1: zero
+
+    def __call__(self, keys: np.ndarray) -> list[np.ndarray]:
+        at = self.slots(keys)
+        return [v[at] for v in self.values]
 
 
 def log_probabilities(codes: np.ndarray, stats: dict[int, Lookup]) -> np.ndarray:
@@ -183,8 +213,8 @@ def log_probabilities(codes: np.ndarray, stats: dict[int, Lookup]) -> np.ndarray
     with np.errstate(divide="ignore", invalid="ignore"):
         for k in range(ORDER, -1, -1):
             entry = codes & ((1 << 8 * (k + 1)) - 1)
-            count = stats[ENTRY + k](entry)[:, 0]
-            seen, different, below = stats[CONTEXT + k](entry >> 8).T
+            (count,) = stats[ENTRY + k](entry)
+            seen, different, below = stats[CONTEXT + k](entry >> 8)
             escape = different - kinds
             whole = seen - mass + escape
             here = open_ & (count > 0)
@@ -198,18 +228,21 @@ def log_probabilities(codes: np.ndarray, stats: dict[int, Lookup]) -> np.ndarray
 
 
 def score_block(rows: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
-    by_kind = dict(tuple(stats.groupby("kind")))
-    none = stats.iloc[:0]
-    tables = {k: Lookup(by_kind.get(k, none)) for k in (WORD, *(x + k for x in (ENTRY, CONTEXT) for k in range(ORDER + 1)))}
+    kinds, keys = stats["kind"].to_numpy(), stats["key"].to_numpy()
+    numbers = [stats[name].to_numpy() for name in "xyz"]
+    tables = {}
+    for kind in (WORD, *range(ENTRY, ENTRY + ORDER + 1), *range(CONTEXT, CONTEXT + ORDER + 1)):
+        of = kinds == kind
+        tables[kind] = Lookup(keys[of], *(n[of] for n in numbers[: 3 if kind >= CONTEXT else 1]))
     texts, out = rows["text"].tolist(), []
     codes = np.unique(np.concatenate([np.unique(windows(raw)) for _, raw in parts(texts)] or [np.zeros(0, np.int64)]))
-    logs = log_probabilities(codes, tables)
+    logs, places = log_probabilities(codes, tables), Slots(codes)
     for first, raw in parts(texts):
-        each = logs[np.searchsorted(codes, windows(raw))]
+        each = logs[places(windows(raw))]
         starts = np.cumsum([0, *(len(t) + 1 for t in raw[:-1])])
         scores = np.add.reduceat(each, starts)
         words = [word_keys(t) for t in texts[first : first + len(raw)]]
-        counts = tables[WORD](np.concatenate(words))[:, 0]
+        (counts,) = tables[WORD](np.concatenate(words))
         word_starts = np.cumsum([0, *map(len, words[:-1])])
         out.append(
             pd.DataFrame(
@@ -260,8 +293,8 @@ def score(
     train_tokens, distinct = words.n or 0, words.v
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int")
-    blocked = texts.withColumn("block", block).repartition(blocks, "block")
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    blocked = texts.withColumn("block", block).repartition(3 * blocks, "block")  # few partitions get several
     asked = blocked.groupBy("block").applyInPandas(keys_of_block, "block int, kind int, key bigint")
     told = asked.join(stats, ["kind", "key"])
     scored = (
