@@ -76,12 +76,15 @@ def optimal_buckets(histogram: dict[int, int], most: int) -> Buckets:
 def pieces_of(docs: DataFrame, id_column: str, text_column: str, context: int) -> DataFrame:
     """One row per piece: a document's tokens are cut every ``context`` tokens."""
     total = docs.select(
-        F.col(id_column).alias("doc_id"), word_count(F.col(text_column).cast("string")).alias("total")
+        F.col(id_column).alias("doc_id"),
+        word_count(F.col(text_column).cast("string")).alias("total"),
+        F.xxhash64(F.col(text_column)).alias("salt"),  # apart even where ids are alike
     )
     cut = F.explode(F.sequence(F.lit(0), ((F.col("total") - 1) / context).cast("int"))).alias("piece")
-    return total.select("doc_id", "total", cut).select(
+    return total.select("doc_id", "total", "salt", cut).select(
         "doc_id",
         "piece",
+        "salt",
         F.least(F.lit(context), F.col("total") - F.col("piece") * context).cast("int").alias("n_tokens"),
     )
 
@@ -121,10 +124,10 @@ def pack(
         .withColumn("padded", of_bucket(limits))
         .withColumn(
             "shard",
-            F.pmod(F.xxhash64("doc_id", "piece", F.lit(9)), of_bucket(shards).cast("bigint")).cast("int"),
+            F.pmod(F.xxhash64("doc_id", "piece", "salt"), of_bucket(shards).cast("bigint")).cast("int"),
         )
     )
-    order = Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece", "n_tokens")
+    order = Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece", "n_tokens", "salt")
     capacity = F.greatest(F.lit(1), (F.lit(budget) / F.col("padded")).cast("int"))
     rank = F.row_number().over(order) - 1
     return placed.withColumn("rank", rank).select(

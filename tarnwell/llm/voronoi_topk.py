@@ -163,7 +163,7 @@ def top_k(
     # Only for the blocks that a cell was asked for; there are at most cells x blocks.
     data = (
         grouped.select("vec_id", "v", "cell")
-        .withColumn("chunk", F.pmod(F.xxhash64("vec_id"), per_cell(chunks, F.col("cell"))).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), per_cell(chunks, F.col("cell"))).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     )
 
