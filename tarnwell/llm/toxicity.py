@@ -28,7 +28,7 @@ from tarnwell.llm.common import fold, hash_sample, settle
 
 MAX_TRAIN_DOCS = 20_000  # labelled documents the classifier is fitted on
 MAX_LEXICON = 5_000
-LEAST_TOXIC_DOCS, LEAST_LOG_ODDS = 4, 1.5
+LEAST_TOXIC_DOCS, LEAST_TOXIC_SHARE, LEAST_LOG_ODDS = 4, 1 / 150, 1.5  # of a lexicon word
 NEAR = 6  # words around a lexicon word in which a second person counts as near
 
 TOKENS = re.compile(r"[^\s.,;:?\"()|<>\[\]{}…«»]+")
@@ -208,12 +208,13 @@ def train(
     odds = F.log((F.col("toxic") + 0.5) / (sizes.get(1, 0) + 1.0)) - F.log(
         (F.col("clean") + 0.5) / (sizes.get(0, 0) + 1.0)
     )
+    least = max(LEAST_TOXIC_DOCS, sizes.get(1, 0) * LEAST_TOXIC_SHARE)
     words = (
         fit_docs.select("text", "toxic")
         .mapInPandas(word_counts, "word string, clean bigint, toxic bigint")
         .groupBy("word")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .filter(F.col("toxic") >= LEAST_TOXIC_DOCS)
+        .filter(F.col("toxic") >= least)
         .select("word", odds.alias("weight"), F.col("toxic").alias("n"))
         .filter(F.col("weight") >= LEAST_LOG_ODDS)
         .orderBy((F.col("weight") * F.sqrt("n")).desc(), "word")
