@@ -15,8 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
-from tarnwell.llm import decontamination, jaccard_join, packing, ppm, token_store
-from tarnwell.llm.components import connected_components
+from tarnwell.llm import components, decontamination, jaccard_join, packing, ppm, token_store
 from tarnwell.llm.voronoi_topk import top_k
 
 DOCS = "doc_id bigint, text string, size int, `key` string"
@@ -295,15 +294,17 @@ def test_joins_of_empty_tables(spark):
     ]
 
 
+@pytest.mark.parametrize("part", [500_000, 10])
 @pytest.mark.parametrize("seed", range(3))
-def test_components_equal_brute_force(spark, seed):
+def test_components_equal_brute_force(spark, monkeypatch, seed, part):
+    monkeypatch.setattr(components, "PART", part)
     rng = random.Random(seed)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)]
     expected = {x: x for e in edges for x in e}
     for _ in expected:
         for a, b in edges:
             expected[a] = expected[b] = min(expected[a], expected[b])
-    found = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
+    found = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
     assert found == {x: r for x, r in expected.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
