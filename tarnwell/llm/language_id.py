@@ -14,7 +14,9 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.llm.common import fold, hash_sample
@@ -25,7 +27,8 @@ LONGEST = 4
 WORD_PRIOR = 0.5  # added to each count
 GRAM_WEIGHT = 0.5  # an unseen word's n-grams say less than a known word
 MAX_TRAIN_DOCS = 20_000
-MAX_WORDS, MAX_GRAMS = 100_000, 50_000
+TEXTS_AT_ONCE = 500
+MAX_ENTRIES = 150_000  # words and n-grams kept, the commonest first
 
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 
@@ -43,47 +46,52 @@ def grams_of(word: str, size: int) -> list[str]:
 
 
 def count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts per language of words (size 0) and n-grams, one row each per batch."""
+    """Counts per language of words (size 0) and n-grams, one row each for some texts."""
     for batch in batches:
-        counts: Counter = Counter()
-        for lang, texts in batch.groupby("lang")["text"]:
-            words = Counter(chain.from_iterable(map(words_of, texts)))
-            for word, times in words.items():
-                counts[lang, 0, word] += times
-                for size in range(1, LONGEST + 1):
-                    for gram in grams_of(word, size):
-                        counts[lang, size, gram] += times
-        yield pd.DataFrame(
-            [(*key, times) for key, times in counts.items()],
-            columns=["lang", "size", "gram", "n"],
-        )
+        for start in range(0, len(batch), TEXTS_AT_ONCE):
+            counts: Counter = Counter()
+            for lang, texts in batch.iloc[start : start + TEXTS_AT_ONCE].groupby("lang")["text"]:
+                words = Counter(chain.from_iterable(map(words_of, texts)))
+                for word, times in words.items():
+                    counts[lang, 0, word] += times
+                    for size in range(1, LONGEST + 1):
+                        for gram in grams_of(word, size):
+                            counts[lang, size, gram] += times
+            yield pd.DataFrame(
+                [(*key, times) for key, times in counts.items()],
+                columns=["lang", "size", "gram", "n"],
+            )
 
 
 class LanguageModel:
-    """Log frequencies per language of at most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams of each size."""
+    """Log frequencies per language of words and n-grams, at most ``MAX_ENTRIES`` of them."""
 
-    def __init__(self, rows: list[tuple[str, int, str, int]], docs_per_lang: dict[str, int]):
+    def __init__(self, counts: pa.Table, docs_per_lang: dict[str, int]):
         self.langs = sorted(docs_per_lang)
         column = {lang: i for i, lang in enumerate(self.langs)}
-        counts: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        for lang, size, gram, n in rows:
-            counts[size].setdefault(gram, np.zeros(len(self.langs)))[column[lang]] = n
-        self.tables = []
-        for table in counts:
-            totals = sum(table.values()) + WORD_PRIOR * len(table) if table else 1.0
-            self.tables.append({g: np.log((c + WORD_PRIOR) / totals) for g, c in table.items()})
+        self.places: list[dict[str, int]] = []  # by size, the row of each word or n-gram
+        self.logs: list[np.ndarray] = []
+        for size in range(LONGEST + 1):
+            own = counts.filter(pc.equal(counts["size"], size))
+            places: dict[str, int] = {}
+            rows = [places.setdefault(g, len(places)) for g in own["gram"].to_pylist()]
+            numbers = np.full((len(places), len(self.langs)), WORD_PRIOR)
+            numbers[rows, [column[x] for x in own["lang"].to_pylist()]] += own["n"].to_numpy()
+            totals = numbers.sum(axis=0, keepdims=True)
+            self.places.append(places)
+            self.logs.append(np.log(numbers / totals).astype(np.float32) if places else numbers)
         docs = np.array([docs_per_lang[lang] for lang in self.langs], dtype=float)
         self.prior = np.log(docs / docs.sum()) if len(docs) else docs
 
     def word(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
+        known = self.places[0].get(word)
         if known is not None:
-            return known
+            return self.logs[0][known]
         for size in range(LONGEST, 0, -1):
-            table = self.tables[size]
-            found = [table[g] for g in grams_of(word, size) if g in table]
+            places = self.places[size]
+            found = [places[g] for g in grams_of(word, size) if g in places]
             if found:
-                scores = GRAM_WEIGHT * np.sum(found, axis=0)
+                scores = GRAM_WEIGHT * self.logs[size][found].sum(axis=0)
                 return scores - scores.max()
         return np.zeros(len(self.langs))
 
@@ -118,7 +126,7 @@ def train(
     """Learn from labelled documents outside the held-out fold.
 
     The classifier is fitted on a hash sample of about ``max_docs`` of them, so what
-    the driver gathers is bounded by ``MAX_WORDS`` and ``MAX_GRAMS`` per language.
+    the driver gathers is bounded by ``MAX_ENTRIES``.
     """
     labelled = docs.filter(
         (fold(id_column) != 0) & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()
@@ -133,12 +141,9 @@ def train(
         .agg(F.sum("n").alias("n"))
         .filter("size = 0 AND n > 1 OR n > 4")
     )
-    ranked = counted.withColumn(
-        "place", F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram"))
-    ).filter(F.col("place") <= F.when(F.col("size") == 0, MAX_WORDS).otherwise(MAX_GRAMS))
-    rows = [(r.lang, r["size"], r.gram, r.n) for r in ranked.drop("place").collect()]
+    top = counted.orderBy(F.desc("n"), "size", "lang", "gram").limit(MAX_ENTRIES)
     per_lang = labelled.groupBy("lang").count().collect()
-    return LanguageModel(rows, {r.lang: r["count"] for r in per_lang})
+    return LanguageModel(top.toArrow(), {r.lang: r["count"] for r in per_lang})
 
 
 def identify(
@@ -156,8 +161,8 @@ def identify(
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.iloc[start : start + 500]
+            for start in range(0, len(batch), TEXTS_AT_ONCE):
+                part = batch.iloc[start : start + TEXTS_AT_ONCE]
                 lang, score = zip(*known.texts(part["text"].tolist()), strict=True)
                 yield pd.DataFrame(
                     {"doc_id": part["doc_id"], "held_out": part["held_out"], "lang_pred": lang, "score": score}
@@ -179,8 +184,8 @@ def keep_identified(
     @F.pandas_udf("boolean")
     def identified(texts: pd.Series) -> pd.Series:
         found = []
-        for start in range(0, len(texts), 500):
-            found += shared.value.texts(texts.iloc[start : start + 500].tolist())
+        for start in range(0, len(texts), TEXTS_AT_ONCE):
+            found += shared.value.texts(texts.iloc[start : start + TEXTS_AT_ONCE].tolist())
         return pd.Series([lang != UNKNOWN and score >= least for lang, score in found], dtype=bool)
 
     return docs.filter(identified(F.col(text_column).cast("string")))
