@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tarnwell.llm.common import bitmap, is_set, settle
 from tarnwell.llm.components import connected_components
 
-SIZE = 4  # words in a shingle
+WIDTH = 4  # words in a shingle
 PERCENT = 85
 MOST_SMALL = 24  # the boundary between small and large sets is looked for up to here
 SCAN = 8  # cost of one inverted list against one subset
@@ -58,14 +58,14 @@ def sequence_hash(rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
+def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text's words, A-Z in lower case."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, dtype=np.uint64)
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-    width = min(size, len(words))
-    return np.unique(sequence_hash(np.lib.stride_tricks.sliding_window_view(hashes, width)))
+    windows = np.lib.stride_tricks.sliding_window_view(hashes, min(width, len(words)))
+    return np.unique(sequence_hash(windows))
 
 
 def overlap(a: int, b: int, percent: int) -> int:
@@ -116,33 +116,36 @@ def digest(elements: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(elements.tobytes())
 
 
-def count_common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Elements in several different sets of a chunk (kind 0), and how many sets are small (kind 1)."""
-    held, seen, elements = 0, set(), []
-    small = np.zeros(MOST_SMALL + 1, dtype=np.int64)
-
-    def counted() -> pd.DataFrame:
-        values, counts = np.unique(np.concatenate(elements), return_counts=True)
-        keep = counts > 1
-        return pd.DataFrame({"kind": 0, "key": values[keep].view(np.int64), "n": counts[keep]})
-
-    for batch in batches:
-        for text in batch["text"]:
-            found = shingles(text)
-            if not len(found) or (name := digest(found)) in seen:
-                continue
-            if len(found) <= MOST_SMALL:
-                small[len(found)] += 1
-            seen.add(name)
-            elements.append(found)
-            held += len(found)
-            if held > CHUNK:
-                yield counted()
-                held, seen, elements = 0, set(), []
-    if elements:
-        yield counted()
-    sizes = np.flatnonzero(small)
-    yield pd.DataFrame({"kind": 1, "key": sizes, "n": small[sizes]})
+def common_counter(width: int):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Elements in several different sets of a chunk (kind 0), and how many sets are small (kind 1)."""
+        held, seen, elements = 0, set(), []
+        small = np.zeros(MOST_SMALL + 1, dtype=np.int64)
+
+        def counted() -> pd.DataFrame:
+            values, counts = np.unique(np.concatenate(elements), return_counts=True)
+            keep = counts > 1
+            return pd.DataFrame({"kind": 0, "key": values[keep].view(np.int64), "n": counts[keep]})
+
+        for batch in batches:
+            for text in batch["text"]:
+                found = shingles(text, width)
+                if not len(found) or (name := digest(found)) in seen:
+                    continue
+                if len(found) <= MOST_SMALL:
+                    small[len(found)] += 1
+                seen.add(name)
+                elements.append(found)
+                held += len(found)
+                if held > CHUNK:
+                    yield counted()
+                    held, seen, elements = 0, set(), []
+        if elements:
+            yield counted()
+        sizes = np.flatnonzero(small)
+        yield pd.DataFrame({"kind": 1, "key": sizes, "n": small[sizes]})
+
+    return count
 
 
 def keys_of(elements: np.ndarray, ranks: tuple[np.ndarray, np.ndarray], small: int, percent: int) -> list[int]:
@@ -229,10 +232,17 @@ def shared_counts(left: list, right: list) -> np.ndarray:
 
 
 def link(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    percent: int = PERCENT,
+    width: int = WIDTH,
 ) -> DataFrame:
     """One row per input row with its set's size, component and number of links.
 
+    A set holds the text's shingles of ``width`` words; sets whose Jaccard similarity is
+    ``percent`` hundredths or more link.
+
     Columns: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable), ``links``
     (other rows linked to this one), ``first_of_component`` (true for one row of each
     component, that of the smallest id) and ``text_key`` (hash of the text).
@@ -251,24 +261,24 @@ def link(
     session = docs.sparkSession
     counts = settle(
         texts.select("text")
-        .mapInPandas(count_common, "kind int, key bigint, n bigint")
+        .mapInPandas(common_counter(width), "kind int, key bigint, n bigint")
         .groupBy("kind", "key")
         .agg(F.sum("n").alias("n")),
         "common",
     )
     histogram = {r.key: r.n for r in counts.filter("kind = 1").collect()}  # MOST_SMALL rows
-    common = counts.filter("kind = 0").orderBy(F.desc("n"), "key").limit(COMMON).toPandas()
-    known = common["key"].to_numpy(dtype=np.int64).view(np.uint64)
+    common = counts.filter("kind = 0").orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    known = common["key"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(known)
     small = boundary(histogram, percent)
-    shared = session.sparkContext.broadcast((known[order], common["n"].to_numpy(dtype=np.int64)[order]))
+    shared = session.sparkContext.broadcast((known[order], common["n"].to_numpy().astype(np.int64)[order]))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row, seen = TaskContext.get().partitionId() << 36, set()
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                elements = shingles(text)
+                elements = shingles(text, width)
                 name = digest(elements) if len(elements) else b""
                 fresh = len(elements) and name not in seen
                 if fresh and len(seen) < CHUNK:
@@ -322,7 +332,7 @@ def link(
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid")))
     if clusters is not None:
         wanted = wanted.union(clusters.select("cid"))
-    sets = sets_of(texts, classes.join(wanted.distinct(), "cid"))
+    sets = sets_of(texts, classes.join(wanted.distinct(), "cid"), width)
     links = compared(pairs, sets, percent)
     if clusters is not None:
         links = links.union(compared_in_blocks(clusters, sets, percent))
@@ -374,7 +384,7 @@ def meeting_often(entries: DataFrame, clusters: DataFrame | None, small: int, pe
     )
 
 
-def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The sets of the classes in ``wanted``, made again from one text of each.
 
     Where rows repeat an id and its text, the set is there as often.
@@ -394,7 +404,7 @@ def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            tokens = [shingles(text).view(np.int64) for text in batch["text"]]
+            tokens = [shingles(text, width).view(np.int64) for text in batch["text"]]
             yield batch.drop(columns="text").assign(tokens=tokens)
 
     made = found.mapInPandas(make, "cid bigint, size int, weight bigint, tokens array<bigint>")
@@ -466,13 +476,19 @@ def with_components(rows: DataFrame, classes: DataFrame, components: DataFrame,
     )
 
 
-def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
+def keep_first(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    percent: int = PERCENT,
+    width: int = WIDTH,
+) -> DataFrame:
     """Rows of ``docs`` that are the first of their component, columns unchanged.
 
     The rows to leave out are written first. Of rows with the same id and text all or
     none are left out by their key, so one of each such group is put back by a count.
     """
-    found = link(docs, id_column, text_column, percent)
+    found = link(docs, id_column, text_column, percent, width)
     out = settle(
         found.groupBy(F.col("doc_id").alias("out_id"), F.col("text_key").alias("out_key"))
         .agg(F.max("first_of_component").alias("kept"), F.count("*").alias("times"))

@@ -211,10 +211,10 @@ def test_parts_of_a_long_text_add_up():
 # Jaccard join --------------------------------------------------------------------------
 
 
-def brute_links(rows, percent=85):
+def brute_links(rows, percent=85, width=4):
     def shingles(text):
         w = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
-        return frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) if w else frozenset()
+        return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
 
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
@@ -260,16 +260,18 @@ def jaccard_rows(seed, near=40):
     return [*enumerate(texts), (3, texts[3]), (None, texts[10]), (None, "alone one two three four")]
 
 
-@pytest.mark.parametrize("long_list", [64, 6])
-@pytest.mark.parametrize("small", [None, 0])
-def test_links_equal_brute_force(spark, monkeypatch, long_list, small):
+@pytest.mark.parametrize(
+    ("long_list", "small", "percent", "width"),
+    [(64, None, 85, 4), (6, None, 85, 4), (6, 0, 85, 4), (6, None, 80, 5), (64, None, 60, 2)],
+)
+def test_links_equal_brute_force(spark, monkeypatch, long_list, small, percent, width):
     monkeypatch.setattr(jaccard_join, "LONG_LIST", long_list)
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     if small is not None:
         monkeypatch.setattr(jaccard_join, "MOST_SMALL", small)
     rows = jaccard_rows(3)
-    found = jaccard_join.link(table(spark, rows)).collect()
-    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.links) for r in found) == brute_links(rows)
+    found = jaccard_join.link(table(spark, rows), percent=percent, width=width).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.links) for r in found) == brute_links(rows, percent, width)
 
 
 def test_one_row_of_each_component_stays(spark):
