@@ -13,6 +13,10 @@ files; the index is written by Spark, so only files of successful tasks are list
 from __future__ import annotations
 
 import json
+import os
+import re
+import string
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,10 +35,13 @@ from tokenizers import Tokenizer
 from tarnwell.llm.common import scratch
 
 END_ID = 1
+BEYOND_LATIN = re.compile("[^\0-\u02ff]")
+MARKS = string.punctuation.encode()
 SEQUENCE = 2048  # ids in a row
 ROWS = 256  # rows in a record batch
-CACHED_WORDS = 400_000  # words whose ids a worker remembers; others are encoded again
-DOCS_AT_ONCE = 256
+CACHED_WORDS = 1_800_000  # about as many words' ids does a worker remember
+DOCS_AT_ONCE = 64
+WORDS_AT_ONCE = 1000
 
 INDEX_SCHEMA = "doc_id bigint, part int, file string, file_start bigint, n_tokens bigint"
 READ_SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -49,28 +56,85 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark keeps the cores busy already
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
+        small = self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
+        self.width = np.dtype("<u2" if small else "<u4")
+        self.pack = "H" if small else "I"
+        self.end = struct.pack(f"<{self.pack}", END_ID)
+        self.known: dict[bytes, bytes] = {}  # a word's ids
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by the end id, and the number of each text."""
-        words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        fresh = list(dict.fromkeys(w for w in chain.from_iterable(words) if w not in self.known))
-        encoded = self.tokenizer.encode_batch_fast(
-            [w.decode() for w in fresh], add_special_tokens=False
-        )
-        extra = {w: np.array(e.ids, dtype=np.uint32) for w, e in zip(fresh, encoded, strict=True)}
-        room = CACHED_WORDS - len(self.known)
-        for word in fresh[: max(room, 0)]:
-            self.known[word] = extra.pop(word)
-        end = np.array([END_ID], dtype=np.uint32)
-        known, pieces, sizes = self.known, [], []
-        for text in words:
-            first = len(pieces)
-            pieces += [known[w] if w in known else extra[w] for w in text]
-            pieces.append(end)
-            sizes.append(sum(map(len, pieces[first:])))
-        return np.concatenate(pieces), np.array(sizes, dtype=np.int64)
+        words = [words_of(t or "") for t in texts]
+        if len(self.known) > CACHED_WORDS:
+            self.known = {}
+        here = dict.fromkeys(chain.from_iterable(words))  # asked once each, then at hand
+        known, fresh = self.known, []
+        for word in here:
+            here[word] = known.get(word)
+            if here[word] is None:
+                fresh.append(word)
+        self.learn(fresh)
+        here.update((word, self.known[word]) for word in fresh)
+        runs = [b"".join([here[w] for w in text]) + self.end for text in words]
+        sizes = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs)) // self.width.itemsize
+        return np.frombuffer(b"".join(runs), dtype=self.width), sizes
+
+    def learn(self, words: list[bytes]) -> None:
+        parts = {word: parted(word) for word in words}
+        fresh = [p for p in {p for pair in parts.values() for p in pair} if p not in self.known]
+        texts = [p.decode() for p in fresh]
+        whole = [t.isalpha() and not BEYOND_LATIN.search(t) for t in texts]
+        self.learn_together([t for t, w in zip(texts, whole, strict=True) if w])
+        self.learn_each([t for t, w in zip(texts, whole, strict=True) if not w])
+        for word, pair in parts.items():
+            if len(pair) > 1:
+                self.known[word] = self.known[pair[0]] + self.known[pair[1]]
+
+    def learn_each(self, texts: list[str]) -> None:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        for text, e in zip(texts, encoded, strict=True):
+            self.known[text.encode()] = struct.pack(f"<{len(e)}{self.pack}", *e.ids)
+
+    def learn_together(self, texts: list[str]) -> None:
+        """Runs of Latin letters are encoded as one text, which is faster, and told apart by their place."""
+        size = self.width.itemsize
+        for first in range(0, len(texts), WORDS_AT_ONCE):
+            some = texts[first : first + WORDS_AT_ONCE]
+            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            place = np.array(encoded.word_ids)
+            ends = (np.flatnonzero(np.diff(place, append=-1)) + 1).tolist()
+            if len(ends) != len(some):  # a tokenizer that cuts words into more pieces
+                self.learn_each(some)
+                continue
+            ids, start = np.array(encoded.ids, dtype=self.width).tobytes(), 0
+            for text, end in zip(some, ends, strict=True):
+                self.known[text.encode()] = ids[start * size : end * size]
+                start = end
+
+
+def words_of(text: str) -> list[bytes]:
+    """Words of a text, in lower case where the tokenizer would put the same.
+
+    That is so for Latin letters without combining characters, outside special tokens.
+    """
+    if not BEYOND_LATIN.search(text) and "<|" not in text:
+        text = text.lower()
+    return text.encode("utf-8", "replace").split()
+
+
+def parted(word: bytes) -> tuple[bytes, ...]:
+    """The word, or its body and the marks at its end if the body ends with a letter.
+
+    A run of marks after a letter is never joined to it, and isn't cut here.
+    """
+    body = word.rstrip(MARKS)
+    if len(body) in (0, len(word)) or b"<|" in word:
+        return (word,)
+    # In lower case, since one capital letter ends with a combining character then.
+    letter = body[-1:].isalpha() or body[-1] >= 128 and body.decode().lower()[-1].isalpha()
+    return (body, word[len(body) :]) if letter else (word,)
 
 
 ENCODERS: dict[str, WordEncoder] = {}  # of this worker process
@@ -85,10 +149,10 @@ def encoder_at(path: str) -> WordEncoder:
 class SequenceFile:
     """Writes a run of ids as equal-length rows; holds one record batch at most."""
 
-    def __init__(self, uri: str, length: int, width: pa.DataType, notes: dict):
-        self.length, self.width = length, width
+    def __init__(self, uri: str, length: int, width: np.dtype, notes: dict):
+        self.length = length
         self.schema = pa.schema(
-            [("ids", pa.list_(width, length)), ("mask", pa.list_(pa.bool_(), length))],
+            [("ids", pa.list_(pa.from_numpy_dtype(width), length)), ("mask", pa.list_(pa.bool_(), length))],
             metadata={"token_store": json.dumps(notes)},
         )
         files, path = pa.fs.FileSystem.from_uri(uri)
@@ -109,7 +173,7 @@ class SequenceFile:
             self.waiting, self.held = [rest], len(rest)
 
     def _write(self, flat: np.ndarray, valid: int) -> None:
-        ids = pa.array(flat.astype(self.width.to_pandas_dtype()))
+        ids = pa.array(flat)
         mask = pa.array(np.arange(len(flat)) < valid)
         self.writer.write_batch(
             pa.record_batch(
@@ -140,6 +204,13 @@ class SequenceReader:
         self.source = pa.memory_map(path) if local else files.open_input_file(path)
         self.file = pa.ipc.open_file(self.source)
         self.length = self.file.schema.field("ids").type.list_size
+        self.last: tuple[int, np.ndarray] | None = None
+
+    def flat(self, number: int) -> np.ndarray:
+        """All ids of a batch, as they lie in the file."""
+        if self.last is None or self.last[0] != number:
+            self.last = number, self.batch(number).column(0).flatten().to_numpy(zero_copy_only=True)
+        return self.last[1]
 
     def batch(self, number: int) -> pa.RecordBatch:
         return self.file.get_batch(number)
@@ -149,8 +220,7 @@ class SequenceReader:
         full, parts = ROWS * self.length, []
         while count > 0:
             number, offset = divmod(start, full)
-            flat = self.batch(number).column(0).flatten().to_numpy(zero_copy_only=True)
-            parts.append(flat[offset : offset + count])
+            parts.append(self.flat(number)[offset : offset + count])
             if not len(parts[-1]):
                 raise EOFError(f"no ids at {start}")
             start, count = start + len(parts[-1]), count - len(parts[-1])
@@ -176,8 +246,6 @@ def write_store(
     bytes where the vocabulary allows it, in four otherwise.
     """
     folder = folder.rstrip("/")
-    large = Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True) > 1 << 16
-    width = pa.uint32() if large else pa.uint16()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, store, at = encoder_at(tokenizer_path), None, 0
@@ -188,7 +256,7 @@ def write_store(
                 some = batch.iloc[first : first + DOCS_AT_ONCE]
                 ids, sizes = encoder.encode(some["text"].tolist())
                 if store is None:
-                    store = SequenceFile(uri, length, width, {"end_id": END_ID, "length": length})
+                    store = SequenceFile(uri, length, encoder.width, {"end_id": END_ID, "length": length})
                 store.append(ids)
                 starts = at + np.cumsum(sizes) - sizes
                 at += len(ids)
@@ -208,7 +276,7 @@ def write_store(
         F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text")
     )
     index = (
-        texts.repartitionByRange("doc_id")
+        texts.repartitionByRange("doc_id", F.xxhash64("text"))
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
         .mapInPandas(write, INDEX_SCHEMA)
     )
