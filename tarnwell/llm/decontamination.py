@@ -154,8 +154,8 @@ def drop_contaminated(
     moves the documents only if the keys are too many to broadcast.
     """
     found = find_overlaps(docs, items, id_column, text_column).select(
-        F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")
+        F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")
     )
     bad = settle(found.distinct(), "contaminated")
-    same = F.col(id_column).eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col(text_column)) == F.col("bad_key"))
+    same = F.col(id_column).eqNullSafe(F.col("__bad_id")) & (F.xxhash64(F.col(text_column)) == F.col("__bad_key"))
     return docs.join(bad, same, "left_anti")
