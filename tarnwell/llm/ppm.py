@@ -26,7 +26,7 @@ from tarnwell.llm.common import fold, settle
 
 ORDER = 4  # bytes of the longest context
 END = 0xFF  # never in UTF-8: ends a text, and stands before it
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 PART_BYTES = 1 << 20  # worked on at once within a block
 HELD = 2_000_000  # distinct entries a task gathers before it hands them on
 
