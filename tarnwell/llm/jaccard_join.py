@@ -321,7 +321,7 @@ def link(
         .select("row"),
         "again",
     )
-    lists = rows.select("row", "size", "keys").filter("keys IS NOT NULL").join(again, "row", "left_anti")
+    lists = rows.select("row", "size", "keys").filter("keys IS NOT NULL").join(unbounded(again), "row", "left_anti")
     entries = lists.select(F.col("row").alias("cid"), "size", F.explode("keys").alias("key"))
     lengths = settle(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
     kept = entries.filter(is_set(bitmap(lengths, "key", BITS).scalar(), F.col("key"), BITS))
@@ -398,7 +398,7 @@ def sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     sieve = bitmap(wanted, "text_key", BITS).scalar()
     likely = texts.filter(is_set(sieve, F.col("text_key"), BITS))
     found = likely.join(
-        wanted,
+        unbounded(wanted),
         (likely["text_key"] == wanted["text_key"]) & F.col("doc_id").eqNullSafe(F.col("at_id")),
     ).select("cid", "size", "weight", "text")
 
@@ -485,19 +485,30 @@ def keep_first(
 ) -> DataFrame:
     """Rows of ``docs`` that are the first of their component, columns unchanged.
 
-    The rows to leave out are written first. Of rows with the same id and text all or
-    none are left out by their key, so one of each such group is put back by a count.
+    The keys of rows to leave out are written first; a bitmap of them lets most documents
+    through where they lie, and only the others are joined. Of rows with the same id
+    and text all or none are left out by their key, so one of each such group is put
+    back.
     """
     found = link(docs, id_column, text_column, percent, width)
     out = settle(
-        found.groupBy(F.col("doc_id").alias("out_id"), F.col("text_key").alias("out_key"))
-        .agg(F.max("first_of_component").alias("kept"), F.count("*").alias("times"))
-        .filter("NOT kept OR times > 1"),
+        found.groupBy(F.col("doc_id").alias("__out_id"), F.col("text_key").alias("__out_key"))
+        .agg(F.max("first_of_component").alias("__kept"), F.count("*").alias("__times"))
+        .filter("NOT __kept OR __times > 1"),
         "left-out",
     )
-    same = F.col(id_column).cast("bigint").eqNullSafe(F.col("out_id")) & (
-        F.xxhash64(F.col(text_column)) == F.col("out_key")
-    )
-    gone = docs.join(out, same, "left_anti")
-    again = docs.join(out.filter("kept"), same, "left_semi").dropDuplicates([id_column, text_column])
-    return gone.unionByName(again)
+    key = F.xxhash64(F.col(text_column))
+    likely = is_set(bitmap(out, "__out_key", BITS).scalar(), key, BITS)
+    same = F.col(id_column).cast("bigint").eqNullSafe(F.col("__out_id")) & (key == F.col("__out_key"))
+    some = docs.filter(likely)
+    kept = docs.filter(~likely).unionByName(some.join(unbounded(out), same, "left_anti"))
+    once = out.filter("__kept")
+    if once.head(1):
+        again = some.join(unbounded(once), same, "left_semi")
+        kept = kept.unionByName(again.dropDuplicates([id_column, text_column]))
+    return kept
+
+
+def unbounded(df: DataFrame) -> DataFrame:
+    """For a side that grows with the input: joined by a shuffle at every size."""
+    return df.hint("merge")
