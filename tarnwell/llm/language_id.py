@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import fold, hash_sample
+from tarnwell.llm.common import fold, hash_sample, settle
 
 RUNS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -28,7 +28,9 @@ WORD_PRIOR = 0.5  # added to each count
 GRAM_WEIGHT = 0.5  # an unseen word's n-grams say less than a known word
 MAX_TRAIN_DOCS = 20_000
 TEXTS_AT_ONCE = 500
-MAX_ENTRIES = 150_000  # words and n-grams kept, the commonest first
+MAX_WORDS, MAX_GRAMS = 100_000, 50_000  # kept of each language, n-grams of each size
+LEAST_WORD, LEAST_GRAM = 2, 5  # times that a language must have what is kept for it
+TIES = 1 << 30  # parts in which a hash deals equally common ones
 
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 
@@ -64,36 +66,68 @@ def count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class LanguageModel:
-    """Log frequencies per language of words and n-grams, at most ``MAX_ENTRIES`` of them."""
+    """Log frequencies of words and n-grams in each language.
+
+    Only the languages that have a word or n-gram take space for it, so the model grows
+    with what the languages have and not with the number of languages times that.
+    """
 
     def __init__(self, counts: pa.Table, docs_per_lang: dict[str, int]):
         self.langs = sorted(docs_per_lang)
-        column = {lang: i for i, lang in enumerate(self.langs)}
         self.places: list[dict[str, int]] = []  # by size, the row of each word or n-gram
-        self.logs: list[np.ndarray] = []
+        self.starts: list[np.ndarray] = []  # by row, where its languages begin
+        self.columns: list[np.ndarray] = []  # languages that have it
+        self.gains: list[np.ndarray] = []  # log frequency there, over that of what was never seen
+        self.unseen: list[np.ndarray] = []
         for size in range(LONGEST + 1):
-            own = counts.filter(pc.equal(counts["size"], size))
-            places: dict[str, int] = {}
-            rows = [places.setdefault(g, len(places)) for g in own["gram"].to_pylist()]
-            numbers = np.full((len(places), len(self.langs)), WORD_PRIOR)
-            numbers[rows, [column[x] for x in own["lang"].to_pylist()]] += own["n"].to_numpy()
-            totals = numbers.sum(axis=0, keepdims=True)
-            self.places.append(places)
-            self.logs.append(np.log(numbers / totals).astype(np.float32) if places else numbers)
+            own = counts.filter(pc.equal(counts["size"], size)).combine_chunks()
+            grams = own["gram"].to_pylist()
+            ends = np.cumsum(pc.list_value_length(own["found"]).to_numpy())
+            found = pc.list_flatten(own["found"]).combine_chunks()
+            columns = pc.index_in(found.field("lang"), pa.array(self.langs, pa.string())).to_numpy()
+            numbers = found.field("n").to_numpy()
+            totals = np.bincount(columns, numbers, len(self.langs)) + WORD_PRIOR * len(grams)
+            self.places.append({gram: i for i, gram in enumerate(grams)})
+            self.starts.append(np.concatenate([[0], ends]).astype(np.int64))
+            self.columns.append(columns.astype(np.int32))
+            self.gains.append(np.log(numbers / WORD_PRIOR + 1).astype(np.float32))
+            self.unseen.append(np.log(WORD_PRIOR / totals) if grams else totals)
         docs = np.array([docs_per_lang[lang] for lang in self.langs], dtype=float)
         self.prior = np.log(docs / docs.sum()) if len(docs) else docs
 
-    def word(self, word: str) -> np.ndarray:
-        known = self.places[0].get(word)
-        if known is not None:
-            return self.logs[0][known]
+    def sums(self, size: int, owners: list[int], rows: list[int], count: int) -> np.ndarray:
+        """For each of ``count`` owners, the log frequencies of its rows added up."""
+        owner, row = np.array(owners, dtype=np.int64), np.array(rows, dtype=np.int64)
+        starts = self.starts[size][row]
+        lengths = self.starts[size][row + 1] - starts
+        flat = np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+        cells = np.repeat(owner, lengths) * len(self.langs) + self.columns[size][flat]
+        gains = np.bincount(cells, self.gains[size][flat], count * len(self.langs))
+        times = np.bincount(owner, minlength=count)[:, None]
+        return gains.reshape(count, len(self.langs)) + times * self.unseen[size]
+
+    def words(self, words: Sequence[str]) -> np.ndarray:
+        """Each word's score in each language."""
+        known = [self.places[0].get(word, -1) for word in words]
+        owners = [i for i, row in enumerate(known) if row >= 0]
+        scores = self.sums(0, owners, [known[i] for i in owners], len(words))
+        left = [i for i, row in enumerate(known) if row < 0]
         for size in range(LONGEST, 0, -1):
-            places = self.places[size]
-            found = [places[g] for g in grams_of(word, size) if g in places]
-            if found:
-                scores = GRAM_WEIGHT * self.logs[size][found].sum(axis=0)
-                return scores - scores.max()
-        return np.zeros(len(self.langs))
+            place = self.places[size].get
+            backed, owners, rows, unbacked = [], [], [], []
+            for i in left:
+                found = [row for g in grams_of(words[i], size) if (row := place(g)) is not None]
+                if found:
+                    owners += [len(backed)] * len(found)
+                    rows += found
+                    backed.append(i)
+                else:
+                    unbacked.append(i)
+            if backed:
+                grams = GRAM_WEIGHT * self.sums(size, owners, rows, len(backed))
+                scores[backed] = grams - grams.max(axis=1, keepdims=True)
+            left = unbacked
+        return scores
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
         words = [words_of(text) for text in texts]
@@ -101,7 +135,7 @@ class LanguageModel:
         if not self.langs or not sizes.sum():
             return [(UNKNOWN, 0.0)] * len(texts)
         codes, distinct = pd.factorize(np.array(list(chain.from_iterable(words)), dtype=object))
-        scores = np.array([self.word(w) for w in distinct])
+        scores = self.words(distinct)
         totals = np.zeros((len(texts), len(self.langs)))
         owner = np.repeat(np.arange(len(texts)), sizes)
         for i in range(len(self.langs)):
@@ -116,6 +150,26 @@ class LanguageModel:
         ]
 
 
+def limits(steps: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """(language, size, least count, parts of ``TIES`` of those with just that count).
+
+    Steps are (language, size, count, entries with that count).
+    """
+    per_table: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for lang, size, n, entries in steps:
+        per_table.setdefault((lang, size), []).append((n, entries))
+    found = []
+    for (lang, size), counts in per_table.items():
+        room = MAX_GRAMS if size else MAX_WORDS
+        for n, entries in sorted(counts, reverse=True):
+            least, parts = n, TIES * min(room, entries) // entries
+            room -= entries
+            if room <= 0:
+                break
+        found.append((lang, size, least, parts))
+    return found
+
+
 def train(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -125,23 +179,39 @@ def train(
 ) -> LanguageModel:
     """Learn from labelled documents outside the held-out fold.
 
-    The classifier is fitted on a hash sample of about ``max_docs`` of them, so what
-    the driver gathers is bounded by ``MAX_ENTRIES``.
+    The classifier is fitted on a hash sample of about ``max_docs`` of them. Each language
+    keeps its own commonest ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams of each size,
+    however many other languages there are, and what is kept for one language is counted
+    in all. What the driver gathers is bounded by that for each language.
     """
     labelled = docs.filter(
         (fold(id_column) != 0) & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()
     ).select(
         F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")
     )
-    counted = (
+    counted = settle(
         hash_sample(labelled, "id", max_docs, seed=2)
         .select("lang", "text")
         .mapInPandas(count_batches, "lang string, size int, gram string, n bigint")
         .groupBy("lang", "size", "gram")
-        .agg(F.sum("n").alias("n"))
-        .filter("size = 0 AND n > 1 OR n > 4")
+        .agg(F.sum("n").alias("n")),
+        "language-counts",
+    )
+    often = F.col("n") >= F.when(F.col("size") == 0, LEAST_WORD).otherwise(LEAST_GRAM)
+    # How many entries have each count is little, and enough to rank all of them.
+    steps = counted.filter(often).groupBy("lang", "size", "n").count().collect()
+    least = docs.sparkSession.createDataFrame(
+        limits([tuple(row) for row in steps]), "lang string, size int, least bigint, parts bigint"
+    )
+    dealt = F.pmod(F.xxhash64("gram"), F.lit(TIES))
+    kept = (F.col("n") > F.col("least")) | (F.col("n") == F.col("least")) & (dealt < F.col("parts"))
+    top = (
+        counted.join(F.broadcast(least), ["lang", "size"], "left")
+        .groupBy("size", "gram")
+        .agg(F.collect_list(F.struct("lang", "n")).alias("found"), F.max(kept).alias("kept"))
+        .filter("kept")
+        .select("size", "gram", "found")
     )
-    top = counted.orderBy(F.desc("n"), "size", "lang", "gram").limit(MAX_ENTRIES)
     per_lang = labelled.groupBy("lang").count().collect()
     return LanguageModel(top.toArrow(), {r.lang: r["count"] for r in per_lang})
 

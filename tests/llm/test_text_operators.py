@@ -272,6 +272,37 @@ def test_unclear_rows_go_and_columns_stay(spark, language_docs):
     assert sorted(r.text for r in kept.collect()) == ["All rights reserved", "der hund", "le chat", "le chat"]
 
 
+def taught(spark, texts):
+    """Documents outside the held-out fold, from (text, lang)."""
+    ids = (i for i in range(10**6) if not held_out(i))
+    return spark.createDataFrame(
+        [(i, *row) for i, row in zip(ids, texts, strict=False)], "doc_id bigint, text string, lang string"
+    )
+
+
+def test_a_language_of_many_words_takes_no_room_from_a_rare_one(spark):
+    rng = random.Random(5)
+    many = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(40_000))
+    model = language_id.train(taught(spark, [(many, "xx")] * 5 + [(" ".join(FRENCH), "fr")] * 2))
+    rows = language_id.identify(docs_of(spark, ["le chat mange une souris"]), model).filter("doc_id = 0").collect()
+    assert [r.lang_pred for r in rows] == ["fr"] * 2 and all(r.score > 0.99 for r in rows)
+
+
+def test_what_is_kept_for_one_language_is_counted_in_all(spark):
+    german = " ".join(["hund"] * 300 + ["taxi"] * 2)
+    model = language_id.train(taught(spark, [(german, "de"), (" ".join(["chat"] * 100 + ["taxi"]), "fr")]))
+    assert model.texts(["taxi"])[0][0] == "fr"
+
+
+def test_equally_common_entries_share_the_last_places(monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_WORDS", 10)
+    ties = language_id.TIES
+    assert language_id.limits([("de", 0, 9, 4), ("de", 0, 3, 12), ("de", 0, 2, 50), ("fr", 0, 2, 3)]) == [
+        ("de", 0, 3, ties // 2),
+        ("fr", 0, 2, ties),
+    ]
+
+
 # Toxicity ------------------------------------------------------------------------------
 
 
