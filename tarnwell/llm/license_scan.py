@@ -4,7 +4,7 @@ The words of all licence templates go into one suffix automaton. A document's wo
 streamed through it, which gives, at each word, the longest stretch ending there that
 occurs in some template. Stretches that can't be made longer and are long enough become
 matches; per template, matches that go forward in document and template alike are
-chained, and a template covered well enough gives its label.
+chained, and every place that covers a template well enough gives its label.
 """
 
 from __future__ import annotations
@@ -69,6 +69,36 @@ TEMPLATES = [
     ("cc-by-4.0", "Licensed under CC BY 4.0"),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
     ("cc-by-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
+    (
+        "lgpl",
+        "This library is free software; you can redistribute it and/or modify it under the "
+        "terms of the GNU Lesser General Public License as published by the Free Software "
+        "Foundation",
+    ),
+    (
+        "agpl",
+        "This program is free software: you can redistribute it and/or modify it under the "
+        "terms of the GNU Affero General Public License as published by the Free Software "
+        "Foundation",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with "
+        "or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies.",
+    ),
+    (
+        "cc0-1.0",
+        "To the extent possible under law, the author has waived all copyright and related or "
+        "neighboring rights to this work",
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is "
+        "free to copy, modify, publish, use, compile, sell, or distribute this software, either "
+        "in source code form or as a compiled binary, for any purpose, commercial or "
+        "non-commercial, and by any means.",
+    ),
     ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0"),
     ("reserved", "All rights reserved"),
 ]
@@ -181,7 +211,11 @@ class LicenseMatcher:
         return places
 
     def covered(self, symbols: np.ndarray) -> list[tuple[int, float, int, int]]:
-        """(template, share covered, first word, end) of the best chain of each template."""
+        """(template, share covered, first word, end) of chains of matches.
+
+        Of each template that matches, the best chain, and if that covers the template
+        every other chain that does and overlaps none of them.
+        """
         known = symbols >= 0
         edges = np.flatnonzero(np.diff(known.astype(np.int8), prepend=0, append=0))
         per_template: dict[int, list[tuple[int, int, int]]] = {}
@@ -196,36 +230,88 @@ class LicenseMatcher:
                         (int(start) + at - length, template_end - length, length)
                     )
         return [
-            (template, *best_chain(found, self.sizes[template]))
+            (template, *chain)
             for template, found in per_template.items()
+            for chain in covering_chains(found, self.sizes[template])
         ]
 
 
+def covering_chains(matches: list[tuple[int, int, int]], size: int) -> list[tuple[float, int, int]]:
+    """The best chain; if it covers the template, also the others before and after it."""
+    matches = sorted(set(matches))
+    best = best_chain(matches, size)
+    if best[0] < COVERED:
+        return [best]
+    before = [m for m in matches if m[0] + m[2] <= best[1]]
+    after = [m for m in matches if m[0] >= best[2]]
+    return [*chains_in_turn(before, size), best, *chains_in_turn(after, size)]
+
+
 def best_chain(matches: list[tuple[int, int, int]], size: int) -> tuple[float, int, int]:
     """Largest share of a template that matches going forward in both texts cover.
 
-    Matches are (start in document, start in template, length). Only matches within
-    the reach of a whole template can be chained, which keeps this linear in a long
-    document.
+    Matches are (start in document, start in template, length), in order. Only matches
+    within the reach of a whole template can be chained, which keeps this linear in a
+    long document.
     """
-    matches = sorted(set(matches))
     starts = [m[0] for m in matches]
     best: list[tuple[int, int]] = []  # words covered, first word of the chain
     top = (0, 0, 0)
-    for i, (at, place, length) in enumerate(matches):
-        words, first = length, at
-        for j in range(bisect_left(starts, at - size - MAX_GAP), i):
-            other_at, other_place, other_length = matches[j]
-            shared = max(other_at + other_length - at, other_place + other_length - place, 0)
-            gap = max(at - other_at - other_length, place - other_place - other_length)
-            if other_place < place and shared < length and gap <= MAX_GAP:
-                if best[j][0] + length - shared > words:
-                    words, first = best[j][0] + length - shared, best[j][1]
-        best.append((words, first))
-        top = max(top, (words, -first, at + length))
+    for i, (at, _, length) in enumerate(matches):
+        best.append(chain_ending(i, 0, matches, starts, best, size))
+        top = max(top, (best[i][0], -best[i][1], at + length))
     return min(1.0, top[0] / size), -top[1], top[2]
 
 
+def chain_ending(i: int, low: int, matches, starts, best, size: int) -> tuple[int, int]:
+    """Words covered and first word of the best chain of matches from ``low`` on to the i-th."""
+    at, place, length = matches[i]
+    words, first = length, at
+    for j in range(bisect_left(starts, at - size - MAX_GAP, low), i):
+        other_at, other_place, other_length = matches[j]
+        shared = max(other_at + other_length - at, other_place + other_length - place, 0)
+        gap = max(at - other_at - other_length, place - other_place - other_length)
+        if other_place < place and shared < length and gap <= MAX_GAP:
+            if best[j][0] + length - shared > words:
+                words, first = best[j][0] + length - shared, best[j][1]
+    return words, first
+
+
+def chains_in_turn(matches: list[tuple[int, int, int]], size: int) -> list[tuple[float, int, int]]:
+    """Chains that cover a template and don't overlap, of those that do the best.
+
+    A chain is taken when no match that overlaps it or follows closely can still make a
+    better one. Matching goes on at its end, so a long document's many notices take
+    time in proportion to their number.
+    """
+    starts = [m[0] for m in matches]
+    best: list[tuple[int, int]] = []
+    found = []
+    top, reach, low, first_top, i = None, 0, 0, None, 0
+    while i < len(matches) or top:
+        if top and (i == len(matches) or starts[i] > reach + MAX_GAP):
+            if -top[1] > first_top:  # it pushed out one that began earlier
+                found += chains_in_turn([m for m in matches[low:i] if m[0] + m[2] <= -top[1]], size)
+            found.append((min(1.0, top[0] / size), -top[1], top[2]))
+            i = low = bisect_left(starts, top[2], low)
+            del best[low:]
+            top = first_top = None
+            continue
+        at, _, length = matches[i]
+        best.append(chain_ending(i, low, matches, starts, best, size))
+        words, first = best[i]
+        better = (words, -first, at + length)
+        if words >= COVERED * size and (top is None or first < top[2] and better > top):
+            top = better
+            first_top = first if first_top is None else min(first, first_top)
+            near = range(bisect_left(starts, at - size - MAX_GAP, low), i + 1)
+            reach = max(matches[j][0] + matches[j][2] for j in near if best[j][1] < top[2])
+        elif top and first < top[2]:
+            reach = max(reach, at + length)
+        i += 1
+    return found
+
+
 def scanner(templates, base):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = LicenseMatcher(templates, base)
@@ -273,8 +359,8 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per input row: base places and labels, labels, best coverage and spans.
 
-    ``spans`` is ``label:first word:end`` for each label the method gives; ``score`` is
-    the largest share of any template that is covered, 0 without a match. A null or
+    ``spans`` is ``label:first word:end`` for each place that covers a template of the
+    label, copies of a notice included; ``score`` is the largest share of any template that is covered, 0 without a match. A null or
     empty text has no words, no places and score 0. Repeated rows give repeated rows, a
     null id is kept, other columns are ignored, an empty table gives an empty result.
     No shuffle; what a task holds is the templates' automaton and one batch.

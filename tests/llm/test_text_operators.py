@@ -13,7 +13,7 @@ import zlib
 import pytest
 
 from tarnwell.llm import language_id, toxicity
-from tarnwell.llm.license_scan import BASE, TEMPLATES, LicenseMatcher, SuffixAutomaton, scan_licenses
+from tarnwell.llm.license_scan import BASE, TEMPLATES, LicenseMatcher, SuffixAutomaton, covering_chains, scan_licenses
 from tarnwell.llm.secret_scan import blank_secrets, blanked, confirmed_spans, scan_secrets
 
 SCHEMA = "doc_id bigint, text string, lang string, score string, spans string"
@@ -215,6 +215,42 @@ def test_templates_are_found_whole_and_changed_a_little(number):
         assert label not in labels(" ".join(words[: len(words) // 2]))
 
 
+def test_every_copy_of_a_notice_is_a_span(spark):
+    notices = {label: template for label, template in TEMPLATES if label in ("mpl-2.0", "bsd")}
+    bsd = notices["bsd"].split()
+    bsd[12] = "xyzzy"
+    parts, expected, at = [], set(), 0
+    for label, text, gap in [
+        ("bsd", notices["bsd"], 0),  # one right after the other
+        ("bsd", " ".join(bsd), 30),
+        ("mpl-2.0", notices["mpl-2.0"], 2),
+        (None, " ".join(bsd[:20]), 40),  # half a notice
+        ("mpl-2.0", notices["mpl-2.0"], 0),
+        ("bsd", " ".join(bsd), 0),
+        ("mpl-2.0", notices["mpl-2.0"], 0),
+    ]:
+        size = len(brute_words(text))
+        if label:
+            expected.add(f"{label}:{at}:{at + size}")
+        parts += [text, *["word"] * gap]
+        at += size + gap
+    (row,) = scan_licenses(docs_of(spark, ["", " ".join(parts)])).filter("doc_id = 1").collect()
+    assert {s for s in row.spans.split(",") if s.split(":")[0] in notices} == expected
+    assert row.score == 1
+
+
+def test_chains_of_many_copies_do_not_overlap_and_take_little_time():
+    rng = random.Random(3)
+    size, copies = 40, 20_000
+    matches, at, places = [], 0, []
+    for _ in range(copies):
+        cut = rng.randint(5, 35)
+        matches += [(at, 0, cut), (at + cut + 1, cut + 1, size - cut - 1)]
+        places.append((at, at + size))
+        at += size + rng.randint(0, 12)
+    assert [c[1:] for c in covering_chains(matches, size)] == places
+
+
 # Language ------------------------------------------------------------------------------
 
 FRENCH = "le chat mange une souris dans la maison avec son ami".split()
