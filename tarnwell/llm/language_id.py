@@ -30,6 +30,7 @@ MAX_TRAIN_DOCS = 20_000
 TEXTS_AT_ONCE = 500
 MAX_WORDS, MAX_GRAMS = 100_000, 50_000  # kept of each language, n-grams of each size
 LEAST_WORD, LEAST_GRAM = 2, 5  # times that a language must have what is kept for it
+LEAST_EVIDENCE = 0.5  # share of a kept text's letters
 TIES = 1 << 30  # parts in which a hash deals equally common ones
 
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
@@ -106,8 +107,8 @@ class LanguageModel:
         times = np.bincount(owner, minlength=count)[:, None]
         return gains.reshape(count, len(self.langs)) + times * self.unseen[size]
 
-    def words(self, words: Sequence[str]) -> np.ndarray:
-        """Each word's score in each language."""
+    def words(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's score in each language, and whether more than single letters speak for it."""
         known = [self.places[0].get(word, -1) for word in words]
         owners = [i for i, row in enumerate(known) if row >= 0]
         scores = self.sums(0, owners, [known[i] for i in owners], len(words))
@@ -127,25 +128,39 @@ class LanguageModel:
                 grams = GRAM_WEIGHT * self.sums(size, owners, rows, len(backed))
                 scores[backed] = grams - grams.max(axis=1, keepdims=True)
             left = unbacked
-        return scores
+            if size == 2:
+                spoken_for = np.ones(len(words), dtype=bool)
+                spoken_for[left] = False
+        return scores, spoken_for
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        return [(lang, score) for lang, score, _ in self.with_evidence(texts)]
+
+    def with_evidence(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Language, its share of the likelihood, and the share of letters that speaks for any.
+
+        Such letters are in words that are known or have a known n-gram of two characters
+        or more. Letters are counted and not words, since a text without spaces is one word.
+        """
         words = [words_of(text) for text in texts]
         sizes = np.array([len(w) for w in words])
         if not self.langs or not sizes.sum():
-            return [(UNKNOWN, 0.0)] * len(texts)
+            return [(UNKNOWN, 0.0, 0.0)] * len(texts)
         codes, distinct = pd.factorize(np.array(list(chain.from_iterable(words)), dtype=object))
-        scores = self.words(distinct)
+        scores, spoken_for = self.words(distinct)
         totals = np.zeros((len(texts), len(self.langs)))
         owner = np.repeat(np.arange(len(texts)), sizes)
         for i in range(len(self.langs)):
             totals[:, i] = np.bincount(owner, scores[codes, i], minlength=len(texts))
+        letters = np.array([len(w) for w in distinct])
+        known = np.bincount(owner, (letters * spoken_for)[codes], minlength=len(texts))
+        evidence = known / np.maximum(np.bincount(owner, letters[codes], minlength=len(texts)), 1)
         totals += self.prior
         shares = np.exp(totals - totals.max(axis=1, keepdims=True))
         shares /= shares.sum(axis=1, keepdims=True)
         best = shares.argmax(axis=1)
         return [
-            (self.langs[b], float(shares[i, b])) if sizes[i] else (UNKNOWN, 0.0)
+            (self.langs[b], float(shares[i, b]), float(evidence[i])) if sizes[i] else (UNKNOWN, 0.0, 0.0)
             for i, b in enumerate(best)
         ]
 
@@ -246,16 +261,32 @@ def identify(
 
 
 def keep_identified(
-    docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text", least: float = 0.5
+    docs: DataFrame,
+    model: LanguageModel,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    least: float = 0.5,
+    least_evidence: float = LEAST_EVIDENCE,
 ) -> DataFrame:
-    """Rows of ``docs`` with a language whose score is at least ``least``, columns unchanged."""
+    """Rows of ``docs`` with a language whose score is at least ``least``, columns unchanged.
+
+    The score only compares the languages learned, so a text in a script or language of
+    which next to nothing was learned could have any. At least ``least_evidence`` of its
+    letters must be in words that are known or have a known n-gram of two characters.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def identified(texts: pd.Series) -> pd.Series:
         found = []
         for start in range(0, len(texts), TEXTS_AT_ONCE):
-            found += shared.value.texts(texts.iloc[start : start + TEXTS_AT_ONCE].tolist())
-        return pd.Series([lang != UNKNOWN and score >= least for lang, score in found], dtype=bool)
+            found += shared.value.with_evidence(texts.iloc[start : start + TEXTS_AT_ONCE].tolist())
+        return pd.Series(
+            [
+                lang != UNKNOWN and score >= least and evidence >= least_evidence
+                for lang, score, evidence in found
+            ],
+            dtype=bool,
+        )
 
     return docs.filter(identified(F.col(text_column).cast("string")))

@@ -308,6 +308,15 @@ def test_unclear_rows_go_and_columns_stay(spark, language_docs):
     assert sorted(r.text for r in kept.collect()) == ["All rights reserved", "der hund", "le chat", "le chat"]
 
 
+def test_a_script_never_seen_is_no_clear_language(spark):
+    texts = [(" ".join(FRENCH), "fr")] * 9 + [(" ".join(GERMAN), "de")]
+    model = language_id.train(taught(spark, texts))
+    docs = docs_of(spark, ["中文 文字 没有 人 学过", "le chat " + "没有人学过的文字" * 9, "le chat mange 中文"])
+    assert model.texts(["中文 文字"])[0][1] > 0.5
+    kept = language_id.keep_identified(docs.filter("doc_id IS NOT NULL"), model)
+    assert [r.text for r in kept.collect()] == ["le chat mange 中文"]
+
+
 def taught(spark, texts):
     """Documents outside the held-out fold, from (text, lang)."""
     ids = (i for i in range(10**6) if not held_out(i))
