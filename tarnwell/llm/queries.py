@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import language_id, ppm, token_store, toxicity
+from tarnwell.llm import language_id, ppm, resampling, suffix_dedup, token_store, toxicity
+from tarnwell.llm.alignment import align
 from tarnwell.llm.decontamination import find_overlaps
 from tarnwell.llm.jaccard_join import link
 from tarnwell.llm.license_scan import scan_licenses
@@ -67,6 +68,31 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(
+    spark: SparkSession, sf_dir: str, a_path: str | None = None, b_path: str | None = None
+) -> DataFrame:
+    return align(
+        read_table(spark, sf_dir, "documents"),
+        a_path or public_tokenizers.path("byte_bpe_50k.json"),
+        b_path or public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.draw(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup(read_table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -78,6 +104,9 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 #: SQL for DuckDB, for the queries that SQL can express whole: plain nested comparisons.
@@ -139,4 +168,61 @@ ORACLES = {
         FROM documents d LEFT JOIN sizes USING (doc_id)
         GROUP BY d.doc_id
     """,
+    "op12_importance_resampling": """
+        WITH crc_table AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(
+                [CAST(i AS BIGINT)] || range(8),
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_of
+        ),
+        split AS (
+            SELECT d.rowid_ AS r, doc_id, target, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+            FROM (
+                SELECT row_number() OVER () AS rowid_, doc_id, text, FALSE AS target FROM documents
+                UNION ALL
+                SELECT -row_number() OVER (), NULL, text, TRUE FROM benchmark
+            ) d
+        ),
+        words AS (SELECT r, target, unnest(w) AS word FROM split),
+        spelled AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM words)),
+        hashed AS (
+            SELECT word, xor(list_reduce(
+                [4294967295::BIGINT] || list_transform(range(1, len(h), 2), lambda i: CAST(('0x' || h[i:i + 1]) AS BIGINT)),
+                lambda c, b: xor(crc_of[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+            FROM spelled, crc_table
+        ),
+        counts AS (
+            SELECT bucket, CAST(count(*) FILTER (WHERE NOT target) AS DOUBLE) AS s,
+                   CAST(count(*) FILTER (WHERE target) AS DOUBLE) AS t
+            FROM words JOIN hashed USING (word) GROUP BY bucket
+        ),
+        totals AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM counts),
+        gains AS (
+            SELECT bucket, CAST(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain
+            FROM counts, totals
+        ),
+        weights AS (
+            SELECT r, CAST(sum(gain) AS BIGINT) AS gain, count(*) AS n
+            FROM words JOIN hashed USING (word) JOIN gains USING (bucket)
+            WHERE NOT target GROUP BY r
+        ),
+        scored AS (
+            SELECT r, doc_id, coalesce(n, 0) AS n_features,
+                   coalesce((gain - ((gain % n) + n) % n) // n, 0) AS weight,
+                   CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+            FROM split LEFT JOIN weights USING (r) WHERE NOT target
+        ),
+        keyed AS (
+            SELECT r, doc_id, n_features, weight,
+                   weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+            FROM scored
+        ),
+        places AS (
+            SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS place, count(*) OVER () AS n
+            FROM keyed WHERE n_features >= 20
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank
+        FROM keyed LEFT JOIN places USING (r)
+    """,
 }
