@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def fold(id_column: str = "doc_id", folds: int = 5) -> Column:
     """``crc32`` of the id as text, modulo ``folds``; a null id counts as empty text."""
@@ -18,18 +21,41 @@ def fold(id_column: str = "doc_id", folds: int = 5) -> Column:
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` of the session; only where that is unset, as in local
-    tests, a new temporary folder becomes the session's checkpoint folder.
+    ``spark.checkpoint.dir`` of the session, or the context's checkpoint folder. Where
+    neither is set a local session, as in tests, gets a new temporary folder; on a
+    cluster that would be another one on every machine, so it is an error there.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if not shared:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tarnwell-"))
-        return context.getCheckpointDir()
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared)
-    return shared
+        if not shared and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tarnwell-"))
+    return shared or context.getCheckpointDir()
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after the session was told to hand texts to Python some megabytes at a time.
+
+    Spark's own limit is a number of rows, which says nothing about texts. A limit that
+    the session has already stays.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) is None:
+        conf.set(BATCH_BYTES, str(4 << 20))
+    return docs
+
+
+def in_turns(texts: Sequence[str | None], most: int) -> Iterator[slice]:
+    """Slices of ``texts`` of about ``most`` characters, one text at least."""
+    begin, held = 0, 0
+    for end, text in enumerate(texts, 1):
+        held += len(text or "") + 1
+        if held >= most:
+            yield slice(begin, end)
+            begin, held = end, 0
+    if begin < len(texts):
+        yield slice(begin, len(texts))
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -7,10 +7,17 @@ into inverted lists, as many as make sure that linked sets meet, and meet often:
 meets too seldom is dropped before it is compared. The boundary is where a small set's
 subsets would cost more than its lists.
 
-Equal sets are one class from the start. Lists longer than ``LONG_LIST`` belong to large
-groups of near copies; sets that share such lists are compared block by block, inside
-tasks, so no list of pairs is made of them. The common order puts frequent elements
-last. It is a hint taken from counts and changes costs, not results.
+Equal sets are one class from the start. The common order puts frequent elements last, by
+a sketch of fixed size over all documents, which may take a rare element for a frequent
+one but never the other way round. It changes costs, not results.
+
+Lists longer than ``LONG_LIST`` hold large groups of near copies, or a phrase that many
+unrelated sets have. Prefixes are longer than one shared element would ask for, so
+linked sets share several, and a set with few long lists meets its links in short ones.
+Only sets made of common elements for the most part go by long lists, and by the
+shortest of these that linked sets can't all miss. Sets that those join are compared
+block by block, inside tasks, so no list of pairs is made of them; blocks hold sets of
+like sizes, and blocks whose sizes can't link aren't compared.
 """
 
 from __future__ import annotations
@@ -21,12 +28,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import bitmap, is_set, settle
+from tarnwell.llm.common import bitmap, in_small_batches, is_set, settle
 from tarnwell.llm.components import connected_components
 
 WIDTH = 4  # words in a shingle
@@ -35,8 +43,10 @@ MOST_SMALL = 24  # the boundary between small and large sets is looked for up to
 SCAN = 8  # cost of one inverted list against one subset
 LONG_LIST = 64
 BLOCK = 256
-COMMON = 100_000  # frequent elements whose counts go into the order
-CHUNK = 1_000_000  # elements counted together within a task
+FURTHER = 10  # hundredths of a set by which its prefix is longer than needed to meet once
+CELLS = 1 << 19  # of each of the two rows of the sketch
+CELLS_IN_ROW = 1 << 13
+CHUNK = 1_000_000  # sets that a task remembers
 BITS = 1 << 24  # of the bitmaps that thin out joins
 COLUMNS = 8192  # elements compared at once within a block
 
@@ -74,7 +84,8 @@ def overlap(a: int, b: int, percent: int) -> int:
 
 
 def prefix_size(a: int, percent: int) -> int:
-    return a - -(-percent * a // 100) + 1
+    """Elements of a large set that go into lists."""
+    return min(a, a - -(-percent * a // 100) + 1 + a * FURTHER // 100)
 
 
 def subset_sizes(a: int, percent: int, most: int) -> list[tuple[int, int]]:
@@ -116,49 +127,79 @@ def digest(elements: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(elements.tobytes())
 
 
-def common_counter(width: int):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Elements in several different sets of a chunk (kind 0), and how many sets are small (kind 1)."""
-        held, seen, elements = 0, set(), []
-        small = np.zeros(MOST_SMALL + 1, dtype=np.int64)
+def cells_of(elements: np.ndarray, count: int) -> list[np.ndarray]:
+    """An element's cell in each row of the sketch, from different bits of its hash."""
+    return [((elements >> np.uint64(shift)) % np.uint64(count)).astype(np.int64) for shift in (0, 32)]
 
-        def counted() -> pd.DataFrame:
-            values, counts = np.unique(np.concatenate(elements), return_counts=True)
-            keep = counts > 1
-            return pd.DataFrame({"kind": 0, "key": values[keep].view(np.int64), "n": counts[keep]})
 
+def sketch_counter(width: int, count_of_cells: int, in_row: int):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sets of a task that have an element of each cell (kind 0), and how many are small (kind 1)."""
+        sketch, seen = np.zeros((2, count_of_cells), dtype=np.int64), set()
+        small = np.zeros(MOST_SMALL + 1, dtype=np.int64)
         for batch in batches:
             for text in batch["text"]:
                 found = shingles(text, width)
                 if not len(found) or (name := digest(found)) in seen:
                     continue
+                if len(seen) < CHUNK:
+                    seen.add(name)
                 if len(found) <= MOST_SMALL:
                     small[len(found)] += 1
-                seen.add(name)
-                elements.append(found)
-                held += len(found)
-                if held > CHUNK:
-                    yield counted()
-                    held, seen, elements = 0, set(), []
-        if elements:
-            yield counted()
+                for row, cells in zip(sketch, cells_of(found, count_of_cells), strict=True):
+                    np.add.at(row, cells, 1)
         sizes = np.flatnonzero(small)
-        yield pd.DataFrame({"kind": 1, "key": sizes, "n": small[sizes]})
+        yield pd.DataFrame({"kind": 1, "at": sizes, "n": small[sizes], "cells": None})
+        flat = sketch.reshape(-1, in_row)
+        some = np.flatnonzero(flat.any(axis=1))
+        yield pd.DataFrame({"kind": 0, "at": some, "n": 0, "cells": [squeezed(flat[i]) for i in some]})
 
     return count
 
 
-def keys_of(elements: np.ndarray, ranks: tuple[np.ndarray, np.ndarray], small: int, percent: int) -> list[int]:
+def squeezed(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.astype("<i8").tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 8 * count, codec="zstd", asbytes=True), "<i8")
+
+
+def adder(in_row: int):
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Parts of sketches added up, one row for each place that a task meets."""
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, cells in zip(batch["at"], batch["cells"], strict=True):
+                total[at] = total.get(at, 0) + unsqueezed(cells, in_row)
+        yield pd.DataFrame({"at": list(total), "cells": [squeezed(x) for x in total.values()]})
+
+    return add
+
+
+def counted(texts: DataFrame, width: int) -> tuple[np.ndarray, dict[int, int]]:
+    """The sketch over all texts, and how many small sets there are of each size.
+
+    A part of the sketch is added up by one task; the driver gets ``2 * CELLS`` numbers.
+    """
+    counter = sketch_counter(width, CELLS, CELLS_IN_ROW)
+    counts = settle(texts.select("text").mapInPandas(counter, "kind int, at int, n bigint, cells binary"), "sketch")
+    small = counts.filter("kind = 1").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    parts = counts.filter("kind = 0").select("at", "cells").repartition("at")
+    parts = parts.mapInPandas(adder(CELLS_IN_ROW), "at int, cells binary")
+    sketch = np.zeros((2 * CELLS // CELLS_IN_ROW, CELLS_IN_ROW), dtype=np.int64)
+    for r in parts.collect():
+        sketch[r["at"]] = unsqueezed(r["cells"], CELLS_IN_ROW)
+    return sketch.reshape(2, CELLS), {r["at"]: r["n"] for r in small}
+
+
+def keys_of(elements: np.ndarray, sketch: np.ndarray, small: int, percent: int) -> list[int]:
     """A set's subset keys if it is small, its list keys if a large set can link to it."""
     size, keys = len(elements), []
     if size <= small:
         keys += subset_keys(elements, percent, small)
     if size and 100 * size >= percent * (small + 1):
-        known, counts = ranks
-        weight = np.zeros(size, dtype=np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, elements), len(known) - 1)
-            weight = np.where(known[at] == elements, counts[at], 0)
+        weight = np.minimum(*(row[cells] for row, cells in zip(sketch, cells_of(elements, sketch.shape[1]), strict=True)))
         order = np.lexsort((elements, weight))
         keys += elements[order[: prefix_size(size, percent)]].tolist()
     return signed(keys)
@@ -171,17 +212,20 @@ def list_overlap(a: Column, b: Column, percent: int) -> Column:
     both hold the first of them in the common order.
     """
     share = F.ceil(F.lit(percent) * (a + b) / (100 + percent))
-    held = [x - F.ceil(F.lit(percent) * x / 100) + 1 - (x - share) for x in (a, b)]
-    return F.greatest(F.lit(1), F.least(*held))
+    return F.greatest(F.lit(1), F.least(*(share - x + listed(x, percent) for x in (a, b))))
+
+
+def listed(size: Column, percent: int) -> Column:
+    """``prefix_size`` of a column."""
+    needed = size - F.ceil(F.lit(percent) * size / 100) + 1
+    return F.least(size.cast("bigint"), needed + F.floor(size * FURTHER / 100))
 
 
 def linked_in_block(percent: int):
     """Compares two blocks of sets; gives links for a forest and what they add up to."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("cid")
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        left, right = rows[rows["block"] == i], rows[rows["block"] == j]
+        left, right = rows[rows["on_left"]], rows[rows["on_right"]]
         shared = shared_counts(left["tokens"].tolist(), right["tokens"].tolist())
         a, b = left["size"].to_numpy(), right["size"].to_numpy()
         linked = (100 + percent) * shared >= percent * (a[:, None] + b[None, :])
@@ -190,7 +234,7 @@ def linked_in_block(percent: int):
         out = [
             pd.DataFrame({"a": a_id, "b": None, "links": linked @ right["weight"].to_numpy()})
         ]
-        if i != j:
+        if not (rows["on_left"] & rows["on_right"]).any():  # two blocks
             out.append(pd.DataFrame({"a": b_id, "b": None, "links": linked.T @ left["weight"].to_numpy()}))
         parent = {int(x): int(x) for x in np.concatenate([a_id, b_id])}
 
@@ -253,25 +297,15 @@ def link(
     same id go to the one read first. Other columns are ignored; an empty table gives an
     empty result.
     """
-    texts = docs.select(
+    texts = in_small_batches(docs).select(
         F.col(id_column).cast("bigint").alias("doc_id"),
         F.xxhash64(F.col(text_column)).alias("text_key"),
         F.col(text_column).cast("string").alias("text"),
     )
     session = docs.sparkSession
-    counts = settle(
-        texts.select("text")
-        .mapInPandas(common_counter(width), "kind int, key bigint, n bigint")
-        .groupBy("kind", "key")
-        .agg(F.sum("n").alias("n")),
-        "common",
-    )
-    histogram = {r.key: r.n for r in counts.filter("kind = 1").collect()}  # MOST_SMALL rows
-    common = counts.filter("kind = 0").orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
-    known = common["key"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(known)
+    sketch, histogram = counted(texts, width)
     small = boundary(histogram, percent)
-    shared = session.sparkContext.broadcast((known[order], common["n"].to_numpy().astype(np.int64)[order]))
+    shared = session.sparkContext.broadcast(sketch)  # of a fixed size
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row, seen = TaskContext.get().partitionId() << 36, set()
@@ -327,10 +361,11 @@ def link(
     kept = entries.filter(is_set(bitmap(lengths, "key", BITS).scalar(), F.col("key"), BITS))
     entries = settle(kept.join(lengths, "key"), "entries")
 
-    clusters = long_list_clusters(entries)
+    clusters = long_list_clusters(entries, small, percent)
     pairs = settle(meeting_often(entries, clusters, small, percent), "pairs")
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid")))
     if clusters is not None:
+        clusters = clusters.filter("cluster IS NOT NULL").select("cid", "cluster")
         wanted = wanted.union(clusters.select("cid"))
     sets = sets_of(texts, classes.join(wanted.distinct(), "cid"), width)
     links = compared(pairs, sets, percent)
@@ -342,30 +377,50 @@ def link(
     return with_components(rows, classes, settle(components, "components"), per_class)
 
 
-def long_list_clusters(entries: DataFrame) -> DataFrame | None:
-    """``(cid, cluster)`` of the sets that are joined by long lists; None if there are none."""
+def long_list_clusters(entries: DataFrame, small: int, percent: int) -> DataFrame | None:
+    """``(cid, longs, cluster)`` of the sets in long lists; None if there are none.
+
+    ``longs`` is their number, ``cluster`` is null where short lists are enough. Linked sets
+    of sizes a and b meet in ``list_overlap(a, b)`` lists at least, so a set with fewer
+    long lists than any partner leaves meets its links in short ones too. Of the others'
+    long lists all but that number less one are enough, and the shortest are taken.
+    Subset keys ask for one meeting.
+    """
     long = entries.filter(F.col("n") > LONG_LIST)
     if not long.head(1):
         return None
-    least = long.groupBy("key").agg(F.min("cid").alias("a"))
-    edges = long.join(least, "key").select("a", F.col("cid").alias("b"))
-    return settle(
-        connected_components(edges).select(F.col("node").alias("cid"), F.col("root").alias("cluster")),
-        "clusters",
+    least = F.when(F.col("size") <= small, 1).otherwise(least_overlap(F.col("size"), percent))
+    own = Window.partitionBy("cid")
+    lists = settle(
+        long.withColumn("longs", F.count("*").over(own)).withColumn("turn", F.row_number().over(own.orderBy("n", "key"))),
+        "long-lists",
     )
+    taken = lists.filter(F.col("turn") <= F.col("longs") - least + 1).select("key", "cid")
+    heads = taken.groupBy("key").agg(F.min("cid").alias("a"))
+    joined = connected_components(taken.join(heads, "key").select("a", F.col("cid").alias("b")))
+    joined = joined.select(F.col("node").alias("cid"), F.col("root").alias("cluster"))
+    every = lists.filter("turn = 1").select("cid", "longs")
+    return settle(every.join(unbounded(joined), "cid", "left"), "clusters")
+
+
+def least_overlap(size: Column, percent: int) -> Column:
+    """The smallest ``list_overlap`` of a set of ``size`` with any that it can link to.
+
+    Of two linked sets the smaller holds ``percent`` hundredths of the larger, which its
+    prefix without the further part would meet once; the further part adds its own.
+    """
+    return 1 + F.floor(F.ceil(F.lit(percent) * size / 100) * FURTHER / 100)
 
 
 def meeting_often(entries: DataFrame, clusters: DataFrame | None, small: int, percent: int) -> DataFrame:
     """Pairs that share a subset, or enough lists; not those that are compared in blocks."""
     short = entries.filter(F.col("n") <= LONG_LIST).select("key", "cid", "size")
     if clusters is None:
-        short = short.withColumn("cluster", F.lit(None).cast("bigint"))
+        short = short.withColumns({"cluster": F.lit(None).cast("bigint"), "longs": F.lit(0)})
     else:
-        short = short.join(clusters, "cid", "left")
-    left, right = (
-        short.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("cid", "size", "cluster")))
-        for side in "lr"
-    )
+        short = short.join(clusters, "cid", "left").withColumn("longs", F.coalesce("longs", F.lit(0)))
+    columns = ("cid", "size", "cluster", "longs")
+    left, right = (short.select("key", *(F.col(c).alias(f"{side}_{c}") for c in columns)) for side in "lr")
     a, b = F.col("l_size"), F.col("r_size")
     together = F.coalesce(F.col("l_cluster") == F.col("r_cluster"), F.lit(False))
     met = left.join(
@@ -375,9 +430,11 @@ def meeting_often(entries: DataFrame, clusters: DataFrame | None, small: int, pe
         & (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
         & ~together,
     )
-    often = F.when(F.greatest("l_size", "r_size") <= small, 1).otherwise(list_overlap(a, b, percent))
+    # Of the lists in which they must meet, long ones aren't counted here.
+    often = list_overlap(a, b, percent) - F.least("l_longs", "r_longs")
+    often = F.when(F.greatest("l_size", "r_size") <= small, 1).otherwise(often)
     return (
-        met.groupBy(F.col("l_cid").alias("a"), F.col("r_cid").alias("b"), "l_size", "r_size")
+        met.groupBy(F.col("l_cid").alias("a"), F.col("r_cid").alias("b"), "l_size", "r_size", "l_longs", "r_longs")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") >= often)
         .select("a", "b")
@@ -387,20 +444,18 @@ def meeting_often(entries: DataFrame, clusters: DataFrame | None, small: int, pe
 def sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The sets of the classes in ``wanted``, made again from one text of each.
 
-    Where rows repeat an id and its text, the set is there as often.
+    Where rows repeat an id and its text, one of them is taken.
     """
     wanted = settle(
         wanted.select(
-            "cid", "size", "weight", F.col("at.doc_id").alias("at_id"), F.col("at.text_key").alias("text_key")
+            "cid", "size", "weight", F.xxhash64("at.doc_id", "at.text_key").alias("row_key"), F.col("at.text_key").alias("text_key")
         ),
         "wanted",
     )
-    sieve = bitmap(wanted, "text_key", BITS).scalar()
-    likely = texts.filter(is_set(sieve, F.col("text_key"), BITS))
-    found = likely.join(
-        unbounded(wanted),
-        (likely["text_key"] == wanted["text_key"]) & F.col("doc_id").eqNullSafe(F.col("at_id")),
-    ).select("cid", "size", "weight", "text")
+    row_key = F.xxhash64("doc_id", "text_key")
+    likely = texts.withColumn("row_key", row_key).filter(is_set(bitmap(wanted, "row_key", BITS).scalar(), F.col("row_key"), BITS))
+    once = likely.groupBy("row_key", "text_key").agg(F.first("text").alias("text"))
+    found = once.join(unbounded(wanted), ["row_key", "text_key"]).select("cid", "size", "weight", "text")
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -421,7 +476,6 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .join(right, "b")
         .filter(shared * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent)
         .select("a", "b", "a_weight", "b_weight")
-        .distinct()
     )
     both = F.array(
         F.struct(F.col("a"), F.col("b"), F.col("b_weight").alias("links")),
@@ -431,22 +485,46 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def compared_in_blocks(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within each cluster, from comparing its blocks of about ``BLOCK`` sets two by two."""
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = (
-        sets.join(clusters, "cid")
-        .join(sizes, "cluster")
-        .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """Links within each cluster, from comparing its blocks of about ``BLOCK`` sets two by two.
+
+    Blocks hold sets of one size class. A class spans a ratio of sizes that linked sets
+    keep within, so a block is compared with those of its class and of the next.
+    """
+    steps = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) * (1 - 1e-9))
+    members = sets.join(clusters, "cid").withColumn("class", steps.cast("int"))
+    sizes = settle(
+        members.groupBy("cluster", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks"
+    )
+    after = sizes.select("cluster", (F.col("class") - 1).alias("class"), F.col("blocks").alias("blocks_after"))
+    before = sizes.select("cluster", (F.col("class") + 1).alias("class"), F.col("blocks").alias("blocks_before"))
+
+    def blocks_of(step: int, column: str) -> Column:
+        count = F.coalesce(F.col(column), F.lit(0))
+        numbers = F.slice(F.sequence(F.lit(0), count), 1, count)  # none, if there are none
+        return F.transform(numbers, lambda k: block_name(F.col("class") + step, k))
+
+    met = F.concat(blocks_of(0, "blocks"), blocks_of(1, "blocks_after"), blocks_of(-1, "blocks_before"))
+    dealt = (
+        members.join(sizes, ["cluster", "class"])
+        .join(after, ["cluster", "class"], "left")
+        .join(before, ["cluster", "class"], "left")
+        .withColumn("block", block_name(F.col("class"), F.pmod(F.xxhash64("cid"), F.col("blocks"))))
+        .withColumn("other", F.explode(met))
         .withColumn("i", F.least("block", "other"))
         .withColumn("j", F.greatest("block", "other"))
-        .select("cluster", "i", "j", "block", "cid", "size", "weight", "tokens")
+        .withColumn("on_left", F.col("block") == F.col("i"))
+        .withColumn("on_right", F.col("block") == F.col("j"))
+        .select("cluster", "i", "j", "on_left", "on_right", "cid", "size", "weight", "tokens")
     )
-    return members.groupBy("cluster", "i", "j").applyInPandas(
+    return dealt.groupBy("cluster", "i", "j").applyInPandas(
         linked_in_block(percent), "a bigint, b bigint, links bigint"
     )
 
 
+def block_name(size_class: Column, number: Column) -> Column:
+    return F.shiftleft(size_class.cast("bigint"), 32) + number
+
+
 def with_components(rows: DataFrame, classes: DataFrame, components: DataFrame, per_class: DataFrame) -> DataFrame:
     placed = (
         classes.join(components.withColumnRenamed("node", "cid"), "cid", "left")

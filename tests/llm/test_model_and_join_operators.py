@@ -261,12 +261,21 @@ def jaccard_rows(seed, near=40):
 
 
 @pytest.mark.parametrize(
-    ("long_list", "small", "percent", "width"),
-    [(64, None, 85, 4), (6, None, 85, 4), (6, 0, 85, 4), (6, None, 80, 5), (64, None, 60, 2)],
+    ("long_list", "small", "percent", "width", "cells"),
+    [
+        (64, None, 85, 4, None),
+        (6, None, 85, 4, 1),  # an order that knows nothing
+        (3, 0, 85, 4, 64),
+        (6, None, 80, 5, None),
+        (2, 0, 60, 2, 1),
+    ],
 )
-def test_links_equal_brute_force(spark, monkeypatch, long_list, small, percent, width):
+def test_links_equal_brute_force(spark, monkeypatch, long_list, small, percent, width, cells):
     monkeypatch.setattr(jaccard_join, "LONG_LIST", long_list)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4 if cells == 1 else 16)
+    if cells:
+        monkeypatch.setattr(jaccard_join, "CELLS", cells)
+        monkeypatch.setattr(jaccard_join, "CELLS_IN_ROW", cells)
     if small is not None:
         monkeypatch.setattr(jaccard_join, "MOST_SMALL", small)
     rows = jaccard_rows(3)
@@ -274,6 +283,72 @@ def test_links_equal_brute_force(spark, monkeypatch, long_list, small, percent,
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.links) for r in found) == brute_links(rows, percent, width)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85, 99])
+def test_linked_sets_meet_in_as_many_lists_as_counted_on(spark, percent):
+    sizes = [(a, b) for a in range(1, 120) for b in range(a, 100 * a // percent + 1)]
+    rows = spark.createDataFrame(sizes, "a int, b int").select(
+        "a",
+        "b",
+        jaccard_join.list_overlap(F.col("a"), F.col("b"), percent).alias("meet"),
+        *(jaccard_join.least_overlap(F.col(c), percent).alias(f"least_{c}") for c in "ab"),
+        jaccard_join.listed(F.col("a"), percent).alias("listed"),
+    )
+    for r in rows.collect():
+        share = jaccard_join.overlap(r.a, r.b, percent)
+        if share > r.a:
+            continue  # these can't link
+        prefixes = [jaccard_join.prefix_size(x, percent) for x in (r.a, r.b)]
+        assert r.listed == prefixes[0]
+        assert 1 <= r.meet == min(share - x + p for x, p in zip((r.a, r.b), prefixes, strict=True))
+        assert max(r.least_a, r.least_b) <= r.meet
+
+
+def test_common_phrases_make_no_clusters_of_unrelated_sets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CELLS", 1 << 10)  # every cell has many elements
+    monkeypatch.setattr(jaccard_join, "CELLS_IN_ROW", 1 << 10)
+    seen = []
+    compared = jaccard_join.compared_in_blocks
+    monkeypatch.setattr(jaccard_join, "compared_in_blocks", lambda clusters, *rest: (seen.append(clusters.groupBy("cluster").count().collect()), compared(clusters, *rest))[1])
+    rng = random.Random(21)
+    phrases = [" ".join(words_of(rng, 12, 10**6)) for _ in range(50)]
+    texts = []
+    for _ in range(1200):
+        parts = [*rng.sample(phrases, 4), *(" ".join(words_of(rng, 15, 10**7)) for _ in range(5))]
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+    base = words_of(rng, 80, 10**6)
+    for _ in range(100):  # a real group of near copies
+        words = list(base)
+        words[rng.randrange(80)] = f"z{rng.randrange(90)}"
+        texts.append(" ".join(words))
+    found = jaccard_join.link(table(spark, list(enumerate(texts)))).collect()
+    assert all(r.component_id == r.doc_id and r.links == 0 for r in found if r.doc_id < 1200)
+    assert sum(r.links > 0 for r in found) > 90
+    assert max([r["count"] for rows in seen for r in rows], default=0) <= 100
+
+
+def test_only_blocks_of_like_sizes_are_compared(spark):
+    members = [(i, size) for i, size in enumerate([10] * 5 + [11] * 5 + [14] * 5 + [100] * 5 + [117] * 5)]
+    sets = spark.createDataFrame([(i, n, 1, list(range(n))) for i, n in members], "cid bigint, size int, weight bigint, tokens array<bigint>")
+    clusters = spark.createDataFrame([(i, 0) for i, _ in members], "cid bigint, cluster bigint")
+    links = jaccard_join.compared_in_blocks(clusters, sets, 85).filter("links > 0").groupBy("a").agg(F.sum("links")).collect()
+    expected = {i: sum(100 * min(n, m) >= 85 * max(n, m) for j, m in members if j != i) for i, n in members}
+    assert dict(map(tuple, links)) == expected
+
+
+def test_a_set_is_made_once_however_often_its_row_is_repeated(spark, monkeypatch):
+    made = []
+    settle = jaccard_join.settle
+    monkeypatch.setattr(jaccard_join, "settle", lambda df, name: (made.append((name, out := settle(df, name))), out)[1])
+    rng = random.Random(22)
+    base = words_of(rng, 60)
+    near = [*base[:-1], "other"]
+    rows = [(1, " ".join(base))] * 300 + [(2, " ".join(near))] * 300
+    found = jaccard_join.link(table(spark, rows)).collect()
+    assert {(r.doc_id, r.component_id, r.links) for r in found} == {(1, 1, 599), (2, 1, 599)}
+    assert [df.count() for name, df in made if name == "tokens"] == [2]
+
+
 def test_one_row_of_each_component_stays(spark):
     rows = jaccard_rows(4, near=10)
     docs = table(spark, rows)
