@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tarnwell.llm.common import settle
+from tarnwell.llm.common import in_small_batches, in_turns, settle
 
 #: Fixed value: how byte-level tokenizers split a text before merging, by default.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_BYTES = 4 << 20  # of text, about
-ENCODED_BYTES = 1 << 18  # of text, encoded together
+ENCODED_CHARACTERS = 1 << 18  # encoded together
 LINKS_AT_ONCE = 2_000_000
 PAIRS_IN_ROW = 50_000
 
@@ -268,8 +268,9 @@ def align(
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         aligner, block, number = Aligner(a_path, b_path), Block(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for some in chunks(batch):
-                for doc_id, text, found in zip(some["doc_id"], some["text"], aligner.align(some["text"].tolist()), strict=True):
+            ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
+            for some in in_turns(texts, ENCODED_CHARACTERS):
+                for doc_id, text, found in zip(ids[some], texts[some], aligner.align(texts[some]), strict=True):
                     row = (doc_id, 0, 0, 0, 0, "", None)
                     if found:
                         groups = aligner.written(found)
@@ -284,7 +285,7 @@ def align(
         if block.rows:
             yield from block.frames(number)
 
-    texts = docs.select(
+    texts = in_small_batches(docs).select(
         F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text")
     )
     waiting = settle(texts.mapInPandas(encode, WAITING), "aligned")
@@ -312,10 +313,3 @@ def align(
     rows = waiting.filter("pairs IS NULL").drop(*NO_PAIRS)
     result = rows.groupBy("block").cogroup(answers.groupBy("asker")).applyInPandas(summed, RESULT)
     return result if with_groups else result.drop("groups")
-
-
-def chunks(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Rows whose texts add up to about ``ENCODED_BYTES``."""
-    part = batch["text"].str.len().fillna(0).cumsum() // ENCODED_BYTES
-    for _, rows in batch.groupby(part.to_numpy(), sort=False):
-        yield rows

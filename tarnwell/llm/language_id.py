@@ -16,10 +16,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import fold, hash_sample, settle
+from tarnwell.llm.common import fold, hash_sample, in_small_batches, in_turns, settle
 
 RUNS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -27,8 +28,10 @@ LONGEST = 4
 WORD_PRIOR = 0.5  # added to each count
 GRAM_WEIGHT = 0.5  # an unseen word's n-grams say less than a known word
 MAX_TRAIN_DOCS = 20_000
-TEXTS_AT_ONCE = 500
+CHARACTERS_AT_ONCE = 500_000
+HASH_SEED = 42  # Spark's
 MAX_WORDS, MAX_GRAMS = 100_000, 50_000  # kept of each language, n-grams of each size
+ALL_WORDS, ALL_GRAMS = 2_000_000, 1_000_000  # in even shares, of all languages together
 LEAST_WORD, LEAST_GRAM = 2, 5  # times that a language must have what is kept for it
 LEAST_EVIDENCE = 0.5  # share of a kept text's letters
 TIES = 1 << 30  # parts in which a hash deals equally common ones
@@ -51,9 +54,9 @@ def grams_of(word: str, size: int) -> list[str]:
 def count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts per language of words (size 0) and n-grams, one row each for some texts."""
     for batch in batches:
-        for start in range(0, len(batch), TEXTS_AT_ONCE):
+        for some in in_turns(batch["text"].tolist(), CHARACTERS_AT_ONCE):
             counts: Counter = Counter()
-            for lang, texts in batch.iloc[start : start + TEXTS_AT_ONCE].groupby("lang")["text"]:
+            for lang, texts in batch.iloc[some].groupby("lang")["text"]:
                 words = Counter(chain.from_iterable(map(words_of, texts)))
                 for word, times in words.items():
                     counts[lang, 0, word] += times
@@ -66,39 +69,55 @@ def count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
+def keys_of(grams: Sequence[str]) -> np.ndarray:
+    """64-bit hashes, the same that Spark's ``xxhash64`` gives."""
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(g.encode("utf-8", "surrogatepass"), HASH_SEED) for g in grams), np.uint64, len(grams))
+
+
 class LanguageModel:
-    """Log frequencies of words and n-grams in each language.
+    """Log frequencies of words and n-grams in each language, in sorted arrays.
 
     Only the languages that have a word or n-gram take space for it, so the model grows
     with what the languages have and not with the number of languages times that.
     """
 
     def __init__(self, counts: pa.Table, docs_per_lang: dict[str, int]):
+        """``counts`` has a row for each word or n-gram: ``size``, ``key`` and ``found``, a list of ``lang`` and ``n``."""
         self.langs = sorted(docs_per_lang)
-        self.places: list[dict[str, int]] = []  # by size, the row of each word or n-gram
+        self.keys: list[np.ndarray] = []  # by size, hashes in ascending order
         self.starts: list[np.ndarray] = []  # by row, where its languages begin
         self.columns: list[np.ndarray] = []  # languages that have it
         self.gains: list[np.ndarray] = []  # log frequency there, over that of what was never seen
         self.unseen: list[np.ndarray] = []
         for size in range(LONGEST + 1):
             own = counts.filter(pc.equal(counts["size"], size)).combine_chunks()
-            grams = own["gram"].to_pylist()
+            keys = own["key"].to_numpy().astype(np.int64).view(np.uint64)
+            order = np.argsort(keys)
+            own = own.take(order)
             ends = np.cumsum(pc.list_value_length(own["found"]).to_numpy())
             found = pc.list_flatten(own["found"]).combine_chunks()
             columns = pc.index_in(found.field("lang"), pa.array(self.langs, pa.string())).to_numpy()
             numbers = found.field("n").to_numpy()
-            totals = np.bincount(columns, numbers, len(self.langs)) + WORD_PRIOR * len(grams)
-            self.places.append({gram: i for i, gram in enumerate(grams)})
+            totals = np.bincount(columns, numbers, len(self.langs)) + WORD_PRIOR * len(keys)
+            self.keys.append(keys[order])
             self.starts.append(np.concatenate([[0], ends]).astype(np.int64))
             self.columns.append(columns.astype(np.int32))
             self.gains.append(np.log(numbers / WORD_PRIOR + 1).astype(np.float32))
-            self.unseen.append(np.log(WORD_PRIOR / totals) if grams else totals)
+            self.unseen.append(np.log(WORD_PRIOR / totals) if len(keys) else totals)
         docs = np.array([docs_per_lang[lang] for lang in self.langs], dtype=float)
         self.prior = np.log(docs / docs.sum()) if len(docs) else docs
 
-    def sums(self, size: int, owners: list[int], rows: list[int], count: int) -> np.ndarray:
+    def rows(self, size: int, grams: Sequence[str]) -> np.ndarray:
+        """The row of each word or n-gram, -1 where it isn't known."""
+        known, keys = self.keys[size], keys_of(grams)
+        if not len(known):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, at, -1)
+
+    def sums(self, size: int, owner: np.ndarray, row: np.ndarray, count: int) -> np.ndarray:
         """For each of ``count`` owners, the log frequencies of its rows added up."""
-        owner, row = np.array(owners, dtype=np.int64), np.array(rows, dtype=np.int64)
         starts = self.starts[size][row]
         lengths = self.starts[size][row + 1] - starts
         flat = np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
@@ -109,25 +128,20 @@ class LanguageModel:
 
     def words(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each word's score in each language, and whether more than single letters speak for it."""
-        known = [self.places[0].get(word, -1) for word in words]
-        owners = [i for i, row in enumerate(known) if row >= 0]
-        scores = self.sums(0, owners, [known[i] for i in owners], len(words))
-        left = [i for i, row in enumerate(known) if row < 0]
+        known = self.rows(0, words)
+        owners = np.flatnonzero(known >= 0)
+        scores = self.sums(0, owners, known[owners], len(words))
+        left = np.flatnonzero(known < 0)
         for size in range(LONGEST, 0, -1):
-            place = self.places[size].get
-            backed, owners, rows, unbacked = [], [], [], []
-            for i in left:
-                found = [row for g in grams_of(words[i], size) if (row := place(g)) is not None]
-                if found:
-                    owners += [len(backed)] * len(found)
-                    rows += found
-                    backed.append(i)
-                else:
-                    unbacked.append(i)
-            if backed:
-                grams = GRAM_WEIGHT * self.sums(size, owners, rows, len(backed))
-                scores[backed] = grams - grams.max(axis=1, keepdims=True)
-            left = unbacked
+            grams = [grams_of(words[i], size) for i in left.tolist()]
+            owner = np.repeat(np.arange(len(left)), [len(g) for g in grams])
+            rows = self.rows(size, list(chain.from_iterable(grams)))
+            owner, rows = owner[rows >= 0], rows[rows >= 0]
+            backed, owner = np.unique(owner, return_inverse=True)
+            if len(backed):
+                found = GRAM_WEIGHT * self.sums(size, owner, rows, len(backed))
+                scores[left[backed]] = found - found.max(axis=1, keepdims=True)
+            left = np.delete(left, backed)
             if size == 2:
                 spoken_for = np.ones(len(words), dtype=bool)
                 spoken_for[left] = False
@@ -170,12 +184,13 @@ def limits(steps: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int,
 
     Steps are (language, size, count, entries with that count).
     """
+    langs = len({lang for lang, *_ in steps})
     per_table: dict[tuple[str, int], list[tuple[int, int]]] = {}
     for lang, size, n, entries in steps:
         per_table.setdefault((lang, size), []).append((n, entries))
     found = []
     for (lang, size), counts in per_table.items():
-        room = MAX_GRAMS if size else MAX_WORDS
+        room = min(MAX_GRAMS, ALL_GRAMS // langs) if size else min(MAX_WORDS, ALL_WORDS // langs)
         for n, entries in sorted(counts, reverse=True):
             least, parts = n, TIES * min(room, entries) // entries
             room -= entries
@@ -195,11 +210,15 @@ def train(
     """Learn from labelled documents outside the held-out fold.
 
     The classifier is fitted on a hash sample of about ``max_docs`` of them. Each language
-    keeps its own commonest ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams of each size,
-    however many other languages there are, and what is kept for one language is counted
-    in all. What the driver gathers is bounded by that for each language.
+    keeps its own commonest ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams of each size, or an
+    even share of ``ALL_WORDS`` and ``ALL_GRAMS`` where there are more than 20 languages. What
+    is kept for one language is counted in all. So the model has at most ``ALL_WORDS`` and
+    ``LONGEST`` times ``ALL_GRAMS`` entries, and the driver gathers no more.
+
+    Rows without an id are a fold of their own; null texts and languages are left out,
+    repeated rows count each, and an empty table gives a model that knows no language.
     """
-    labelled = docs.filter(
+    labelled = in_small_batches(docs).filter(
         (fold(id_column) != 0) & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()
     ).select(
         F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")
@@ -225,7 +244,7 @@ def train(
         .groupBy("size", "gram")
         .agg(F.collect_list(F.struct("lang", "n")).alias("found"), F.max(kept).alias("kept"))
         .filter("kept")
-        .select("size", "gram", "found")
+        .select("size", F.xxhash64("gram").alias("key"), "found")
     )
     per_lang = labelled.groupBy("lang").count().collect()
     return LanguageModel(top.toArrow(), {r.lang: r["count"] for r in per_lang})
@@ -237,8 +256,8 @@ def identify(
     """One row per input row: the language and its share of the likelihood.
 
     A null text or one without a letter is ``und`` with score 0, and so is everything
-    if nothing was learned. Between equal languages the first by name wins. Repeated
-    rows give repeated rows, a null id is kept and counts as empty text for the fold,
+    if nothing was learned. Between equal languages the first by name wins. A very long
+    text is read whole, by itself. Repeated rows give repeated rows, a null id is kept and counts as empty text for the fold,
     other columns are ignored, an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -246,14 +265,14 @@ def identify(
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for batch in batches:
-            for start in range(0, len(batch), TEXTS_AT_ONCE):
-                part = batch.iloc[start : start + TEXTS_AT_ONCE]
+            for some in in_turns(batch["text"].tolist(), CHARACTERS_AT_ONCE):
+                part = batch.iloc[some]
                 lang, score = zip(*known.texts(part["text"].tolist()), strict=True)
                 yield pd.DataFrame(
                     {"doc_id": part["doc_id"], "held_out": part["held_out"], "lang_pred": lang, "score": score}
                 ).astype({"doc_id": "Int64"})
 
-    return docs.select(
+    return in_small_batches(docs).select(
         F.col(id_column).cast("bigint").alias("doc_id"),
         (fold(id_column) == 0).alias("held_out"),
         F.col(text_column).cast("string").alias("text"),
@@ -273,14 +292,17 @@ def keep_identified(
     The score only compares the languages learned, so a text in a script or language of
     which next to nothing was learned could have any. At least ``least_evidence`` of its
     letters must be in words that are known or have a known n-gram of two characters.
+
+    Null and empty texts and those without a letter go. Repeated rows stay or go alike, a
+    null id doesn't matter, very long texts are read whole, an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def identified(texts: pd.Series) -> pd.Series:
         found = []
-        for start in range(0, len(texts), TEXTS_AT_ONCE):
-            found += shared.value.with_evidence(texts.iloc[start : start + TEXTS_AT_ONCE].tolist())
+        for some in in_turns(texts.tolist(), CHARACTERS_AT_ONCE):
+            found += shared.value.with_evidence(texts.iloc[some].tolist())
         return pd.Series(
             [
                 lang != UNKNOWN and score >= least and evidence >= least_evidence
@@ -289,4 +311,4 @@ def keep_identified(
             dtype=bool,
         )
 
-    return docs.filter(identified(F.col(text_column).cast("string")))
+    return in_small_batches(docs).filter(identified(F.col(text_column).cast("string")))

@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tarnwell.llm.common import in_small_batches
+
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")  # in UTF-8, all that is beyond ASCII is in words
 
 #: Base phrases and their labels.
@@ -365,6 +367,6 @@ def scan_licenses(
     null id is kept, other columns are ignored, an empty table gives an empty result.
     No shuffle; what a task holds is the templates' automaton and one batch.
     """
-    return docs.selectExpr(
+    return in_small_batches(docs).selectExpr(
         f"CAST(`{id_column}` AS bigint) AS doc_id", f"CAST(`{text_column}` AS string) AS text"
     ).mapInPandas(scanner(templates, base), SCHEMA)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import settle
+from tarnwell.llm.common import in_small_batches, settle
 from tarnwell.llm.license_scan import words_of
 
 BUCKETS = 10_000
@@ -162,6 +162,7 @@ def draw(
     driver holds is two numbers for each bucket and ``PIVOTS`` keys.
     """
     text = F.col(text_column).cast("string").alias("text")
+    docs = in_small_batches(docs)
     gains = gains_of(
         bucket_counts(docs.select(text), longest, buckets),
         bucket_counts(target.select(F.col(target_text_column).cast("string").alias("text")), longest, buckets),

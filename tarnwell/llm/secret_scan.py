@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwell.llm.common import in_small_batches
+
 KINDS = ("assign", "access", "hex", "jwt", "der_key", "ssh_key")
 #: The base patterns, and what must follow for a match to count.
 ASSIGN = re.compile(
@@ -194,7 +196,7 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     rows give repeated rows, a null id is kept, other columns are ignored, and an empty
     table gives an empty result. No shuffle: each text is read once where it lies.
     """
-    return docs.selectExpr(
+    return in_small_batches(docs).selectExpr(
         f"CAST(`{id_column}` AS bigint) AS doc_id", f"CAST(`{text_column}` AS string) AS text"
     ).mapInPandas(scan, SCHEMA)
 
@@ -221,7 +223,7 @@ def blank_secrets(docs: DataFrame, text_column: str = "text", length_column: str
     def blank(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: text if text is None else blanked(text))
 
-    result = docs.withColumn(text_column, blank(F.col(text_column)))
+    result = in_small_batches(docs).withColumn(text_column, blank(F.col(text_column)))
     if length_column:
         length = F.length(text_column).cast(docs.schema[length_column].dataType)
         result = result.withColumn(length_column, length)

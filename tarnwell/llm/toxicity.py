@@ -21,14 +21,15 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import fold, hash_sample, settle
+from tarnwell.llm.common import fold, hash_sample, in_small_batches, settle
 
 MAX_TRAIN_DOCS = 20_000  # labelled documents the classifier is fitted on
-MAX_LEXICON = 5_000
-LEAST_TOXIC_DOCS, LEAST_TOXIC_SHARE, LEAST_LOG_ODDS = 4, 1 / 150, 1.5  # of a lexicon word
+MAX_LEXICON = 20_000
+LEAST_TOXIC_DOCS, LEAST_LOG_ODDS = 4, 1.5  # of a lexicon word
+LEAST_RATIO = 15.1  # twice the log likelihood ratio; chance alone gives so much to one word in 10,000
 NEAR = 6  # words around a lexicon word in which a second person counts as near
 
 TOKENS = re.compile(r"[^\s.,;:?\"()|<>\[\]{}…«»]+")
@@ -143,6 +144,20 @@ class ToxicityModel:
     base_rate: float
 
 
+def likelihood_ratio(share: float) -> Column:
+    """Twice the log likelihood ratio of a word's toxic and clean documents against a ``share`` of toxic ones.
+
+    It grows with the documents that have the word and asks no more of it in a larger
+    sample.
+    """
+    both = F.col("toxic") + F.col("clean")
+
+    def part(times: Column, of: float) -> Column:
+        return F.when(times > 0, times * F.log(times / (both * max(of, 1e-9)))).otherwise(0.0)
+
+    return 2 * (part(F.col("toxic"), share) + part(F.col("clean"), 1 - share))
+
+
 def with_features(docs: DataFrame, lexicon: dict[str, float], keep: str) -> DataFrame:
     """Columns named in ``keep`` (a schema) and the features of column ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
@@ -190,7 +205,7 @@ def train(
         .groupBy(F.col(id_column).cast("bigint").alias("id"))
         .agg(F.max(F.col(label_column).cast("int")).alias("toxic"))
     )
-    texts = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
+    texts = in_small_batches(docs).select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
     # The sample's size is bounded by max_docs, so its ids and labels can be broadcast.
     sample = settle(
         texts.join(F.broadcast(hash_sample(ids, "id", max_docs, seed=1)), "id").withColumn(
@@ -208,13 +223,13 @@ def train(
     odds = F.log((F.col("toxic") + 0.5) / (sizes.get(1, 0) + 1.0)) - F.log(
         (F.col("clean") + 0.5) / (sizes.get(0, 0) + 1.0)
     )
-    least = max(LEAST_TOXIC_DOCS, sizes.get(1, 0) * LEAST_TOXIC_SHARE)
+    share = sizes.get(1, 0) / max(sum(sizes.values()), 1)
     words = (
         fit_docs.select("text", "toxic")
         .mapInPandas(word_counts, "word string, clean bigint, toxic bigint")
         .groupBy("word")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .filter(F.col("toxic") >= least)
+        .filter((F.col("toxic") >= LEAST_TOXIC_DOCS) & (likelihood_ratio(share) >= LEAST_RATIO))
         .select("word", odds.alias("weight"), F.col("toxic").alias("n"))
         .filter(F.col("weight") >= LEAST_LOG_ODDS)
         .orderBy((F.col("weight") * F.sqrt("n")).desc(), "word")
@@ -245,13 +260,13 @@ def score(
 ) -> DataFrame:
     """One row per input row: the calibrated probability that the text is toxic.
 
-    The isotonic curve is flat in places; a hundredth of the score comes from the
-    trees' margin, so that order within a flat stretch isn't lost. A null or empty text
-    is scored from features that are all zero. Repeated rows give repeated rows, a null
-    id is kept and counts as empty text for the fold, other columns are ignored, an
-    empty table gives an empty result.
+    The score is the isotonic curve at the trees' margin, straight between its corners;
+    texts whose margins lie in a flat stretch of it tie. A null or empty text is scored
+    from features that are all zero, a very long one is read whole, by itself. Repeated
+    rows give repeated rows, a null id is kept and counts as empty text for the fold,
+    other columns are ignored, an empty table gives an empty result.
     """
-    rows = docs.select(
+    rows = in_small_batches(docs).select(
         F.col(id_column).cast("bigint").alias("doc_id"),
         (fold(id_column) == 0).alias("held_out"),
         F.col(text_column).cast("string").alias("text"),
@@ -266,8 +281,7 @@ def score(
 
         @F.pandas_udf("double")
         def calibrated(margin: pd.Series) -> pd.Series:
-            share = np.interp(margin, bounds, values)
-            return pd.Series(0.99 * share + 0.01 / (1 + np.exp(-2 * margin)))
+            return pd.Series(np.interp(margin, bounds, values))
 
         scored = margins.withColumn("score", calibrated("margin"))
     return scored.select(

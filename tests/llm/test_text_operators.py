@@ -5,11 +5,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 import struct
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tarnwell.llm import language_id, toxicity
@@ -348,6 +351,77 @@ def test_equally_common_entries_share_the_last_places(monkeypatch):
     ]
 
 
+def brute_languages(taught_rows, texts):
+    """Language and score of each text, and the share of its letters that is known, from plain dictionaries."""
+    words = lambda t: [w for w in re.findall(r"[^\W\d_]+", (t or "").lower()) if any(map(str.isalpha, w))]
+
+    def grams(word, size):
+        word = f"<{word}>" if size > 1 else word
+        return [word[i : i + size] for i in range(len(word) - size + 1)]
+
+    docs, counts = Counter(lang for _, lang in taught_rows), [defaultdict(Counter) for _ in range(5)]
+    for text, lang in taught_rows:
+        for word in words(text):
+            counts[0][word][lang] += 1
+            for size in range(1, 5):
+                for gram in grams(word, size):
+                    counts[size][gram][lang] += 1
+    langs = sorted(docs)
+    kept = [{g: c for g, c in table.items() if max(c.values()) >= (5 if size else 2)} for size, table in enumerate(counts)]
+    totals = [{x: sum(c[x] for c in table.values()) + 0.5 * len(table) for x in langs} for table in kept]
+    log = lambda size, gram, lang: math.log((kept[size][gram][lang] + 0.5) / totals[size][lang])
+    out = []
+    for text in texts:
+        sums = {x: math.log(docs[x] / sum(docs.values())) for x in langs}
+        letters = known = 0
+        for word in words(text):
+            letters += len(word)
+            if word in kept[0]:
+                known += len(word)
+                for x in langs:
+                    sums[x] += log(0, word, x)
+                continue
+            for size in range(4, 0, -1):
+                if found := [g for g in grams(word, size) if g in kept[size]]:
+                    own = {x: 0.5 * sum(log(size, g, x) for g in found) for x in langs}
+                    for x in langs:
+                        sums[x] += own[x] - max(own.values())
+                    known += len(word) if size > 1 else 0
+                    break
+        if not letters:
+            out.append(("und", 0.0, 0.0))
+            continue
+        best = max(langs, key=lambda x: sums[x])
+        out.append((best, 1 / sum(math.exp(sums[x] - sums[best]) for x in langs), known / letters))
+    return out
+
+
+def test_languages_equal_brute_force(spark):
+    rng = random.Random(15)
+    vocabulary = {x: ["".join(rng.choices(letters, k=rng.randint(1, 7))) for _ in range(60)] for x, letters in (("aa", "abcdeé"), ("bb", "cdefgß"), ("cc", "efghiñ"))}
+    text = lambda x, n: " ".join(rng.choice(vocabulary[x]) + rng.choice(["", "", ".", "1", "X"]) for _ in range(n))
+    learned = [(text(x, rng.randint(0, 30)), x) for x in rng.choices(["aa", "aa", "bb", "cc"], k=60)]
+    model = language_id.train(taught(spark, learned))
+    texts = [text(rng.choice("abc") * 2, rng.randint(0, 6)) for _ in range(200)]
+    texts += ["".join(rng.choices("abcdefghiéßñ xyz漢1", k=rng.randint(0, 25))) for _ in range(300)] + [None, "", "漢字", "１２"]
+    for found, expected in zip(model.with_evidence(texts), brute_languages(learned, texts), strict=True):
+        assert found[1:] == pytest.approx(expected[1:], abs=1e-5)
+        assert found[0] == expected[0] or expected[1] < 0.51
+
+
+def test_keys_are_those_of_spark(spark):
+    grams = ["a", "<é", "漢字", "", "long word of some more bytes than thirty-two", "🙂"]
+    rows = spark.createDataFrame([(g,) for g in grams], "g string").select(language_id.F.xxhash64("g"))
+    assert [r[0] for r in rows.collect()] == language_id.keys_of(grams).view("int64").tolist()
+
+
+def test_many_languages_share_the_entries(monkeypatch):
+    monkeypatch.setattr(language_id, "ALL_WORDS", 20)
+    ties = language_id.TIES
+    steps = [(lang, 0, 7, 10) for lang in "abcd"]
+    assert language_id.limits(steps) == [(lang, 0, 7, ties // 2) for lang in "abcd"]
+
+
 # Toxicity ------------------------------------------------------------------------------
 
 
@@ -393,6 +467,35 @@ def test_toxicity_of_odd_texts_and_without_labels(spark, toxic_docs):
         assert toxicity.score(odd.limit(0), toxicity.train(docs.limit(0), train_labels)).collect() == []
 
 
+def test_a_rare_word_stays_in_the_lexicon_however_large_the_sample(spark):
+    def learned(copies):
+        rows = [(i, "fine day by the river " + ("you grumblek " if i % 10 == 0 else "") + ("rarefink" if i in (0, 10, 20, 30, 40, 50, 60) else "")) for i in range(300 * copies)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        return toxicity.train(docs, docs.selectExpr("doc_id", "CAST(doc_id % 10 = 0 AS int) AS toxic")).lexicon
+
+    small, large = learned(1), learned(20)
+    assert ("rarefink" in small) and ("rarefink" in large) and "grumblek" in large
+    assert "river" not in large
+
+
+@pytest.mark.parametrize("share", [0.05, 0.5])
+def test_likelihood_ratios_equal_those_by_hand(spark, share):
+    rows = [(t, c) for t in range(6) for c in (0, 1, 7, 40) if t + c]
+    found = spark.createDataFrame(rows, "toxic bigint, clean bigint").select("toxic", "clean", toxicity.likelihood_ratio(share).alias("g")).collect()
+    for t, c, g in found:
+        expected = 2 * sum(n * math.log(n / ((t + c) * q)) for n, q in ((t, share), (c, 1 - share)) if n)
+        assert g == pytest.approx(expected)
+
+
+def test_scores_are_the_isotonic_curve_at_the_margin(spark, toxic_docs):
+    docs, labels = toxic_docs
+    model = toxicity.train(docs, labels)
+    margins = toxicity.with_margin(toxicity.with_features(docs, model.lexicon, "doc_id bigint"), model.trees)
+    expected = {r.doc_id: float(np.interp(r.margin, model.bounds, model.values)) for r in margins.select("doc_id", "margin").collect()}
+    assert {r.doc_id: r.score for r in toxicity.score(docs, model).collect()} == pytest.approx(expected)
+    assert model.values == sorted(model.values) and model.bounds == sorted(model.bounds)
+
+
 def test_features_see_disguises_and_neighbours():
     names = toxicity.FEATURES
     lexicon = {"idiot": 3.0}
