@@ -2,9 +2,13 @@
 
 The words of all licence templates go into one suffix automaton. A document's words are
 streamed through it, which gives, at each word, the longest stretch ending there that
-occurs in some template. Stretches that can't be made longer and are long enough become
+occurs in some template, and by the suffix links the longest that occurs in each other
+place of a template. Stretches that can't be made longer there and are long enough become
 matches; per template, matches that go forward in document and template alike are
 chained, and every place that covers a template well enough gives its label.
+
+Notices of different licences may share nearly all their words. Where a template's chain
+lies, the words that tell it from each such sibling must be there as well.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -168,22 +173,51 @@ class SuffixAutomaton:
                 self.link[new] = self._split(at, symbol, target)
         return new
 
-    def matches(self, symbols: list[int], least: int) -> list[tuple[int, int, int]]:
-        """(end, length, state) of each match that the next word doesn't make longer."""
-        found, state, length = [], 0, 0
-        for at, symbol in enumerate(symbols):
-            if symbol in self.next[state]:
-                state, length = self.next[state][symbol], length + 1
-                continue
-            if length >= least:
-                found.append((at, length, state))
+    def statistics(self, symbols: list[int]) -> Iterator[tuple[int, int]]:
+        """State and length of the longest stretch that ends at each word and occurs in a sequence."""
+        state, length = 0, 0
+        for symbol in symbols:
             while state and symbol not in self.next[state]:
                 state = self.link[state]
                 length = self.length[state]
             if symbol in self.next[state]:
                 state, length = self.next[state][symbol], length + 1
-        if length >= least:
-            found.append((len(symbols), length, state))
+            yield state, length
+
+    def shorter(self, state: int, least: int) -> list[tuple[tuple[int, int], int]]:
+        """Ends in sequences of what the state's suffixes of ``least`` words or more add, with their lengths."""
+        found, have, at = [], self.ends[state], self.link[state]
+        while at > 0 and self.length[at] >= least:
+            found += [(end, self.length[at]) for end in sorted(self.ends[at] - have)]
+            have, at = self.ends[at], self.link[at]
+        return found
+
+    def matches(self, symbols: list[int], least: int) -> list[tuple[int, int, int, int]]:
+        """(sequence, start in ``symbols``, start in the sequence, length) of all common stretches.
+
+        Of those that the words before and after make no longer in either, and that have
+        ``least`` words.
+        """
+        found: list[tuple[int, int, int, int]] = []
+        known: dict[int, list[tuple[tuple[int, int], int]]] = {}
+        before: dict[tuple[int, int], int] = {}
+
+        def ended(at: int, now: dict[tuple[int, int], int]) -> None:
+            for (sequence, end), length in before.items():
+                if now.get((sequence, end + 1)) != length + 1:
+                    found.append((sequence, at - length, end - length, length))
+
+        at = 0
+        for at, (state, length) in enumerate(self.statistics(symbols)):
+            now: dict[tuple[int, int], int] = {}
+            if length >= least:
+                if state not in known:
+                    known[state] = self.shorter(state, least)
+                now = dict(known[state]) | dict.fromkeys(self.ends[state], length)
+            if before:
+                ended(at, now)
+            before = now
+        ended(at + 1, {})
         return found
 
 
@@ -200,6 +234,14 @@ class LicenseMatcher:
         self.phrases = [[self.ids[w] for w in phrase] for phrase in phrases]
         self.sizes = [len(sequence) for sequence in sequences]
         self.automaton = SuffixAutomaton([[self.ids[w] for w in s] for s in sequences])
+        self.telling = [
+            [
+                frozenset(self.ids[word] for word in own)
+                for other_label, other in zip(self.labels, sequences, strict=True)
+                if other_label != label and (own := telling(sequence, other))
+            ]
+            for label, sequence in zip(self.labels, sequences, strict=True)
+        ]
 
     def base_places(self, symbols: np.ndarray) -> list[np.ndarray]:
         """Starts of each base phrase."""
@@ -224,19 +266,29 @@ class LicenseMatcher:
         for start, end in zip(edges[::2], edges[1::2], strict=True):
             if end - start < MIN_MATCH:
                 continue
-            for at, length, state in self.automaton.matches(
-                symbols[start:end].tolist(), MIN_MATCH
-            ):
-                for template, template_end in self.automaton.ends[state]:
-                    per_template.setdefault(template, []).append(
-                        (int(start) + at - length, template_end - length, length)
-                    )
+            for template, at, place, length in self.automaton.matches(symbols[start:end].tolist(), MIN_MATCH):
+                per_template.setdefault(template, []).append((int(start) + at, place, length))
         return [
             (template, *chain)
             for template, found in per_template.items()
             for chain in covering_chains(found, self.sizes[template])
+            if chain[0] < COVERED or self.told_apart(template, symbols[max(chain[1] - MAX_GAP, 0) : chain[2] + MAX_GAP])
         ]
 
+    def told_apart(self, template: int, symbols: np.ndarray) -> bool:
+        """Whether the words that tell a template from each of its siblings are there, most at least."""
+        there = set(symbols.tolist()) if self.telling[template] else set()
+        return all(len(own & there) >= COVERED * len(own) for own in self.telling[template])
+
+
+def telling(words: list[bytes], sibling: list[bytes]) -> set[bytes]:
+    """Words that a template has and its sibling hasn't in their place; none if they aren't siblings."""
+    blocks = SequenceMatcher(None, words, sibling, autojunk=False).get_matching_blocks()
+    shared = {place for block in blocks for place in range(block.a, block.a + block.size)}
+    if len(shared) < COVERED * len(words):
+        return set()
+    return {word for place, word in enumerate(words) if place not in shared} - set(sibling)
+
 
 def covering_chains(matches: list[tuple[int, int, int]], size: int) -> list[tuple[float, int, int]]:
     """The best chain; if it covers the template, also the others before and after it."""
@@ -362,9 +414,11 @@ def scan_licenses(
     """One row per input row: base places and labels, labels, best coverage and spans.
 
     ``spans`` is ``label:first word:end`` for each place that covers a template of the
-    label, copies of a notice included; ``score`` is the largest share of any template that is covered, 0 without a match. A null or
-    empty text has no words, no places and score 0. Repeated rows give repeated rows, a
-    null id is kept, other columns are ignored, an empty table gives an empty result.
+    label, copies of a notice and notices inside others included; ``score`` is the largest
+    share of any template that is covered, 0 without a match. A null or empty text has no
+    words, no places and score 0; a very long one is read whole, in time that grows with
+    its length. Repeated rows give repeated rows, a null id is kept, other columns are
+    ignored, an empty table gives an empty result.
     No shuffle; what a task holds is the templates' automaton and one batch.
     """
     return in_small_batches(docs).selectExpr(

@@ -178,25 +178,118 @@ def test_matching_statistics_equal_brute_force():
         sequences = [[rng.randrange(3) for _ in range(rng.randint(1, 14))] for _ in range(3)]
         text = [rng.randrange(4) for _ in range(30)]
         automaton = SuffixAutomaton(sequences)
-
-        def longest(end, sequences=sequences, text=text):
-            for size in range(end, 0, -1):
-                part = text[end - size : end]
-                ends = {
-                    (n, i + size) for n, s in enumerate(sequences) for i in range(len(s) - size + 1) if s[i : i + size] == part
+        parts = {tuple(s[i:j]) for s in sequences for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+        longest = [max((n for n in range(e + 1) if tuple(text[e - n : e]) in parts), default=0) for e in range(1, len(text) + 1)]
+        found = list(automaton.statistics(text))
+        assert [n for _, n in found] == longest
+        for end, (state, n) in enumerate(found, 1):
+            if n:
+                part = text[end - n : end]
+                assert automaton.ends[state] == {
+                    (k, i + n) for k, s in enumerate(sequences) for i in range(len(s) - n + 1) if s[i : i + n] == part
                 }
-                if ends:
-                    return size, ends
-            return 0, set()
-
-        expected = []
-        for end in range(1, len(text) + 1):
-            size, ends = longest(end)
-            grows = end < len(text) and longest(end + 1)[0] == size + 1
-            if size >= 2 and not grows:
-                expected.append((end, size, ends))
-        found = [(e, n, automaton.ends[s]) for e, n, s in automaton.matches(text, 2)]
-        assert found == expected
+
+
+def brute_matches(text, sequences, least):
+    found = set()
+    for k, s in enumerate(sequences):
+        for i in range(len(text)):
+            for j in range(len(s)):
+                if i and j and text[i - 1] == s[j - 1]:
+                    continue
+                n = 0
+                while i + n < len(text) and j + n < len(s) and text[i + n] == s[j + n]:
+                    n += 1
+                if n >= least:
+                    found.add((k, i, j, n))
+    return found
+
+
+def test_matches_of_every_template_equal_brute_force():
+    rng = random.Random(12)
+    for turn in range(200):
+        letters = rng.choice([2, 3, 6])
+        sequences = [[rng.randrange(letters) for _ in range(rng.randint(1, 14))] for _ in range(rng.randint(1, 4))]
+        if turn % 2:  # one inside another
+            sequences.append(sequences[0][1:-1] or [0])
+        text = [rng.randrange(letters + 1) for _ in range(rng.randint(0, 30))] + sequences[0]
+        least = rng.randint(1, 4)
+        found = SuffixAutomaton(sequences).matches(text, least)
+        assert len(found) == len(set(found)) and set(found) == brute_matches(text, sequences, least)
+
+
+def brute_best(matches, size, gap):
+    """Most words of a template that any chain of matches covers, trying all chains."""
+    matches = sorted(matches)
+
+    def best(i):
+        at, place, length = matches[i]
+        most = length
+        for j in range(i):
+            other_at, other_place, other_length = matches[j]
+            shared = max(other_at + other_length - at, other_place + other_length - place, 0)
+            apart = max(at - other_at - other_length, place - other_place - other_length)
+            if other_place < place and shared < length and apart <= gap and other_at >= at - size - gap:
+                most = max(most, best(j) + length - shared)
+        return most
+
+    return max((best(i) for i in range(len(matches))), default=0)
+
+
+def test_labels_and_spans_of_nested_templates_equal_brute_force(spark):
+    rng = random.Random(13)
+    words = [f"t{i}" for i in range(40)]
+    for turn in range(12):
+        long = rng.sample(words, 12)
+        templates = [("outer", " ".join(long)), ("inner", " ".join(long[2:8])), ("end", " ".join(long[7:]))]
+        templates += [("other", " ".join(rng.sample(words, 6)))]
+        texts = ["a x " + " ".join(long) + " y"]
+        for _ in range(15):
+            parts = []
+            for _ in range(3):
+                notice = rng.choice(templates)[1].split()
+                if rng.random() < 0.5:
+                    notice[rng.randrange(len(notice))] = "zz"
+                if rng.random() < 0.3:
+                    notice.insert(rng.randrange(len(notice)), "zz")
+                parts += ["zz"] * rng.randrange(12) + notice
+            texts.append(" ".join(parts))
+        rows = scan_licenses(docs_of(spark, texts), templates=templates, base={"zz top": "zz"}).collect()
+        for row in rows:
+            if row.doc_id is None:
+                continue
+            text = texts[row.doc_id].split()
+            sequences = [t.split() for _, t in templates]
+            matches = brute_matches(text, sequences, 3)
+            best = {
+                label: brute_best([m[1:] for m in matches if m[0] == k], len(sequences[k]), 8) / len(sequences[k])
+                for k, (label, _) in enumerate(templates)
+            }
+            assert row.labels == ",".join(sorted(label for label, share in best.items() if share >= 0.8)), (turn, text)
+            assert row.score == pytest.approx(min(1, max(best.values(), default=0)))
+            spans = [s.split(":") for s in row.spans.split(",") if s]
+            assert {label for label, _, _ in spans} == set(row.labels.split(",")) - {""}
+            for label, start, end in spans:
+                k = [name for name, _ in templates].index(label)
+                inside = brute_matches(text[int(start) : int(end)], [sequences[k]], 3)
+                assert brute_best([m[1:] for m in inside], len(sequences[k]), 8) >= 0.8 * len(sequences[k])
+        whole = next(r for r in rows if r.doc_id == 0)
+        assert whole.spans == "outer:2:14,inner:4:10,end:9:14"
+
+
+def test_a_word_put_into_a_notice_makes_it_no_sibling():
+    matcher = LicenseMatcher()
+    notices = {label: template.split() for label, template in TEMPLATES if label in ("gpl", "lgpl", "agpl")}
+
+    def labels(words):
+        symbols = np.array([matcher.ids.get(w.encode(), -1) for w in brute_words(" ".join(words))])
+        return {matcher.labels[c[0]] for c in matcher.covered(symbols) if c[1] >= 0.8}
+
+    for label, words in notices.items():
+        for at in range(len(words) + 1):
+            found = labels([*words[:at], "*", "put", *words[at:]])
+            assert found - {"gpl"} == {label} - {"gpl"}
+            assert label != "gpl" or found == {"gpl"}
 
 
 @pytest.mark.parametrize("number", range(len(TEMPLATES)))
