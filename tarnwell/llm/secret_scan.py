@@ -1,10 +1,12 @@
 """Secret scan with structural confirmation.
 
 Three plain patterns give the base spans. The method then looks at what could be an
-encoded key or token: runs of base64 or hex and dotted triples. It decodes them and
-reports only those whose inside has the right structure: ASN.1 keys whose nested
-lengths all add up, OpenSSH keys whose length-prefixed fields end where the data ends,
-and signed tokens whose header and claims are JSON objects naming an algorithm.
+encoded key or token: runs of base64 or hex, on one line or over several, key files and
+dotted parts. It decodes them and reports only those whose inside has the right structure:
+ASN.1 keys whose nested lengths all add up (RSA, DSA, EC, PKCS#8, encrypted PKCS#8),
+OpenSSH keys whose length-prefixed fields end where the data ends, key files that say how
+they are encrypted and hold whole blocks, and tokens whose header is a JSON object naming
+an algorithm, with claims that are one too or with the five parts of an encrypted token.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ import base64
 import binascii
 import hashlib
 import json
+import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,14 +36,22 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-TRIPLE = re.compile(
-    r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)"
+DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
+PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]{0,30})-----((?:(?:\s|\\[nr])*[A-Za-z][A-Za-z0-9-]*:[^\n\\]*(?=\n|\\n))*)"
+    r"([A-Za-z0-9+/=\s\\]+)-----END [A-Z0-9 ]{0,30}-----"
 )
-PEM = re.compile(r"-----BEGIN [A-Z ]{0,30}-----([A-Za-z0-9+/=\s\\]+)-----END [A-Z ]{0,30}-----")
+CIPHER = re.compile(r"DEK-Info:[ \t]*([A-Za-z0-9-]+),([0-9A-Fa-f]+)[ \t\r]*(?:$|\n|\\)")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
+LINES64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+LINES_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{40,}(?:[ \t]*\r?\n[ \t]*[0-9A-Fa-f]+)+(?![0-9A-Za-z])")
+LINE = re.compile(r"[^\s]+")
 SSH_MAGIC = b"openssh-key-v1\0"
 SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
+#: Encodings of 1.2.840.113549.1.5 and 1.2.840.113549.1.12.1, under which encryptions by password are named.
+ENCRYPTIONS = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
+MOST_FIELD = 1 << 20  # bytes in a field of an OpenSSH key
 
 SCHEMA = (
     "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, "
@@ -55,35 +67,120 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
-    """Spans whose decoded inside is a private key or a signed token."""
+    """Spans whose decoded inside is a private key or a signed or encrypted token."""
     spans = []
-    for m in TRIPLE.finditer(text) if text.count(".") > 1 else ():
-        if signed_token(m[1], m[2]):
-            spans.append(("jwt", *m.span()))
+    for m in DOTTED.finditer(text) if text.count(".") > 1 else ():
+        spans += [("jwt", m.start() + start, m.start() + end) for start, end in tokens_in(m[0])]
     for m in PEM.finditer(text) if "-----BEGIN " in text else ():
-        body = re.sub(r"\\[nr]|[\s\\]", "", m[1])
-        if kind := key_kind(from_base64(body)):
+        if kind := key_file(m[1], m[2], m[3]):
             spans.append((kind, *m.span()))
-    inside = sorted((start, end) for _, start, end in spans)
+    for pattern, decode in ((LINES64, from_base64), (LINES_HEX, from_hex)):
+        for m in pattern.finditer(text) if "\n" in text else ():
+            if not inside(spans, *m.span()):
+                spans += [(kind, m.start() + start, m.start() + end) for kind, start, end in wrapped_keys(m[0], decode)]
     for pattern, decode in ((BASE64, from_base64), (HEX_KEY, from_hex)):
         for m in pattern.finditer(text):
-            before = bisect_right(inside, (m.start(), len(text)))
-            if before and m.end() <= inside[before - 1][1]:
-                continue
-            if kind := key_kind(decode(m[0])):
+            if not inside(spans, *m.span()) and (kind := key_kind(decode(m[0]))):
                 spans.append((kind, *m.span()))
     return spans
 
 
-def signed_token(header: str, claims: str) -> bool:
-    parts = []
-    for part in (header, claims):
-        try:
-            parts.append(json.loads(from_base64(part)))
-        except (ValueError, RecursionError):
-            return False
-    head, body = parts
-    return isinstance(head, dict) and isinstance(body, dict) and isinstance(head.get("alg"), str)
+def inside(spans: list[tuple[str, int, int]], start: int, end: int) -> bool:
+    return any(a <= start and end <= b for _, a, b in spans)
+
+
+def tokens_in(run: str) -> list[tuple[int, int]]:
+    """Where tokens lie among parts that dots join: three parts, or five of an encrypted one."""
+    parts, found, number, at = run.split("."), [], 0, 0
+    while number < len(parts) - 2:
+        count = token_parts(parts[number : number + 5])
+        size = sum(map(len, parts[number : number + count])) + count - 1 if count else 0
+        if count:
+            found.append((at, at + size))
+        at += size + 1 if count else len(parts[number]) + 1
+        number += count or 1
+    return found
+
+
+def token_parts(parts: list[str]) -> int:
+    """How many of the parts from the first on are a token; 0 if they don't begin one."""
+    head = json_object(parts[0]) if len(parts[0]) >= 8 else None
+    if not head or not isinstance(head.get("alg"), str):
+        return 0
+    if isinstance(head.get("enc"), str):
+        whole = len(parts) == 5 and all(from_base64(part) for part in parts[2:])
+        return 5 if whole and (not parts[1] or from_base64(parts[1])) else 0
+    return 3 if json_object(parts[1]) is not None else 0
+
+
+def json_object(part: str) -> dict | None:
+    try:
+        found = json.loads(from_base64(part))
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def key_file(label: str, headers: str, body: str) -> str | None:
+    """Kind of key between armour lines; headers may say that the inside is encrypted."""
+    data = from_base64(re.sub(r"\\[nr]|[\s\\]", "", body))
+    if cipher := CIPHER.search(headers):
+        block = len(cipher[2]) // 2
+        whole = block in (8, 16) and len(cipher[2]) == 2 * block and data and len(data) % block == 0
+        return "der_key" if whole and "ENCRYPTED" in headers and label.endswith("PRIVATE KEY") else None
+    return key_kind(data)
+
+
+def wrapped_keys(run: str, decode) -> list[tuple[str, int, int]]:
+    """Keys that lie over several lines of a run, from one line's start to another's end.
+
+    How long a key is stands at its beginning, so each line is tried as the first once.
+    """
+    lines = [(m.start(), m.end(), m[0].rstrip("=")) for m in LINE.finditer(run)]
+    sizes = [0, *accumulate(len(line) for _, _, line in lines)]
+    per_byte = 2 if decode is from_hex else 4 / 3
+    found, after = [], 0
+    for first, (start, _, line) in enumerate(lines):
+        if first < after or not may_begin(decode(line[:24])):
+            continue
+
+        def begin(count: int, first: int = first) -> bytes:
+            letters = math.ceil(count * per_byte / 4) * 4
+            enough = bisect_left(sizes, sizes[first] + letters)
+            return decode("".join(x for _, _, x in lines[first:enough])[:letters])
+
+        end = sizes[first] + math.ceil(declared_size(begin) * per_byte)
+        last = bisect_left(sizes, end)
+        if last >= len(sizes) or sizes[last] != end or last - first < 2:
+            continue
+        if kind := key_kind(decode("".join(x for _, _, x in lines[first:last]))):
+            found.append((kind, start, lines[last - 1][1]))
+            after = last
+    return found
+
+
+def may_begin(data: bytes) -> bool:
+    return data[:1] == b"\x30" or SSH_MAGIC.startswith(data[: len(SSH_MAGIC)]) and len(data) > 8
+
+
+def declared_size(begin) -> int:
+    """Bytes of a key, as its own lengths say; 0 if they can't be read. ``begin`` gives its first bytes."""
+    data = begin(16)
+    if data[:1] == b"\x30" and len(data) > 6:
+        if not data[1] & 0x80:
+            return 2 + data[1]
+        size = data[1] & 0x7F
+        return 2 + size + int.from_bytes(data[2 : 2 + size], "big") if 1 <= size <= 4 else 0
+    if not data.startswith(SSH_MAGIC):
+        return 0
+    at = len(SSH_MAGIC)
+    for field in range(6):  # cipher, kdf, its options; how many keys; the first public key, the private ones
+        size = int.from_bytes(begin(at + 4)[at : at + 4], "big")
+        at += 4
+        if field == 3 and size != 1 or size > MOST_FIELD:
+            return 0
+        at += 0 if field == 3 else size
+    return at
 
 
 def from_base64(body: str) -> bytes:
@@ -96,7 +193,7 @@ def from_base64(body: str) -> bytes:
 
 
 def from_hex(body: str) -> bytes:
-    return bytes.fromhex(body)
+    return bytes.fromhex(body) if len(body) % 2 == 0 else b""
 
 
 def key_kind(data: bytes) -> str | None:
@@ -104,7 +201,7 @@ def key_kind(data: bytes) -> str | None:
         return "ssh_key" if whole_ssh_key(data) else None
     if data.startswith(b"-----BEGIN "):  # a key file encoded once more
         m = PEM.match(data.decode("ascii", "replace"))
-        return key_kind(from_base64(re.sub(r"\s", "", m[1]))) if m else None
+        return key_file(m[1], m[2], m[3]) if m else None
     return "der_key" if private_der_key(data) else None
 
 
@@ -150,14 +247,22 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def private_der_key(data: bytes) -> bool:
-    """RSA, EC or PKCS#8 private key; public keys and certificates are no secrets."""
+    """RSA, DSA, EC or PKCS#8 private key, encrypted or not; public keys and certificates are no secrets."""
     outer = der_items(data) if data[:1] == b"\x30" else None
     if not outer or len(outer) != 1:
         return False
     items = der_items(outer[0][1])
-    if not items or items[0][0] != INTEGER or len(items[0][1]) != 1:
+    if not items:
         return False
     tags = [tag for tag, _ in items]
+    if tags == [SEQUENCE, OCTETS]:
+        algorithm = der_items(items[0][1])
+        named = bool(algorithm) and [tag for tag, _ in algorithm] == [OID, SEQUENCE]
+        return named and algorithm[0][1].startswith(ENCRYPTIONS) and len(items[1][1]) >= 8
+    if tags[0] != INTEGER or len(items[0][1]) != 1:
+        return False
+    if all(tag == INTEGER for tag in tags) and len(items) == 6:
+        return items[0][1] == b"\x00" and all(len(number) >= 1 for _, number in items) and dsa_sizes(items)
     if len(items) >= 9 and all(tag == INTEGER for tag in tags[:9]):
         return True
     if tags[1:3] == [SEQUENCE, OCTETS]:
@@ -168,6 +273,12 @@ def private_der_key(data: bytes) -> bool:
     return False
 
 
+def dsa_sizes(items: list[tuple[int, bytes]]) -> bool:
+    """Whether version, p, q, g, y and x are as long as those of a DSA key are."""
+    p, q, g, y, x = (int.from_bytes(number, "big") for _, number in items[1:])
+    return p > q > x > 0 and p > g > 1 and p > y > 1 and q.bit_length() >= 128 and p.bit_length() >= 512
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     order = sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in order)
@@ -192,9 +303,10 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per input row: counts and digest of the base spans, and every span.
 
     ``spans`` is ``kind:start:end`` by start, comma-joined, in code points with the end
-    left out; kinds are those of ``KINDS``. A null or empty text has no spans. Repeated
-    rows give repeated rows, a null id is kept, other columns are ignored, and an empty
-    table gives an empty result. No shuffle: each text is read once where it lies.
+    left out; kinds are those of ``KINDS``. A null or empty text has no spans, a very long
+    one is read whole. Repeated rows give repeated rows, a null id is kept, other columns
+    are ignored, and an empty table gives an empty result. No shuffle: each text is read
+    once where it lies.
     """
     return in_small_batches(docs).selectExpr(
         f"CAST(`{id_column}` AS bigint) AS doc_id", f"CAST(`{text_column}` AS string) AS text"
@@ -216,7 +328,9 @@ def blanked(text: str) -> str:
 def blank_secrets(docs: DataFrame, text_column: str = "text", length_column: str | None = None) -> DataFrame:
     """``docs`` with every span of each text replaced; all other columns stay.
 
-    ``length_column`` is set to the new number of characters. Null texts stay null.
+    ``length_column`` is set to the new number of characters. Null texts stay null, empty
+    ones empty; very long ones are read whole, repeated rows stay and change alike, an
+    empty table stays empty.
     """
 
     @F.pandas_udf("string")

@@ -96,6 +96,82 @@ def test_a_key_file_is_one_span():
     assert confirmed_spans("x " + pem) == [("der_key", 2, 2 + len(pem))]
 
 
+def number(size: int, first: int = 0x40) -> bytes:
+    return der(2, bytes([first]) + b"\x07" * (size - 1))
+
+
+DSA = der(0x30, der(2, b"\x00"), number(128), number(20), number(127), number(126), number(19))
+PBES2 = der(6, bytes.fromhex("2a864886f70d01050d"))
+ENCRYPTED = der(0x30, der(0x30, PBES2, der(0x30, der(2, b"\x05"))), der(4, b"e" * 64))
+
+
+def wrapped(text: str, size: int = 64, end: str = "\n") -> str:
+    return end.join(re.findall(f".{{1,{size}}}", text))
+
+
+def encoded(data: bytes) -> str:
+    return base64.b64encode(data).decode()
+
+
+def key_file(body: bytes, label: str = "RSA PRIVATE KEY", headers: str = "") -> str:
+    return f"-----BEGIN {label}-----\n{headers}{wrapped(encoded(body))}\n-----END {label}-----"
+
+
+LEGACY = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16 + "\n\n"
+JWE = ".".join(
+    base64.urlsafe_b64encode(part).decode().rstrip("=")
+    for part in (b'{"alg":"RSA-OAEP","enc":"A256GCM"}', b"k" * 40, b"i" * 12, b"c" * 30, b"t" * 16)
+)
+
+
+@pytest.mark.parametrize(
+    ("inside", "kind"),
+    [
+        (encoded(DSA), "der_key"),
+        (encoded(der(0x30, der(2, b"\x00"), *[number(9)] * 5)), None),  # six numbers that are no key
+        (encoded(DSA[:-1]), None),
+        (encoded(ENCRYPTED), "der_key"),
+        (ENCRYPTED.hex(), "der_key"),
+        (encoded(der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x01"), der(0x30)), der(4, b"e" * 64))), None),
+        (key_file(ENCRYPTED, "ENCRYPTED PRIVATE KEY"), "der_key"),
+        (key_file(ENCRYPTED[:-2], "ENCRYPTED PRIVATE KEY"), None),
+        (key_file(b"x" * 160, headers=LEGACY), "der_key"),
+        (key_file(b"x" * 161, headers=LEGACY), None),  # no whole blocks
+        (key_file(b"x" * 160, headers=LEGACY.replace("0A" * 16, "0A" * 15)), None),
+        (key_file(b"x" * 160, headers="Comment: mine\n"), None),
+        (key_file(RSA, headers="Comment: mine\n"), "der_key"),
+        (key_file(b"x" * 160, "CERTIFICATE", LEGACY), None),
+        (wrapped(encoded(RSA)), "der_key"),
+        (wrapped(encoded(RSA), 76, "\r\n"), "der_key"),
+        (wrapped(encoded(RSA[:-3])), None),
+        (wrapped(RSA.hex(), 60), "der_key"),
+        (wrapped(RSA.hex()[:-2], 60), None),
+        (wrapped(encoded(ssh_key()), 70, "\n  "), "ssh_key"),
+        (wrapped(encoded(ssh_key(5)), 70), None),
+        (wrapped(encoded(ENCRYPTED)), "der_key"),
+        (JWE, "jwt"),
+        (JWE.rsplit(".", 1)[0], None),  # an encrypted token of four parts
+    ],
+)
+def test_keys_and_tokens_of_more_shapes(inside, kind):
+    assert confirmed_spans(f"före {inside} after") == ([(kind, 5, 5 + len(inside))] if kind else [])
+
+
+def test_a_token_after_a_dot_and_two_in_a_row():
+    one = token()
+    assert confirmed_spans(f"end.{one}") == [("jwt", 4, 4 + len(one))]
+    assert confirmed_spans(f"example-domain.{one}.") == [("jwt", 15, 15 + len(one))]
+    assert confirmed_spans(f"{one}.{one}") == [("jwt", 0, len(one)), ("jwt", len(one) + 1, 2 * len(one) + 1)]
+    assert confirmed_spans(f"end.{token(alg=False)}") == []
+
+
+def test_wrapped_keys_among_other_lines():
+    key, other = wrapped(encoded(RSA)), "A" * 64
+    text = f"{other}\n{key}\n{other}\n{key}\nend"
+    spans = [("der_key", 65, 65 + len(key)), ("der_key", 131 + len(key), 131 + 2 * len(key))]
+    assert confirmed_spans(text) == spans
+
+
 def brute_base(text: str):
     kinds = {
         "assign": r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
