@@ -5,7 +5,9 @@ so a substituted word spoils few seeds. Seeds of documents meet seeds of benchma
 items, and around each meeting windows of ``WINDOW`` words are compared word for word: a
 window with at least ``SAME`` equal words is contaminated. Any such window holds a hit
 of one of the masks wherever its unequal words stand (``tests/llm`` tries them all), so
-none is missed. Items shorter than a window are looked for whole and unchanged.
+none is missed. An item shorter than a window is its own window and may differ in the
+same share of its words. Its masks leave out what may differ: it is cut into two parts
+more than that, and each two parts together are a mask, so one of them is whole.
 
 A bitmap of the benchmark's seeds, of a fixed size, keeps most positions of a document
 from becoming rows. It only saves work: what passes is joined on the whole hash.
@@ -13,6 +15,8 @@ from becoming rows. It only saves work: what passes is joined on the whole hash.
 
 from __future__ import annotations
 
+from itertools import combinations, pairwise
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,7 @@ from tarnwell.llm.common import bitmap, is_set, settle
 
 MASKS = [(0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8)]
 WINDOW, SAME = 13, 11  # 0.8 of the window, rounded up
+PERCENT = 80  # of a shorter item's words
 BITS = 1 << 22  # of the bitmap
 WORD = r"[\p{L}\p{N}]+"
 
@@ -29,23 +34,32 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def short_masks(size: int) -> list[tuple[int, ...]]:
+    """Masks of an item of ``size`` words: all pairs of its parts, of which no more differ than may."""
+    changed = size - -(-size * PERCENT // 100)
+    if not changed:
+        return [tuple(range(size))]
+    edges = [size * i // (changed + 2) for i in range(changed + 3)]
+    parts = [tuple(range(*edge)) for edge in pairwise(edges)]
+    return [one + other for one, other in combinations(parts, 2)]
+
+
 def seed(hashes: Column, at: Column, mask: tuple[int, ...], number: int) -> Column:
     """Hash of the words a mask picks from position ``at``; null where it doesn't fit."""
     picked = [F.get(hashes, at + offset) for offset in mask]
     return F.when(picked[-1].isNotNull(), F.xxhash64(F.lit(number), *picked))
 
 
-def benchmark_seeds(items: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
-    """Seeds of the items: those of every mask, or of an item's own length if it is short.
+def benchmark_seeds(items: DataFrame, masks: list[tuple[int | None, tuple[int, ...]]]) -> DataFrame:
+    """Seeds of the items: of all places in those of a window or more, of the beginning of shorter ones.
 
-    A seed has its item's words from ``WINDOW`` before to ``WINDOW`` after it.
+    Masks go with the size of the short items they are for, None for the others. A seed
+    has its item's words from ``WINDOW`` before to ``WINDOW`` after it.
     """
     at = F.col("place")
-    short = F.col("size") < WINDOW
     seeds = []
-    for number, mask in enumerate(masks):
-        whole = mask == tuple(range(len(mask))) and len(mask) < WINDOW
-        fits = short & (F.col("size") == len(mask)) if whole else ~short
+    for number, (size, mask) in enumerate(masks):
+        fits = (F.col("size") == size) & (at == 0) if size else F.col("size") >= WINDOW
         value = F.when(fits, seed(F.col("item_hashes"), at, mask, number))
         seeds.append(F.struct(F.lit(number).alias("mask"), value.alias("seed")))
     first = F.greatest(at - WINDOW, F.lit(0))
@@ -56,6 +70,17 @@ def benchmark_seeds(items: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame
     ).select("item_id", "size", "place", "item_around", "item_at", "s.mask", "s.seed").filter("seed IS NOT NULL")
 
 
+def equal_words_of_short() -> Column:
+    """Equal words of a short item and the words from the hit on; 0 where the document ends before."""
+    same = F.zip_with(
+        F.slice("doc_around", F.col("doc_at") + 1, F.col("size")),
+        F.slice("item_around", F.lit(1), F.col("size")),
+        lambda doc, item: (doc == item).cast("int"),
+    )
+    whole = F.get("doc_around", F.col("doc_at") + F.col("size") - 1).isNotNull()
+    return F.when(whole, F.aggregate(same, F.lit(0), lambda a, b: a + b)).otherwise(0)
+
+
 def equal_words() -> Column:
     """Most equal words of a window that holds the hit, over all ways to lay the window."""
     reach = WINDOW - F.col("span")
@@ -87,11 +112,15 @@ def find_overlaps(
 
     Columns: ``doc_id``, ``text_key`` (hash of the text, telling rows of a repeated id
     apart), ``item_id``, ``first_word`` and ``last_word`` (places of the first and last
-    verified seed in the document), ``seeds`` (verified seeds) and ``best`` (largest
+    verified seed in the document), ``seeds`` (verified seeds, in repeated rows each) and ``best`` (largest
     share of equal words in a window). Words are runs of letters and digits in lower
-    case. Null and empty texts and items have no words and match nothing; a null id is
-    kept; repeated rows of a document or an item give one row; other columns are
-    ignored; empty tables give an empty result.
+    case. A window has ``WINDOW`` words, or all words of an item that has fewer, and at
+    least ``PERCENT`` hundredths of them must be equal.
+
+    Null and empty texts and items have no words and match nothing; a null id is kept;
+    a very long text is read whole, its words are rows before any join; repeated rows of
+    a document or an item give one row; other columns are ignored; empty tables give an
+    empty result.
     """
     hashed = (
         items.select(F.col(item_column).alias("item_id"), word_hashes(F.col(item_text_column)).alias("item_hashes"))
@@ -100,7 +129,7 @@ def find_overlaps(
         .distinct()
     )
     short = sorted(r["size"] for r in hashed.filter(F.col("size") < WINDOW).select("size").distinct().collect())
-    masks = MASKS + [tuple(range(size)) for size in short]
+    masks = [(None, mask) for mask in MASKS] + [(size, mask) for size in short for mask in short_masks(size)]
     seeds = settle(benchmark_seeds(hashed, masks), "benchmark-seeds")
     bits = bitmap(seeds, "seed", BITS).scalar()
     at = F.col("at")
@@ -109,7 +138,7 @@ def find_overlaps(
         F.xxhash64(F.col(text_column)).alias("text_key"),
         word_hashes(F.col(text_column)).alias("doc_hashes"),
     ).select("doc_id", "text_key", "doc_hashes", F.posexplode("doc_hashes").alias("at", "_"))
-    values = [seed(F.col("doc_hashes"), at, mask, number) for number, mask in enumerate(masks)]
+    values = [seed(F.col("doc_hashes"), at, mask, number) for number, (_, mask) in enumerate(masks)]
     likely = rows.filter(any_of([is_set(bits, value, BITS) for value in values]))
     first = F.greatest(at - WINDOW, F.lit(0))
     around = F.slice("doc_hashes", first + 1, at + 2 * WINDOW - first)
@@ -122,18 +151,19 @@ def find_overlaps(
         F.explode(F.array(*values)).alias("seed"),
     ).filter("seed IS NOT NULL")
     # The hash covers the mask's number, so seeds of different masks don't meet.
-    spans = F.element_at(F.array(*[F.lit(mask[-1] + 1) for mask in masks]), F.col("mask") + 1)
+    spans = F.element_at(F.array(*[F.lit(mask[-1] + 1) for _, mask in masks]), F.col("mask") + 1)
     hits = found.join(seeds, "seed").withColumn("span", spans)
-    whole = F.col("size") < WINDOW
+    short_item = F.col("size") < WINDOW
+    window = F.when(short_item, F.col("size")).otherwise(WINDOW)
     return (
-        hits.withColumn("same", F.when(whole, F.col("size")).otherwise(equal_words()))
-        .filter(whole | (F.col("same") >= SAME))
+        hits.withColumn("same", F.when(short_item, equal_words_of_short()).otherwise(equal_words()))
+        .filter(F.col("same") * 100 >= window * PERCENT)
         .groupBy("doc_id", "text_key", "item_id")
         .agg(
             F.min("at").alias("first_word"),
             F.max("at").alias("last_word"),
             F.count("*").alias("seeds"),
-            F.max(F.col("same") / F.when(whole, F.col("size")).otherwise(WINDOW)).alias("best"),
+            F.max(F.col("same") / window).alias("best"),
         )
     )
 
@@ -151,7 +181,9 @@ def drop_contaminated(
     """Rows of ``docs`` without an overlap, columns unchanged.
 
     The contaminated keys are written first, so the join knows how many there are and
-    moves the documents only if the keys are too many to broadcast.
+    moves the documents only if the keys are too many to broadcast. Null and empty texts
+    and empty tables stay as they are, a null id is no different from others, repeated
+    rows stay or go alike, and very long texts are read whole.
     """
     found = find_overlaps(docs, items, id_column, text_column).select(
         F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")

@@ -43,32 +43,54 @@ def test_every_window_with_two_changed_words_has_a_seed():
         )
 
 
+def test_every_short_item_with_as_many_changed_words_as_may_be_has_a_seed():
+    for size in range(1, decontamination.WINDOW):
+        allowed = size - -(-8 * size // 10)
+        masks = decontamination.short_masks(size)
+        assert all(list(mask) == sorted(mask) and set(mask) <= set(range(size)) for mask in masks)
+        for count in range(allowed + 1):
+            for changed in combinations(range(size), count):
+                assert any(not set(mask) & set(changed) for mask in masks)
+
+
 def brute_overlaps(docs, items):
-    width, same = decontamination.WINDOW, decontamination.SAME
+    return {(d, i) for d, i, *_ in brute_overlap_rows(docs, items)}
+
+
+def brute_overlap_rows(docs, items):
+    """Rows of each document and item: first and last seed in a contaminated window, seeds, best share."""
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    found = set()
-    for item, item_text in items:
-        b = words(item_text)
-        for doc, doc_text in docs:
-            a = words(doc_text)
-            if b and len(b) < width:
-                if any(a[i : i + len(b)] == b for i in range(len(a) - len(b) + 1)):
-                    found.add((doc, item))
-            elif any(
-                sum(x == y for x, y in zip(a[i : i + width], b[j : j + width], strict=True)) >= same
-                for i in range(len(a) - width + 1)
-                for j in range(len(b) - width + 1)
-            ):
-                found.add((doc, item))
-    return found
+    rows = {}
+    for (doc, text), times in Counter(docs).items():
+        a = words(text)
+        for item, item_text in items:
+            b = words(item_text)
+            width = min(len(b), decontamination.WINDOW)
+            short = len(b) < decontamination.WINDOW
+            masks = decontamination.short_masks(width) if short and b else decontamination.MASKS
+            seeds, best = set(), 0
+            for i in range(len(a) - width + 1) if b else ():
+                for j in range(len(b) - width + 1):
+                    same = [x == y for x, y in zip(a[i : i + width], b[j : j + width], strict=True)]
+                    if 10 * sum(same) < 8 * width:
+                        continue
+                    best = max(best, sum(same) / width)
+                    for number, mask in enumerate(masks):
+                        for k in range(1 if short else width - mask[-1]):
+                            if all(same[k + offset] for offset in mask):
+                                seeds.add((i + k, j + k, number))
+            if best:
+                at = [x for x, _, _ in seeds]
+                rows.setdefault((doc, text, item), set()).add((min(at), max(at), times * len(seeds), best))
+    return {(d, i, *found) for (d, _, i), each in rows.items() for found in each}
 
 
 def test_overlaps_equal_brute_force(spark):
     rng = random.Random(1)
-    items = [(i, " ".join(words_of(rng, size))) for i, size in enumerate([13, 14, 30, 50, 5, 1, 12])]
-    items += [(7, None), (8, ""), (9, items[2][1]), (2, items[2][1])]
+    items = [(i, " ".join(words_of(rng, size))) for i, size in enumerate([13, 14, 30, 50, 5, 1, 12, 8, 9, 10, 11, 3])]
+    items += [(17, None), (18, ""), (19, items[2][1]), (2, items[2][1])]
     docs = []
-    for i in range(120):
+    for i in range(160):
         words = words_of(rng, rng.randint(0, 60), 5000)
         passage = rng.choice(items)[1]
         if i % 2 and passage:
@@ -80,13 +102,19 @@ def test_overlaps_equal_brute_force(spark):
             at = rng.randint(0, len(words))
             words[at:at] = passage
         docs.append((i, ", ".join(words).title()))
+    for i, (_, text) in enumerate(items[4:12]):  # each word of a short item changed in turn
+        words = text.split()
+        docs += [(200 + 20 * i + k, f"before {' '.join([*words[:k], 'other', *words[k + 1 :]])} after") for k in range(len(words))]
     docs += [(120, None), (121, ""), (122, items[2][1].upper()), (122, items[2][1].upper()), (None, items[3][1])]
-    docs.append((123, "x " * 30_000 + items[3][1]))
+    docs.append((123, "x " * 3_000 + items[3][1]))
     rows = decontamination.find_overlaps(table(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
-    found = [(r.doc_id, r.item_id) for r in rows]
-    assert set(found) == brute_overlaps(docs, items)
+    found = [(r.doc_id, r.item_id, r.first_word, r.last_word, r.seeds, r.best) for r in rows]
+    assert set(found) == brute_overlap_rows(docs, items)
     assert len(found) == len(set(found)) and len(found) > 20
-    assert all(0.8 <= r.best <= 1 for r in rows)
+    # One changed word in an item of 8 to 12 words is found wherever it is.
+    hits = {(d, i) for d, i, *_ in found}
+    short = [(i, k) for i, (_, text) in enumerate(items[4:12]) if 8 <= len(text.split()) for k in range(len(text.split()))]
+    assert len(short) == 50 and all((200 + 20 * i + k, 4 + i) in hits for i, k in short)
 
 
 def test_contaminated_rows_go_and_columns_stay(spark):
