@@ -4,8 +4,10 @@ Vectors are grouped by their nearest pivot. From each group's summary (count and
 radius) a query gets an upper bound on what the group can score: q.x = q.p + q.(x - p)
 <= q.p + |q| * radius. A query goes only to groups whose bound reaches its k-th best
 score among a bounded set of witnesses, which its true k-th best can't be below. Groups
-are cut into chunks and queries into blocks, each chunk and block is solved locally,
-and the best of all chunks are ranked.
+are cut into chunks of a fixed number of rows. Queries are grouped by their pivots too:
+a block holds those of neighbouring pivots, which ask for much the same groups. A row
+goes to the blocks with a query that asks for its group and to no other; each chunk and
+block is solved locally, and the best of all chunks are ranked.
 
 Scores are exact: products are taken in floats only while every sum fits in 53 bits,
 otherwise in Python's integers.
@@ -25,8 +27,9 @@ from tarnwell.llm.common import settle
 
 SCALE = 1024
 MAX_PIVOTS, WITNESSES = 1024, 4096
-LEAST_CHUNK = 256
-QUERY_BLOCK = 4096
+CHUNK_ROWS = 4096  # of a group that go into one task together, about
+QUERY_BLOCK = 4096  # queries of a block, at most about
+BOUND_TOGETHER = 64  # queries whose bounds one task works out, about
 SLACK = 1e-9  # bounds are in floats; relative
 LONG = 1 << 63
 
@@ -42,6 +45,8 @@ def whole_vectors(rows: DataFrame, id_column: str, vector_column: str) -> DataFr
 
 def matrix(vectors, dim: int, exact: bool) -> np.ndarray:
     """Rows filled up with zeros to ``dim``; Python integers where floats aren't exact."""
+    if exact and len(vectors) and all(len(v) == dim for v in vectors):
+        return np.array(list(vectors), dtype=float)
     out = np.zeros((len(vectors), dim), dtype=float if exact else object)
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v if exact else [int(x) for x in v]
@@ -72,6 +77,37 @@ def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.asarray(order[:k], dtype=np.int64)
 
 
+def blocks_of(counts: np.ndarray, pivots: np.ndarray) -> tuple[list[int], list[int]]:
+    """For each pivot the first block of its queries and the number of its blocks.
+
+    Pivots are taken from one to the nearest not yet taken, and share a block until it
+    has ``QUERY_BLOCK`` queries. One that has more alone is spread over several.
+    """
+    points, left = pivots.astype(float), np.ones(len(pivots), dtype=bool)
+    first, number, at = [0] * len(pivots), [1] * len(pivots), 0
+    block = held = 0
+    for _ in range(len(pivots)):
+        left[at] = False
+        count = int(counts[at])
+        if held and held + count > QUERY_BLOCK:
+            block, held = block + 1, 0
+        first[at], number[at] = block, max(1, -(-count // QUERY_BLOCK))
+        if number[at] > 1:
+            block, held = block + number[at], 0
+        else:
+            held += count
+        far = ((points - points[at]) ** 2).sum(axis=1)
+        at = int(np.where(left, far, math.inf).argmin())
+    return first, number
+
+
+def chunked(grouped: DataFrame, chunks: list[int]) -> DataFrame:
+    """Rows with a chunk of their group; repeated rows are told apart by their number."""
+    return grouped.select(
+        "vec_id", "v", "cell", F.pmod(F.xxhash64("row"), per_cell(chunks, F.col("cell"))).cast("int").alias("chunk")
+    )
+
+
 def per_cell(values: list[int], cell: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), cell + 1)
 
@@ -92,7 +128,7 @@ def top_k(
     query's id are its own; rows of one other id each stand for themselves; queries of
     one id share the ``k`` places, each row with its best score. Scores beyond 64 bits
     are ranked as they are and shown as the nearest 64-bit number. An empty table gives
-    an empty result. Other columns are ignored.
+    an empty result, and so does one without queries. Other columns are ignored.
     """
     spark = rows.sparkSession
     vectors = whole_vectors(rows, id_column, vector_column)
@@ -118,17 +154,24 @@ def top_k(
             yield batch.assign(cell=cell.astype(np.int32), distance=distance)
 
     grouped = settle(
-        vectors.mapInPandas(assign, "vec_id bigint, v array<bigint>, cell int, distance double"),
+        vectors.mapInPandas(assign, "vec_id bigint, v array<bigint>, cell int, distance double").withColumn(
+            "row", F.monotonically_increasing_id()
+        ),
         "voronoi",
     )
     summary = grouped.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).collect()
     radius, sizes = np.full(len(pivots), -1.0), [0] * len(pivots)
     for r in summary:
         radius[r.cell], sizes[r.cell] = r.radius, r.n
-    most = max(LEAST_CHUNK, 2 * n // len(pivots))
-    chunks = [max(1, -(-size // most)) for size in sizes]
-    queries = grouped.filter(is_query).select("vec_id", "v").distinct()
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    chunks = [max(1, -(-size // CHUNK_ROWS)) for size in sizes]
+    queries = settle(grouped.filter(is_query).select("vec_id", "v", "cell").distinct(), "queries")
+    counts = np.zeros(len(pivots), dtype=np.int64)
+    for r in queries.groupBy("cell").count().collect():
+        counts[r.cell] = r["count"]
+    first_block, own_blocks = blocks_of(counts, pivots)
+    block = per_cell(first_block, F.col("cell")) + F.pmod(F.xxhash64("vec_id", F.lit(3)), per_cell(own_blocks, F.col("cell")))
+    queries = queries.select("vec_id", "v", block.cast("int").alias("block"))
+    queries = queries.repartition(max(1, -(-int(counts.sum()) // BOUND_TOGETHER)), "vec_id")
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         points, known, known_ids = shared.value
@@ -150,22 +193,21 @@ def top_k(
             yield pd.DataFrame(
                 {
                     "query_id": ids[at],
+                    "block": batch["block"].to_numpy()[at],
                     "q": [batch["v"].iloc[i] for i in at],
                     "lower": lower[at],
                     "cell": cell.astype(np.int32),
                 }
             )
 
-    sent = queries.mapInPandas(bound, "query_id bigint, q array<bigint>, lower double, cell int")
-    sent = sent.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), per_cell(chunks, F.col("cell")) - 1))
-    )
-    # Only for the blocks that a cell was asked for; there are at most cells x blocks.
-    data = (
-        grouped.select("vec_id", "v", "cell")
-        .withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), per_cell(chunks, F.col("cell"))).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = queries.mapInPandas(bound, "query_id bigint, block int, q array<bigint>, lower double, cell int")
+    sent = settle(
+        sent.withColumn("chunk", F.explode(F.sequence(F.lit(0), per_cell(chunks, F.col("cell")) - 1))), "sent"
     )
+    keys = ["cell", "chunk", "block"]
+    # Columns of their own, as both sides of the join below come from the same table.
+    asked = sent.select(*(F.col(key).alias(key) for key in keys)).distinct()
+    data = chunked(grouped, chunks).join(asked, ["cell", "chunk"])
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -180,7 +222,6 @@ def top_k(
                     found += [(query, ids[j], *exactly(scores[i][j])) for j in best]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "high", "score"])
 
-    keys = ["cell", "chunk", "block"]
     local = (
         data.groupBy(*keys)
         .cogroup(sent.groupBy(*keys))

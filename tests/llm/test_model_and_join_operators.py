@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
-from tarnwell.llm import components, decontamination, jaccard_join, packing, ppm, token_store
+from tarnwell.llm import components, decontamination, jaccard_join, packing, ppm, token_store, voronoi_topk
 from tarnwell.llm.voronoi_topk import top_k
 
 DOCS = "doc_id bigint, text string, size int, `key` string"
@@ -165,6 +165,62 @@ def test_top_k_equals_brute_force(spark, case):
     assert {q: sorted(x) for q, x in found.items()} == brute_top(rows, 5)
 
 
+def test_blocks_hold_neighbouring_pivots_and_no_more_queries_than_they_may(monkeypatch):
+    monkeypatch.setattr(voronoi_topk, "QUERY_BLOCK", 10)
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        pivots = rng.normal(size=(rng.integers(1, 40), 3))
+        counts = rng.integers(0, 14, len(pivots)) * rng.integers(0, 3, len(pivots))
+        first, number = voronoi_topk.blocks_of(counts, pivots)
+        held = Counter()
+        for count, block, blocks in zip(counts.tolist(), first, number, strict=True):
+            assert blocks == max(1, -(-count // 10))
+            for i in range(blocks):
+                held[block + i] += count / blocks
+        assert max(held.values()) <= 10
+    line = np.arange(20.0)[:, None]
+    first, _ = voronoi_topk.blocks_of(np.full(20, 3), line)
+    assert first == sorted(first) and max(Counter(first).values()) == 3
+
+
+def test_groups_are_cut_into_chunks_of_like_size_however_rows_repeat(spark):
+    rows = [(i % 3, [1], 0, i) for i in range(900)] + [(9, [2], 1, 1000 + i) for i in range(20)]
+    grouped = spark.createDataFrame(rows, "vec_id bigint, v array<bigint>, cell int, `row` bigint")
+    sizes = voronoi_topk.chunked(grouped, [9, 1]).groupBy("cell", "chunk").count().collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) < 200
+
+
+@pytest.mark.parametrize("case", ["plain", "ties"])
+def test_top_k_of_many_chunks_and_blocks_equals_brute_force(spark, monkeypatch, case):
+    monkeypatch.setattr(voronoi_topk, "CHUNK_ROWS", 20)
+    monkeypatch.setattr(voronoi_topk, "QUERY_BLOCK", 7)
+    rng = random.Random(case)
+    rows = [(i, [rng.gauss(0, 1) + 8 * (i % 5 == k) for k in range(5)]) for i in range(600)]
+    if case == "ties":
+        rows = [(i, [float(rng.randrange(3)), 1.0]) for i in range(600)] + [(7, [1.0, 1.0])] * 90
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    found = defaultdict(list)
+    for r in top_k(df, F.col("vec_id") % 10 == 0, k=5).collect():
+        found[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert {q: sorted(x) for q, x in found.items()} == brute_top(rows, 5)
+
+
+def test_rows_go_to_the_blocks_that_asked_for_them_and_to_no_others(spark, monkeypatch):
+    monkeypatch.setattr(voronoi_topk, "QUERY_BLOCK", 30)
+    settled, settle = {}, voronoi_topk.settle
+    monkeypatch.setattr(voronoi_topk, "settle", lambda df, name: settled.setdefault(name, settle(df, name)))
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 0.1) + 9 * (i // 10 % 5 == k) for k in range(5)]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    result = top_k(df, F.col("vec_id") % 10 == 0, k=5)
+    assert result.count() == 5 * 150
+    asked = settled["sent"].select("cell", "chunk", "block").distinct()
+    blocks, cells = asked.select("block").distinct().count(), asked.select("cell", "chunk").distinct().count()
+    assert blocks >= 5 and asked.count() < blocks * cells / 2  # far groups don't get each other's rows
+    plan = result._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_top_k_of_an_empty_table(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert top_k(df, F.col("vec_id") % 10 == 0).collect() == []
@@ -500,6 +556,23 @@ def test_a_large_vocabulary_takes_four_bytes(spark, tmp_path):
     assert row.ids_crc32 == zlib.crc32(np.array([69_999, 5, 1], "<u4").tobytes())
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizers_ids_are_stored(spark, tmp_path, name):
+    import public_tokenizers
+
+    path = public_tokenizers.path(name)
+    assert token_store.splits_at_words(path) == (name == "word_bpe_49k.json")
+    texts = ["One line\nand two.", "  Spaces  between ", "ÜBER <|endoftext|> été", "", None, "UPPER lower"]
+    index = token_store.write_store(table(spark, list(enumerate(texts))), path, f"file://{tmp_path}/store")
+    own = Tokenizer.from_file(path)
+    expected = {}
+    for i, text in enumerate(texts):
+        ids = own.encode(text or "", add_special_tokens=False).ids + [1]
+        expected[i] = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_store.read_store(index).collect()} == expected
+    assert token_store.LengthCounter(path).lengths(texts) == [expected[i][0] for i in range(len(texts))]
+
+
 def test_an_empty_store(spark, tmp_path, tokenizer_path):
     index = token_store.write_store(table(spark, []).limit(0), tokenizer_path, f"file://{tmp_path}/none")
     assert token_store.read_store(index).collect() == []
@@ -554,5 +627,32 @@ def test_every_token_is_in_one_batch_within_the_budget(spark, monkeypatch):
     assert full.count(False) <= len(shards)
 
 
+def test_lengths_are_those_of_the_store(spark, tokenizer_path):
+    rng = random.Random(23)
+    rows = [(i, " ".join(words_of(rng, rng.randint(0, 40)))) for i in range(60)]
+    rows += [(100 + i, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (7, "again"), (7, "again"), (200, "unspaced" * 900)]
+    docs = spark.createDataFrame(
+        [(i, t, 1, 2, "b", "s", 3) for i, t in rows],
+        "doc_id bigint, text string, piece int, bucket int, batch string, shard string, total int",
+    )
+    packed = packing.pack(docs, tokenizer_path, buckets=4, context=64, budget=256).collect()
+    own = Tokenizer.from_file(tokenizer_path)
+    expected = Counter()
+    for doc_id, text in rows:
+        expected[doc_id] += len(own.encode(text or "", add_special_tokens=False).ids) + 1
+    found = Counter()
+    for r in packed:
+        found[r.doc_id] += r.n_tokens
+        assert 1 <= r.n_tokens <= r.padded <= 64
+    assert found == expected
+
+
+def test_a_document_keeps_an_id_that_is_no_number(spark, tokenizer_path):
+    docs = spark.createDataFrame([("a", "one two"), ("b", None)], "name string, text string")
+    for path in (tokenizer_path, None):
+        packed = packing.pack(docs, path, id_column="name").collect()
+        assert {(r.doc_id, r.n_tokens) for r in packed} == {("a", 3), ("b", 1)}
+
+
 def test_packing_an_empty_table(spark):
     assert packing.pack(table(spark, []).limit(0)).collect() == []
