@@ -3,16 +3,24 @@
 A histogram of all lengths goes through a dynamic programme that picks the bucket
 boundaries with the least padding. Inside each bucket documents are put into batches
 that hold a fixed budget of padded tokens.
+
+A document's length is its number of token ids with the end id, as the token store would
+write them. It is worked out once and written down; texts are not read again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwell.llm.common import in_small_batches, in_turns, settle
+from tarnwell.llm.token_store import CHARACTERS_AT_ONCE, LengthCounter
+
 BUCKETS = 16
 CONTEXT = 4096  # longer documents are cut into pieces of this many tokens
 TOKEN_BUDGET = 65_536  # padded tokens in a batch
@@ -73,15 +81,36 @@ def optimal_buckets(histogram: dict[int, int], most: int) -> Buckets:
     return Buckets(sorted(limits), int(cost[n]))
 
 
-def pieces_of(docs: DataFrame, id_column: str, text_column: str, context: int) -> DataFrame:
-    """One row per piece: a document's tokens are cut every ``context`` tokens."""
-    total = docs.select(
+def lengths_of(docs: DataFrame, tokenizer_path: str | None, id_column: str, text_column: str) -> DataFrame:
+    """``doc_id``, ``salt`` (a hash of the text, apart even where ids are alike) and ``total``, its length."""
+    texts = docs.select(
         F.col(id_column).alias("doc_id"),
-        word_count(F.col(text_column).cast("string")).alias("total"),
-        F.xxhash64(F.col(text_column)).alias("salt"),  # apart even where ids are alike
+        F.xxhash64(F.col(text_column)).alias("salt"),
+        F.col(text_column).cast("string").alias("text"),
     )
+    if tokenizer_path is None:
+        return texts.select("doc_id", "salt", word_count(F.col("text")).cast("bigint").alias("total"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counter = LengthCounter(tokenizer_path)
+        for batch in batches:
+            texts, found = batch["text"].tolist(), []
+            for turn in in_turns(texts, CHARACTERS_AT_ONCE):
+                found += counter.lengths(texts[turn])
+            yield batch[["row", "salt"]].assign(total=found)
+
+    # The id goes along as text that only Spark reads, so it may be of any type.
+    id_type = texts.schema["doc_id"].dataType
+    counted = in_small_batches(texts).withColumnRenamed("doc_id", "id").select(
+        F.col("id").cast("string").alias("row"), "salt", "text"
+    ).mapInPandas(count, "row string, salt bigint, total bigint")
+    return counted.select(F.col("row").cast(id_type).alias("doc_id"), "salt", "total")
+
+
+def pieces_of(lengths: DataFrame, context: int) -> DataFrame:
+    """One row per piece: a document's tokens are cut every ``context`` tokens."""
     cut = F.explode(F.sequence(F.lit(0), ((F.col("total") - 1) / context).cast("int"))).alias("piece")
-    return total.select("doc_id", "total", "salt", cut).select(
+    return lengths.select("doc_id", "total", "salt", cut).select(
         "doc_id",
         "piece",
         "salt",
@@ -91,6 +120,7 @@ def pieces_of(docs: DataFrame, id_column: str, text_column: str, context: int) -
 
 def pack(
     docs: DataFrame,
+    tokenizer_path: str | None = None,
     id_column: str = "doc_id",
     text_column: str = "text",
     buckets: int = BUCKETS,
@@ -106,10 +136,13 @@ def pack(
     is numbered in as many shards as its count asks for, so that no task numbers more
     than about ``SHARD_ROWS`` pieces; each shard's last batch may be part full.
 
-    Null and empty texts have one token, the end. A null id is kept; repeated rows are
-    packed each; other columns are ignored; an empty table gives an empty result.
+    Tokens are those of the tokenizer, with an end; without a path, words between white
+    space and an end. Null and empty texts have one token, the end; a very long text is
+    cut into pieces. A null id is kept; repeated rows are packed each, and ties between
+    pieces are settled by id, piece, length and text; columns with names used here are
+    ignored as any others are; an empty table gives an empty result.
     """
-    pieces = pieces_of(docs, id_column, text_column, context)
+    pieces = pieces_of(settle(lengths_of(docs, tokenizer_path, id_column, text_column), "lengths"), context)
     histogram = {r.n_tokens: r["count"] for r in pieces.groupBy("n_tokens").count().collect()}
     limits = optimal_buckets(histogram, buckets).limits
     shards = [0] * len(limits)

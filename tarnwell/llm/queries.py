@@ -60,8 +60,12 @@ def op8_token_store(
     return token_store.read_store(index)
 
 
-def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"))
+def op9_packing(
+    spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None
+) -> DataFrame:
+    return pack(
+        read_table(spark, sf_dir, "documents"), tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
+    )
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

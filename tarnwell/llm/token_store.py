@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tarnwell.llm.common import scratch
+from tarnwell.llm.common import in_small_batches, in_turns, scratch
 
 END_ID = 1
 BEYOND_LATIN = re.compile("[^\0-\u02ff]")
@@ -40,24 +40,65 @@ MARKS = string.punctuation.encode()
 SEQUENCE = 2048  # ids in a row
 ROWS = 256  # rows in a record batch
 CACHED_WORDS = 1_800_000  # about as many words' ids does a worker remember
-DOCS_AT_ONCE = 64
+COUNTED_WORDS = 600_000  # words' lengths that a worker remembers, about
+CHARACTERS_AT_ONCE = 200_000
 WORDS_AT_ONCE = 1000
 
 INDEX_SCHEMA = "doc_id bigint, part int, file string, file_start bigint, n_tokens bigint"
 READ_SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
+#: Settings under which a text's ids are those of its words in turn.
+BY_WORDS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
+
+
+def splits_at_words(path: str) -> bool:
+    """Whether a tokenizer's file has the settings of ``BY_WORDS``, and special tokens that ``<|`` begins."""
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    return (
+        all(parts.get(name) == value for name, value in BY_WORDS.items())
+        and parts["model"].get("type") == "BPE"
+        and not parts["model"].get("dropout")
+        and all(token["content"].startswith("<|") and not token["normalized"] for token in parts["added_tokens"])
+    )
+
+
 class WordEncoder:
-    """Encodes texts word by word.
+    """Encodes texts word by word, where the tokenizer's settings allow it, else whole.
 
-    The tokenizer drops white space and never joins what stands on both sides of it,
-    so a text's ids are those of its words in turn; words repeat, so most are looked
-    up. Words are split at ASCII white space only, which every such tokenizer splits at.
+    Under such settings the tokenizer drops white space and never joins what stands on
+    both sides of it, so a text's ids are those of its words in turn; words repeat, so
+    most are looked up. Words are split at ASCII white space only.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark keeps the cores busy already
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = splits_at_words(path)
         small = self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
         self.width = np.dtype("<u2" if small else "<u4")
         self.pack = "H" if small else "I"
@@ -66,6 +107,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by the end id, and the number of each text."""
+        if not self.by_words:
+            return self.encode_whole(texts)
         words = [words_of(t or "") for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known = {}
@@ -81,6 +124,12 @@ class WordEncoder:
         sizes = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs)) // self.width.itemsize
         return np.frombuffer(b"".join(runs), dtype=self.width), sizes
 
+    def encode_whole(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        encoded = self.tokenizer.encode_batch_fast([text or "" for text in texts], add_special_tokens=False)
+        runs = [[*e.ids, END_ID] for e in encoded]
+        sizes = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
+        return np.fromiter(chain.from_iterable(runs), dtype=self.width, count=int(sizes.sum())), sizes
+
     def learn(self, words: list[bytes]) -> None:
         parts = {word: parted(word) for word in words}
         fresh = [p for p in {p for pair in parts.values() for p in pair} if p not in self.known]
@@ -114,6 +163,31 @@ class WordEncoder:
                 start = end
 
 
+class LengthCounter:
+    """Numbers of ids, the end id included, for where the ids themselves aren't needed."""
+
+    def __init__(self, path: str):
+        self.encoder = WordEncoder(path)
+        self.known: dict[bytes, int] = {}  # a word's number of ids
+
+    def lengths(self, texts: list[str | None]) -> list[int]:
+        if not self.encoder.by_words:
+            return self.encoder.encode_whole(texts)[1].tolist()
+        words = [words_of(t or "") for t in texts]
+        if len(self.known) > COUNTED_WORDS:
+            self.known = {}
+        here = dict.fromkeys(chain.from_iterable(words))
+        fresh = [word for word in here if word not in self.known]
+        self.encoder.known = {}
+        self.encoder.learn(fresh)
+        size = self.encoder.width.itemsize
+        found = {word: len(self.encoder.known[word]) // size for word in fresh}
+        for word in here:
+            here[word] = found[word] if word in found else self.known[word]
+        self.known.update(found)
+        return [sum(map(here.__getitem__, text)) + 1 for text in words]
+
+
 def words_of(text: str) -> list[bytes]:
     """Words of a text, in lower case where the tokenizer would put the same.
 
@@ -242,8 +316,14 @@ def write_store(
 
     Documents are range-partitioned and sorted by id, so file ``part`` holds ids before
     those of ``part + 1``; equal ids are ordered by a hash of the text. Null ids come
-    first, a null text is an empty one and has the end id alone. Ids are stored in two
-    bytes where the vocabulary allows it, in four otherwise.
+    first. Ids are stored in two bytes where the vocabulary allows it, in four otherwise.
+    Any tokenizer of the ``tokenizers`` library will do; those that split at words as
+    ``BY_WORDS`` says are faster.
+
+    A null text is an empty one and has the end id alone. A very long text is encoded
+    whole and may go through many record batches. Repeated rows are stored each, ties
+    between them don't matter; an empty table gives an empty index; other columns are
+    ignored.
     """
     folder = folder.rstrip("/")
 
@@ -252,8 +332,8 @@ def write_store(
         part = TaskContext.get().partitionId()
         uri = f"{folder}/part-{part:05d}-{uuid.uuid4().hex}.arrow"
         for batch in batches:
-            for first in range(0, len(batch), DOCS_AT_ONCE):
-                some = batch.iloc[first : first + DOCS_AT_ONCE]
+            for turn in in_turns(batch["text"].tolist(), CHARACTERS_AT_ONCE):
+                some = batch.iloc[turn]
                 ids, sizes = encoder.encode(some["text"].tolist())
                 if store is None:
                     store = SequenceFile(uri, length, encoder.width, {"end_id": END_ID, "length": length})
@@ -272,7 +352,7 @@ def write_store(
         if store is not None:
             store.close()
 
-    texts = docs.select(
+    texts = in_small_batches(docs).select(
         F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text")
     )
     index = (
@@ -293,7 +373,9 @@ def make_folder(spark: SparkSession, uri: str) -> None:
 def read_store(index: DataFrame) -> DataFrame:
     """Per document, from the files: global start, number of ids and their checksum.
 
-    Only the size of each file is brought to the driver, one row a file.
+    Only the size of each file is brought to the driver, one row a file. Rows are those of
+    the index, with null ids, repeated rows and texts without ids as they were written; a
+    very long document's ids are read whole. An empty index gives an empty result.
     """
     sizes = index.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     before = dict(
