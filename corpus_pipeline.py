@@ -8,6 +8,7 @@ blanks what it finds, and packing gives each document its place in a batch.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwell.llm import language_id
@@ -42,9 +43,11 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return blank_secrets(docs, length_column="n_chars")
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their bucket and batch."""
-    return pack(docs)
+def packed(
+    spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer_path: str | None = None
+) -> DataFrame:
+    """The pieces of all documents with their bucket and batch, by the token store's ids."""
+    return pack(docs, tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
