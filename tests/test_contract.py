@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import subprocess
+import sys
 from decimal import Decimal
 from pathlib import Path
 
@@ -70,3 +72,13 @@ def test_totals_recorded_in_the_survey(spark, scale, lines, nation_0):
     assert sum(row.line_count for row in rows) == lines
     found = {row.nation_name: (row.line_count, row.revenue) for row in rows}
     assert found["NATION_0"] == nation_0
+
+
+def test_a_missing_library_leaves_the_other_queries():
+    root = Path(__file__).resolve().parent.parent
+    code = (
+        "import sys; sys.modules['xxhash'] = None; sys.path.insert(0, sys.argv[1])\n"
+        "import __spark_entry__ as e; print(*e.queries(), *e.oracle_sql())"
+    )
+    done = subprocess.run([sys.executable, "-c", code, str(root)], capture_output=True, text=True)
+    assert done.stdout.split() == ["revenue_by_nation"] * 2, done.stderr
