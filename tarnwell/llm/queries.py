@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.llm import language_id, ppm, resampling, suffix_dedup, token_store, toxicity
 from tarnwell.llm.alignment import align
+from tarnwell.llm import decontamination
 from tarnwell.llm.decontamination import find_overlaps
 from tarnwell.llm.jaccard_join import link
 from tarnwell.llm.license_scan import scan_licenses
@@ -113,8 +114,60 @@ QUERIES = {
     "op13_suffix_dedup": op13_suffix_dedup,
 }
 
+
+
+def masks_in_sql() -> str:
+    """Rows of (size of the short items they are for or 0, number, offsets, span)."""
+    masks = [(0, mask) for mask in decontamination.MASKS]
+    masks += [(size, mask) for size in range(1, decontamination.WINDOW) for mask in decontamination.short_masks(size)]
+    return ", ".join(f"({size}, {i}, {list(mask)}, {mask[-1] + 1})" for i, (size, mask) in enumerate(masks))
+
+
 #: SQL for DuckDB, for the queries that SQL can express whole: plain nested comparisons.
 ORACLES = {
+    "op4_decontamination": f"""
+        WITH masks(size, number, mask, span) AS (VALUES {masks_in_sql()}),
+        docs AS (
+            SELECT row_number() OVER () AS r, doc_id, text, words AS w
+            FROM (SELECT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS words FROM documents)
+        ),
+        items AS (
+            SELECT row_number() OVER () AS i, item_id, w, least(len(w), 13) AS width
+            FROM (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark)
+            WHERE len(w) > 0
+        ),
+        used AS (SELECT * FROM masks WHERE size = 0 OR size IN (SELECT len(w) FROM items)),
+        doc_seeds AS (
+            SELECT r, number, p, list_transform(mask, lambda o: w[p + o + 1]) AS picked
+            FROM (SELECT r, w, number, mask, unnest(range(len(w) - span + 1)) AS p FROM docs, used)
+        ),
+        item_seeds AS (
+            SELECT i, number, span, q, list_transform(mask, lambda o: w[q + o + 1]) AS picked
+            FROM (
+                SELECT i, w, number, mask, span, unnest(range(len(w) - span + 1)) AS q
+                FROM items, used WHERE size = CASE WHEN width < 13 THEN width ELSE 0 END
+            ) JOIN items USING (i, w)
+            WHERE width = 13 OR q = 0
+        ),
+        hits AS (
+            SELECT d.r, s.i, number, p, q, span, x.w AS a, y.w AS b, width
+            FROM doc_seeds d JOIN item_seeds s USING (number, picked) JOIN docs x ON x.r = d.r JOIN items y ON y.i = s.i
+        ),
+        compared AS (
+            SELECT r, i, p, width,
+                   list_max(list_transform(range(CASE WHEN width = 13 THEN span - 13 ELSE 0 END, 1), lambda z:
+                       CASE WHEN width < 13 AND p + width > len(a) THEN 0 ELSE
+                       list_sum(list_transform(range(width), lambda k: CASE
+                           WHEN least(p, q) + z + k >= 0 AND p + z + k < len(a) AND q + z + k < len(b)
+                                AND a[p + z + k + 1] = b[q + z + k + 1] THEN 1 ELSE 0 END)) END)) AS same
+            FROM hits
+        )
+        SELECT doc_id, item_id, CAST(min(p) AS INTEGER) AS first_word, CAST(max(p) AS INTEGER) AS last_word,
+               count(*) AS seeds, max(CAST(same AS DOUBLE) / c.width) AS best
+        FROM compared c JOIN docs USING (r) JOIN items USING (i)
+        WHERE same * 100 >= c.width * 80
+        GROUP BY doc_id, text, item_id
+    """,
     "op5_voronoi_topk": """
         WITH whole AS (
             SELECT vec_id,
@@ -229,4 +282,35 @@ ORACLES = {
         SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank
         FROM keyed LEFT JOIN places USING (r)
     """,
+    "op13_suffix_dedup": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ),
+        strings AS (
+            SELECT r, place, md5(substr(h, 2 * place + 1, 400)) AS m
+            FROM (SELECT r, h, unnest(range(len(h) // 2 - 199)) AS place FROM d)
+        ),
+        repeated AS (SELECT m FROM strings GROUP BY m HAVING count(*) > 1),
+        hits AS (SELECT r, place FROM strings WHERE m IN (SELECT m FROM repeated)),
+        marked AS (
+            SELECT r, place, CASE WHEN place <= lag(place) OVER (PARTITION BY r ORDER BY place) + 200 THEN 0 ELSE 1 END AS new
+            FROM hits
+        ),
+        runs AS (SELECT r, place, sum(new) OVER (PARTITION BY r ORDER BY place) AS run FROM marked),
+        spans AS (SELECT r, min(place) AS b, max(place) + 200 AS e FROM runs GROUP BY r, run),
+        per_doc AS (
+            SELECT r, count(*) AS n_spans, CAST(sum(e - b) AS BIGINT) AS n_removed,
+                   list(b ORDER BY b) AS begins, list(e ORDER BY b) AS ends
+            FROM spans GROUP BY r
+        ),
+        cuts AS (
+            SELECT r, doc_id, h, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+                   [0] || coalesce(ends, []) AS f, coalesce(begins, []) || [len(h) // 2] AS t
+            FROM d LEFT JOIN per_doc USING (r)
+        )
+        SELECT doc_id, len(h) // 2 AS n_bytes, n_removed, n_spans,
+               sha256(unhex(array_to_string(
+                   list_transform(range(1, len(f) + 1), lambda i: substr(h, 2 * f[i] + 1, 2 * (t[i] - f[i]))), ''))) AS kept_sha256
+        FROM cuts
+    """,
 }

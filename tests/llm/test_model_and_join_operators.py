@@ -69,9 +69,10 @@ def brute_overlap_rows(docs, items):
             short = len(b) < decontamination.WINDOW
             masks = decontamination.short_masks(width) if short and b else decontamination.MASKS
             seeds, best = set(), 0
-            for i in range(len(a) - width + 1) if b else ():
-                for j in range(len(b) - width + 1):
-                    same = [x == y for x, y in zip(a[i : i + width], b[j : j + width], strict=True)]
+            out = 0 if short else 2  # as many words of a window may be outside as may differ
+            for i in range(-out, len(a) - width + out + 1) if b else ():
+                for j in range(-out, len(b) - width + out + 1):
+                    same = [0 <= i + k < len(a) and 0 <= j + k < len(b) and a[i + k] == b[j + k] for k in range(width)]
                     if 10 * sum(same) < 8 * width:
                         continue
                     best = max(best, sum(same) / width)
@@ -105,8 +106,11 @@ def test_overlaps_equal_brute_force(spark):
     for i, (_, text) in enumerate(items[4:12]):  # each word of a short item changed in turn
         words = text.split()
         docs += [(200 + 20 * i + k, f"before {' '.join([*words[:k], 'other', *words[k + 1 :]])} after") for k in range(len(words))]
+    cut = [text.split() for _, text in items[:4]]
+    docs += [(400 + i, " ".join(w[:11])) for i, w in enumerate(cut)] + [(410 + i, " ".join(w[-11:])) for i, w in enumerate(cut)]
+    docs += [(420 + i, " ".join(w[:10])) for i, w in enumerate(cut)]
     docs += [(120, None), (121, ""), (122, items[2][1].upper()), (122, items[2][1].upper()), (None, items[3][1])]
-    docs.append((123, "x " * 3_000 + items[3][1]))
+    docs.append((123, "x " * 1_500 + items[3][1]))
     rows = decontamination.find_overlaps(table(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
     found = [(r.doc_id, r.item_id, r.first_word, r.last_word, r.seeds, r.best) for r in rows]
     assert set(found) == brute_overlap_rows(docs, items)
