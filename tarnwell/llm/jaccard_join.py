@@ -294,7 +294,8 @@ def link(
     A null text and one without words have an empty set, link to nothing and are their
     own component. Repeated rows are equal sets and link; a null id stands for no
     number and is the smallest only where there is no other. Ties between rows of the
-    same id go to the one read first. Other columns are ignored; an empty table gives an
+    same id go to the one read first. A very long text is shingled whole, by itself; its
+    set goes into a task as a whole. Other columns are ignored; an empty table gives an
     empty result.
     """
     texts = in_small_batches(docs).select(
@@ -566,7 +567,8 @@ def keep_first(
     The keys of rows to leave out are written first; a bitmap of them lets most documents
     through where they lie, and only the others are joined. Of rows with the same id
     and text all or none are left out by their key, so one of each such group is put
-    back.
+    back. Null and empty texts all stay, an empty table stays empty; see ``link`` for the
+    rest.
     """
     found = link(docs, id_column, text_column, percent, width)
     out = settle(

@@ -271,7 +271,8 @@ def score(
     Columns: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` (smoothed word frequencies) and ``score`` (log10 probability of the
     text's bytes and its end). A null text is an empty one, whose end is scored. With
-    nothing to learn from, bytes are equally likely. Repeated rows give repeated rows, a
+    nothing to learn from, bytes are equally likely. A very long text is scored whole, in
+    one block and in parts of some megabytes. Repeated rows give repeated rows, a
     null id is kept and counts as empty text for the fold, other columns are ignored, an
     empty table gives an empty result.
     """
