@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH = 1 << 20  # of texts handed to Python together; larger buffers stay with the allocator
 
 
 def fold(id_column: str = "doc_id", folds: int = 5) -> Column:
@@ -35,14 +36,14 @@ def scratch(spark: SparkSession) -> str:
 
 
 def in_small_batches(docs: DataFrame) -> DataFrame:
-    """``docs``, after the session was told to hand texts to Python some megabytes at a time.
+    """``docs``, after the session was told to hand texts to Python a megabyte at a time.
 
     Spark's own limit is a number of rows, which says nothing about texts. A limit that
     the session has already stays.
     """
     conf = docs.sparkSession.conf
     if conf.get(BATCH_BYTES, None) is None:
-        conf.set(BATCH_BYTES, str(4 << 20))
+        conf.set(BATCH_BYTES, str(BATCH))
     return docs
 
 

@@ -44,7 +44,7 @@ def test_batches_are_small_unless_the_session_says_otherwise(spark, settings):
     docs = spark.range(1)
     spark.conf.unset(common.BATCH_BYTES)
     assert common.in_small_batches(docs) is docs
-    assert spark.conf.get(common.BATCH_BYTES) == str(4 << 20)
+    assert spark.conf.get(common.BATCH_BYTES) == str(common.BATCH)
     settings(common.BATCH_BYTES, "123456")
     common.in_small_batches(docs)
     assert spark.conf.get(common.BATCH_BYTES) == "123456"
