@@ -17,6 +17,7 @@ import hashlib
 import json
 import math
 import re
+import string
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
@@ -36,7 +37,8 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
+PART = re.compile(r"[A-Za-z0-9_-]*")
+PART_LETTERS = string.ascii_letters + string.digits + "_-"
 PEM = re.compile(
     r"-----BEGIN ([A-Z0-9 ]{0,30})-----((?:(?:\s|\\[nr])*[A-Za-z][A-Za-z0-9-]*:[^\n\\]*(?=\n|\\n))*)"
     r"([A-Za-z0-9+/=\s\\]+)-----END [A-Z0-9 ]{0,30}-----"
@@ -69,11 +71,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans whose decoded inside is a private key or a signed or encrypted token."""
     spans = []
-    for m in DOTTED.finditer(text) if text.count(".") > 1 else ():
-        spans += [("jwt", m.start() + start, m.start() + end) for start, end in tokens_in(m[0])]
+    for at, run in dotted_runs(text):
+        spans += [("jwt", at + start, at + end) for start, end in tokens_in(run)]
     for m in PEM.finditer(text) if "-----BEGIN " in text else ():
         if kind := key_file(m[1], m[2], m[3]):
             spans.append((kind, *m.span()))
+    if not BASE64.search(text):  # hex digits are letters of base64 too, and all that follows needs a run of them
+        return spans
     for pattern, decode in ((LINES64, from_base64), (LINES_HEX, from_hex)):
         for m in pattern.finditer(text) if "\n" in text else ():
             if not inside(spans, *m.span()):
@@ -89,6 +93,23 @@ def inside(spans: list[tuple[str, int, int]], start: int, end: int) -> bool:
     return any(a <= start and end <= b for _, a, b in spans)
 
 
+def dotted_runs(text: str) -> Iterator[tuple[int, str]]:
+    """Places and texts of what parts of a token's letters and dots make, with two dots at least."""
+    pieces = text.split(".")
+    ends = list(accumulate(len(piece) + 1 for piece in pieces))  # behind the dots
+    number = 1
+    while number < len(pieces) - 1:
+        if not PART.fullmatch(pieces[number]):
+            number += 1
+            continue
+        first = number
+        while number < len(pieces) - 1 and PART.fullmatch(pieces[number]):
+            number += 1
+        before = pieces[first - 1]
+        start = ends[first - 1] - 1 - len(before) + len(before.rstrip(PART_LETTERS))
+        yield start, text[start : ends[number - 1] + PART.match(pieces[number]).end()]
+
+
 def tokens_in(run: str) -> list[tuple[int, int]]:
     """Where tokens lie among parts that dots join: three parts, or five of an encrypted one."""
     parts, found, number, at = run.split("."), [], 0, 0
