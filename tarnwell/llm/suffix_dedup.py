@@ -6,21 +6,24 @@ what begins there, equal ones get one rank, and places whose rank nobody shares
 The rank of a place for twice the length comes from sorting the pairs of its own rank and
 that of the place a length further on, until the length is ``width``.
 
-Two exact steps ahead of that keep it from sorting every byte of the corpus:
+Exact steps ahead of that keep it from sorting every byte of the corpus:
 
 * Of the short grams in a string of ``width`` bytes one is the least by hash, and equal
-  strings have equal ones. Neighbouring strings share theirs, so a text has few. A
-  string whose least gram is nowhere else is not repeated.
-* The strings that share one least gram at one place lie in one stretch of text. These
-  stretches are sorted first; in equal stretches all strings are repeated. Long copies
-  end there. Of each kind of stretch one goes on, and only if its gram has others.
-
-The places of what is left are sorted by doubling: the ends of copied passages.
+  strings have equal ones. Neighbouring strings share theirs, so a text has few. They
+  lie in one stretch of text, and have the gram as a common core.
+* Stretches are sorted by core and content. Where no other has the core, no string is
+  repeated; in equal stretches all are, and of those one goes on if another stretch has
+  its core. Long copies end here.
+* What is left is cut into parts of neighbouring strings, whose common cores are longer,
+  and these are sorted in the same way; then into smaller parts.
+
+The places that the last parts leave are sorted by doubling: the ends of copied passages.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,12 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import bitmap, is_set, settle
+from tarnwell.llm.common import bitmap, in_small_batches, is_set, settle
 from tarnwell.llm.jaccard_join import mixed, unbounded
 
 WIDTH = 200
 GRAM = 50  # bytes by whose hash strings are sampled
 START = 50  # bytes that the first sort of places compares
+PARTS = (32, 8)  # strings in the parts of a stretch, powers of two
 PIECE = 1 << 20  # bytes of a text that are looked at together
 BITS = 1 << 24  # of the bitmaps that thin out rows
 
@@ -80,15 +84,15 @@ class Sampler:
         low = np.minimum(low[:count], low[rest : rest + count])
         return (low & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
 
-    def stretches(self, text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """First strings of neighbours with one least gram, how many they are, the gram's hash."""
+    def stretches(self, text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+        """First strings of neighbours with one least gram, how many they are, how far on the gram is, its hash."""
         for begin in range(0, len(text) - self.width + 1, PIECE):
             data = np.frombuffer(text, np.uint8, min(PIECE + self.width - 1, len(text) - begin), begin)
             hashes = self.hashes(data)
             places = self.least(hashes)
             first = np.flatnonzero(np.diff(places, prepend=-1))
             count = np.diff(first, append=len(places))
-            yield first + begin, count, hashes[places[first]].view(np.int64)
+            yield first + begin, count, places[first] - first, hashes[places[first]].view(np.int64)
 
 
 def utf8(text: str | None) -> bytes:
@@ -102,21 +106,89 @@ def fingerprints(text: bytes, begins, ends) -> np.ndarray:
     return np.frombuffer(whole, dtype=np.int64).reshape(-1, 2)
 
 
+def hashed(text: bytes, begins: list[int], ends: list[int]) -> np.ndarray:
+    view, digest = memoryview(text), xxhash.xxh3_64_intdigest
+    found = [digest(view[begin:end]) for begin, end in zip(begins, ends, strict=True)]
+    return np.array(found, dtype=np.uint64).view(np.int64)
+
+
 def stretches_of(width: int, gram: int):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = Sampler(width, gram)
         for batch in batches:
             for doc, text_key, text in zip(batch["doc"], batch["text_key"], batch["text"], strict=True):
                 data = utf8(text)
-                for first, count, grams in sampler.stretches(data):
-                    prints = fingerprints(data, first.tolist(), (first + count - 1 + width).tolist())
+                for first, count, reach, grams in sampler.stretches(data):
+                    content = hashed(data, first.tolist(), (first + count - 1 + width).tolist())
                     yield pd.DataFrame(
-                        {"doc": doc, "text_key": text_key, "at": first, "count": count, "gram": grams, "k1": prints[:, 0], "k2": prints[:, 1]}
+                        {"doc": doc, "text_key": text_key, "at": first, "count": count, "reach": reach, "known": False, "core": grams, "k2": content}
                     )
 
     return find
 
 
+def with_content(width: int):
+    """The bytes of the stretches that are asked of a text, a row for each."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, text_key, text, asked in zip(*(batch[c] for c in (*TEXT, "text", "asked")), strict=True):
+                data = utf8(text)
+                rows = [
+                    (doc, text_key, r["at"], r["count"], r["reach"], r["known"], data[r["at"] : r["at"] + r["count"] - 1 + width])
+                    for r in asked
+                ]
+                yield pd.DataFrame(rows, columns=[*PLACE, "count", "reach", "known", "content"])
+
+    return find
+
+
+def parts_of(width: int, size: int):
+    """Stretches cut where the distance to their gram is a multiple of ``size``.
+
+    All strings of a part have the bytes between the beginning of the one nearest to the
+    gram and the end of the farthest that the part could have. That is the core; it
+    doesn't depend on where the stretch begins or ends.
+    """
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            columns = (*PLACE, "count", "reach", "known", "content")
+            for doc, text_key, at, count, reach, known, content in zip(*(batch[c] for c in columns), strict=True):
+                for number in range((reach - count + 1) // size, reach // size + 1):
+                    near, far = number * size, (number + 1) * size - 1
+                    core = content[reach - near : reach - far + width]
+                    near, far = max(near, reach - count + 1), min(far, reach)
+                    own = content[reach - far : reach - near + width]
+                    core_key = xxhash.xxh3_64_intdigest(core, number) - (1 << 63)
+                    rows.append((doc, text_key, at + reach - far, far - near + 1, far, known, own, core_key, xxhash.xxh3_64_intdigest(own) - (1 << 63)))
+            yield pd.DataFrame(rows, columns=[*columns, "core", "k2"])
+
+    return cut_up
+
+
+def winnowed(rows: DataFrame, width: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """What repeated strings cover in the stretches, and the stretches that must be looked at closer.
+
+    Stretches are sorted by core and content. Those whose core no other has go; the sieve
+    for that only saves work. Equal ones are repeated, all their strings are. What is
+    left are stretches that are alone with their content, and for each other content, if
+    some of those have its core, one that has it (``known``: nothing is asked about it).
+    """
+    often = rows.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1")
+    sieve = settle(bitmap(often, "core", BITS), f"{name}-cores").scalar()
+    likely = settle(rows.filter(is_set(sieve, F.col("core"), BITS)), name)
+    found = ranked(likely.withColumn("k1", F.col("core")), f"{name}-ranked")
+    alike = found.filter("NOT alone AND NOT known").select(
+        *TEXT, F.col("at").alias("begin"), (F.col("at") + F.col("count") - 1 + width).alias("end")
+    )
+    open_ = F.col("alone") & ~F.col("known")
+    asking = settle(bitmap(found.filter(open_), "core", BITS), f"{name}-open").scalar()
+    left = found.filter(open_ | F.col("head") & is_set(asking, F.col("core"), BITS)).withColumn("known", ~open_)
+    return alike, settle(left.drop("core", "rank", "head", "alone"), f"{name}-left")
+
+
 def grouped_frames(find):
     """Fewer and larger frames from a function that makes a small one for each text."""
 
@@ -218,34 +290,47 @@ def joints(edges: list[tuple]) -> list[tuple]:
     return list(map(tuple, found))
 
 
-def lengths(width: int, start: int) -> list[int]:
+def lengths(width: int, start: int) -> tuple[int, ...]:
     """Lengths whose ranks are made in turn, doubled up to ``width``."""
     found = [min(start, width)]
     while found[-1] < width:
         found.append(min(2 * found[-1], width))
-    return found
+    return tuple(found)
+
+
+@cache
+def needed(count: int, steps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Places for ``count`` strings in a row, and the step up to which each is needed."""
+    places, last = np.arange(count), np.full(count, len(steps) - 1)
+    for step in range(len(steps) - 1, 0, -1):
+        further = places[last >= step] + (steps[step] - steps[step - 1])
+        grown = np.union1d(places, further)
+        until = np.full(len(grown), step - 1)
+        until[np.searchsorted(grown, places)] = last
+        places, last = grown, until
+    return places, last
 
 
-def places_of(steps: list[int]):
-    """Places whose first bytes must be ranked, so that all asked strings can be."""
+def places_of(steps: tuple[int, ...]):
+    """Places whose first bytes must be ranked, so that all strings asked for can be."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc, text_key, text, asked in zip(*(batch[c] for c in ("doc", "text_key", "text", "asked")), strict=True):
-                data = utf8(text)
-                runs = {kind: [np.arange(r["at"], r["at"] + r["count"]) for r in asked if r["alone"] == kind] for kind in (False, True)}
-                wanted = np.unique(np.concatenate([np.zeros(0, np.int64), *runs[True]]))
-                needed = np.union1d(wanted, np.concatenate([np.zeros(0, np.int64), *runs[False]]))
-                last = np.full(len(needed), len(steps) - 1)  # step up to which a place is needed
-                for step in range(len(steps) - 1, 0, -1):
-                    further = needed[last >= step] + (steps[step] - steps[step - 1])
-                    places = np.union1d(needed, further)
-                    grown = np.full(len(places), step - 1)
-                    grown[np.searchsorted(places, needed)] = last
-                    needed, last = places, grown
-                prints = fingerprints(data, needed.tolist(), (needed + steps[0]).tolist())
+            for doc, text_key, parts in zip(*(batch[c] for c in (*TEXT, "parts")), strict=True):
+                found, prints = [], []
+                for r in parts:
+                    places, last = needed(r["count"], steps)
+                    prints.append(fingerprints(r["content"], places.tolist(), (places + steps[0]).tolist()))
+                    found.append((places + r["at"], last, (places < r["count"]) & (not r["known"])))
+                every, last, wanted = map(np.concatenate, zip(*found, strict=True))
+                # Parts overlap, and a place is one row.
+                at, first, number = np.unique(every, return_index=True, return_inverse=True)
+                until, asked = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+                np.maximum.at(until, number, last)
+                np.logical_or.at(asked, number, wanted)
+                keys = np.concatenate(prints)[first]
                 yield pd.DataFrame(
-                    {"doc": doc, "text_key": text_key, "at": needed, "last": last, "wanted": np.isin(needed, wanted), "k1": prints[:, 0], "k2": prints[:, 1]}
+                    {"doc": doc, "text_key": text_key, "at": at, "last": until, "wanted": asked, "k1": keys[:, 0], "k2": keys[:, 1]}
                 )
 
     return find
@@ -265,31 +350,31 @@ def find_repeats(
     """
     if not 0 < gram <= width or not 0 < start:
         raise ValueError("grams are no longer than the strings, and nothing is shorter than a byte")
-    texts = named(docs, id_column, text_column).filter(F.octet_length("text") >= width)
-    stretches = texts.mapInPandas(
-        grouped_frames(stretches_of(width, gram)),
-        "doc bigint, text_key bigint, at bigint, count bigint, gram bigint, k1 bigint, k2 bigint",
-    )
-    often = stretches.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    sieve = bitmap(often, "gram", BITS)
-    likely = settle(stretches.filter(is_set(settle(sieve, "grams").scalar(), F.col("gram"), BITS)), "stretches")
-    found = settle(ranked(likely, "stretches-ranked"), "stretches-found")
-    alike = found.filter("NOT alone").select(
-        *TEXT, F.col("at").alias("begin"), (F.col("at") + F.col("count") - 1 + width).alias("end")
-    )
+    texts = named(in_small_batches(docs), id_column, text_column).filter(F.octet_length("text") >= width)
+    kept = "doc bigint, text_key bigint, at bigint, count bigint, reach bigint, known boolean"
+    stretches = texts.mapInPandas(grouped_frames(stretches_of(width, gram)), f"{kept}, core bigint, k2 bigint")
+    covered, left = winnowed(stretches, width, "stretches")
 
-    left = bitmap(found.filter("alone"), "gram", BITS).scalar()
     asked = settle(
-        found.filter(F.col("alone") | F.col("head") & is_set(left, F.col("gram"), BITS))
-        .groupBy(*TEXT)
-        .agg(F.collect_list(F.struct("at", "count", "alone")).alias("asked")),
-        "asked",
+        left.groupBy(*TEXT).agg(F.collect_list(F.struct("at", "count", "reach", "known")).alias("asked")), "asked"
     )
-    steps = lengths(width, start)
     near = texts.filter(is_set(bitmap(asked, "text_key", BITS).scalar(), F.col("text_key"), BITS))
-    once = near.join(unbounded(asked), list(TEXT)).groupBy(*TEXT).agg(F.first("text").alias("text"), F.first("asked").alias("asked"))
+    once = near.groupBy(*TEXT).agg(F.first("text").alias("text")).join(unbounded(asked), list(TEXT))
+    left = settle(once.mapInPandas(grouped_frames(with_content(width)), f"{kept}, content binary"), "content")
+    for size in PARTS:
+        if size < width:
+            parts = left.mapInPandas(parts_of(width, size), f"{kept}, content binary, core bigint, k2 bigint")
+            alike, left = winnowed(settle(parts, f"parts-{size}"), width, f"parts-{size}")
+            covered = covered.union(alike)
+    return covered.union(doubled(left, width, start))
+
+
+def doubled(left: DataFrame, width: int, start: int) -> DataFrame:
+    """Repeated strings of the parts left, by prefix doubling."""
+    steps = lengths(width, start)
+    parts = left.groupBy(*TEXT).agg(F.collect_list(F.struct("at", "count", "known", "content")).alias("parts"))
     places = settle(
-        once.mapInPandas(
+        parts.mapInPandas(
             grouped_frames(places_of(steps)),
             "doc bigint, text_key bigint, at bigint, last int, wanted boolean, k1 bigint, k2 bigint",
         ),
@@ -307,8 +392,7 @@ def find_repeats(
             .select(*PLACE, "last", "wanted", F.col("rank").alias("k1"), "k2"),
             f"places-{length}",
         )
-    ends = shared.filter("wanted").select(*TEXT, F.col("at").alias("begin"), (F.col("at") + width).alias("end"))
-    return alike.union(ends)
+    return shared.filter("wanted").select(*TEXT, F.col("at").alias("begin"), (F.col("at") + width).alias("end"))
 
 
 def named(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tarnwell.llm import suffix_dedup
@@ -55,11 +56,18 @@ def rows_of(seed, width):
 
 
 @pytest.mark.parametrize(
-    ("seed", "width", "gram", "start", "bits"),
-    [(0, 24, 6, 6, 1 << 24), (1, 24, 6, 5, 1 << 10), (2, 40, 40, 10, 64), (3, 17, 1, 17, 1 << 24), (4, 24, 10, 40, 1 << 24)],
+    ("seed", "width", "gram", "start", "bits", "parts"),
+    [
+        (0, 24, 6, 6, 1 << 24, (4,)),
+        (1, 24, 6, 5, 1 << 10, (32, 8)),
+        (2, 40, 40, 10, 64, (8, 2)),
+        (3, 17, 1, 17, 1 << 24, ()),
+        (4, 24, 10, 40, 1 << 24, (16, 4, 1)),
+    ],
 )
-def test_rows_equal_brute_force(spark, monkeypatch, seed, width, gram, start, bits):
+def test_rows_equal_brute_force(spark, monkeypatch, seed, width, gram, start, bits, parts):
     monkeypatch.setattr(suffix_dedup, "BITS", bits)
+    monkeypatch.setattr(suffix_dedup, "PARTS", parts)
     if seed % 2:
         monkeypatch.setattr(suffix_dedup, "PIECE", 64)
     rows = rows_of(seed, width)
@@ -104,6 +112,22 @@ def test_the_least_gram_is_that_of_each_string():
         assert (sampler.least(hashes) == windows.argmin(axis=1) + np.arange(len(windows))).all()
 
 
+def test_parts_have_every_string_once_and_a_core_that_all_share():
+    rng = random.Random(6)
+    for _ in range(300):
+        width, size = rng.randrange(9, 60), rng.choice([1, 2, 4, 8])
+        count, reach = rng.randrange(1, width), 0
+        reach = rng.randrange(count - 1, width)
+        content = bytes(rng.randrange(256) for _ in range(count - 1 + width))
+        row = pd.DataFrame([(1, 2, 100, count, reach, False, content)], columns=["doc", "text_key", "at", "count", "reach", "known", "content"])
+        (parts,) = suffix_dedup.parts_of(width, size)(iter([row]))
+        places = [p for at, n in zip(parts["at"], parts["count"], strict=True) for p in range(at, at + n)]
+        assert sorted(places) == list(range(100, 100 + count))
+        for r in parts.itertuples():
+            assert r.content == content[r.at - 100 : r.at - 100 + r.count - 1 + width]
+            assert 100 + reach - r.at == r.reach and r.count <= size
+
+
 def test_nothing_to_remove(spark):
     empty = table(spark, []).limit(0)
     assert suffix_dedup.dedup(empty).collect() == []
