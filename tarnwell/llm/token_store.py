@@ -40,7 +40,7 @@ MARKS = string.punctuation.encode()
 SEQUENCE = 2048  # ids in a row
 ROWS = 256  # rows in a record batch
 CACHED_WORDS = 1_800_000  # about as many words' ids does a worker remember
-COUNTED_WORDS = 600_000  # words' lengths that a worker remembers, about
+COUNTED_WORDS = 900_000  # words' lengths that a worker remembers, and as many older ones
 CHARACTERS_AT_ONCE = 200_000
 WORDS_AT_ONCE = 1000
 
@@ -169,23 +169,30 @@ class LengthCounter:
     def __init__(self, path: str):
         self.encoder = WordEncoder(path)
         self.known: dict[bytes, int] = {}  # a word's number of ids
+        self.older: dict[bytes, int] = {}  # what was known before ``known`` was begun
 
     def lengths(self, texts: list[str | None]) -> list[int]:
         if not self.encoder.by_words:
             return self.encoder.encode_whole(texts)[1].tolist()
         words = [words_of(t or "") for t in texts]
-        if len(self.known) > COUNTED_WORDS:
-            self.known = {}
         here = dict.fromkeys(chain.from_iterable(words))
         fresh = [word for word in here if word not in self.known]
-        self.encoder.known = {}
-        self.encoder.learn(fresh)
-        size = self.encoder.width.itemsize
-        found = {word: len(self.encoder.known[word]) // size for word in fresh}
-        for word in here:
-            here[word] = found[word] if word in found else self.known[word]
-        self.known.update(found)
-        return [sum(map(here.__getitem__, text)) + 1 for text in words]
+        again = [word for word in fresh if word in self.older]
+        self.known.update((word, self.older[word]) for word in again)
+        self.learn([word for word in fresh if word not in self.known])
+        known = self.known
+        found = [sum([known[word] for word in text]) + 1 for text in words]
+        if len(self.known) > COUNTED_WORDS:
+            self.known, self.older = {}, self.known
+        return found
+
+    def learn(self, words: list[bytes]) -> None:
+        parts = {word: parted(word) for word in words}
+        fresh = {part for pair in parts.values() for part in pair if part not in self.known}
+        size, self.encoder.known = self.encoder.width.itemsize, {}
+        self.encoder.learn(list(fresh))
+        self.known.update((part, len(self.encoder.known[part]) // size) for part in fresh)
+        self.known.update((word, sum(self.known[part] for part in pair)) for word, pair in parts.items())
 
 
 def words_of(text: str) -> list[bytes]:
