@@ -37,7 +37,8 @@ from tarnwell.llm.jaccard_join import mixed, unbounded
 
 WIDTH = 200
 GRAM = 50  # bytes by whose hash strings are sampled
-START = 50  # bytes that the first sort of places compares
+START = 100  # bytes that the first sort of places compares
+ROWS_AT_ONCE = 50_000  # that a task hands on together
 PARTS = (32, 8)  # strings in the parts of a stretch, powers of two
 PIECE = 1 << 20  # bytes of a text that are looked at together
 BITS = 1 << 24  # of the bitmaps that thin out rows
@@ -112,17 +113,53 @@ def hashed(text: bytes, begins: list[int], ends: list[int]) -> np.ndarray:
     return np.array(found, dtype=np.uint64).view(np.int64)
 
 
+def cores_of(width: int, gram: int):
+    """How often each least gram has a stretch, one row each for some of a task's texts."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sampler, held, rows = Sampler(width, gram), [], 0
+
+        def counted() -> pd.DataFrame:
+            cores, n = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"core": cores, "n": n})
+
+        for batch in batches:
+            for text in batch["text"]:
+                for _, _, _, grams in sampler.stretches(utf8(text)):
+                    held.append(grams)
+                    rows += len(grams)
+            if rows >= ROWS_AT_ONCE:
+                yield counted()
+                held, rows = [], 0
+        if held:
+            yield counted()
+
+    return find
+
+
 def stretches_of(width: int, gram: int):
+    columns = [*PLACE, "count", "reach", "core", "k2"]
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler = Sampler(width, gram)
+        sampler, held, rows = Sampler(width, gram), [], 0
+
+        def framed() -> pd.DataFrame:
+            found = pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*held, strict=True)), strict=True)))
+            found.insert(5, "known", False)
+            return found
+
         for batch in batches:
             for doc, text_key, text in zip(batch["doc"], batch["text_key"], batch["text"], strict=True):
                 data = utf8(text)
                 for first, count, reach, grams in sampler.stretches(data):
                     content = hashed(data, first.tolist(), (first + count - 1 + width).tolist())
-                    yield pd.DataFrame(
-                        {"doc": doc, "text_key": text_key, "at": first, "count": count, "reach": reach, "known": False, "core": grams, "k2": content}
-                    )
+                    held.append((np.full(len(first), doc), np.full(len(first), text_key), first, count, reach, grams, content))
+                    rows += len(first)
+                if rows >= ROWS_AT_ONCE:
+                    yield framed()
+                    held, rows = [], 0
+        if held:
+            yield framed()
 
     return find
 
@@ -168,15 +205,15 @@ def parts_of(width: int, size: int):
     return cut_up
 
 
-def winnowed(rows: DataFrame, width: int, name: str) -> tuple[DataFrame, DataFrame]:
+def winnowed(rows: DataFrame, cores: DataFrame, width: int, name: str) -> tuple[DataFrame, DataFrame]:
     """What repeated strings cover in the stretches, and the stretches that must be looked at closer.
 
     Stretches are sorted by core and content. Those whose core no other has go; the sieve
-    for that only saves work. Equal ones are repeated, all their strings are. What is
+    for that, from ``cores`` and how often each is, only saves work. Equal ones are repeated, all their strings are. What is
     left are stretches that are alone with their content, and for each other content, if
     some of those have its core, one that has it (``known``: nothing is asked about it).
     """
-    often = rows.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1")
+    often = cores.groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1")
     sieve = settle(bitmap(often, "core", BITS), f"{name}-cores").scalar()
     likely = settle(rows.filter(is_set(sieve, F.col("core"), BITS)), name)
     found = ranked(likely.withColumn("k1", F.col("core")), f"{name}-ranked")
@@ -197,7 +234,7 @@ def grouped_frames(find):
         for frame in find(batches):
             held.append(frame)
             rows += len(frame)
-            if rows >= 50_000:
+            if rows >= ROWS_AT_ONCE:
                 yield pd.concat(held, ignore_index=True)
                 held, rows = [], 0
         if held:
@@ -352,8 +389,9 @@ def find_repeats(
         raise ValueError("grams are no longer than the strings, and nothing is shorter than a byte")
     texts = named(in_small_batches(docs), id_column, text_column).filter(F.octet_length("text") >= width)
     kept = "doc bigint, text_key bigint, at bigint, count bigint, reach bigint, known boolean"
-    stretches = texts.mapInPandas(grouped_frames(stretches_of(width, gram)), f"{kept}, core bigint, k2 bigint")
-    covered, left = winnowed(stretches, width, "stretches")
+    stretches = texts.mapInPandas(stretches_of(width, gram), f"{kept}, core bigint, k2 bigint")
+    cores = texts.select("text").mapInPandas(cores_of(width, gram), "core bigint, n bigint")
+    covered, left = winnowed(stretches, cores, width, "stretches")
 
     asked = settle(
         left.groupBy(*TEXT).agg(F.collect_list(F.struct("at", "count", "reach", "known")).alias("asked")), "asked"
@@ -364,7 +402,8 @@ def find_repeats(
     for size in PARTS:
         if size < width:
             parts = left.mapInPandas(parts_of(width, size), f"{kept}, content binary, core bigint, k2 bigint")
-            alike, left = winnowed(settle(parts, f"parts-{size}"), width, f"parts-{size}")
+            parts = settle(parts, f"parts-{size}")
+            alike, left = winnowed(parts, parts.select("core", F.lit(1).alias("n")), width, f"parts-{size}")
             covered = covered.union(alike)
     return covered.union(doubled(left, width, start))
 
