@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = 1 << 20  # of texts handed to Python together; larger buffers stay with the allocator
 
 
@@ -65,9 +66,52 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage and gives the optimiser true sizes; losing an executor loses
     nothing of it.
     """
+    return written(df, name)[0]
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` read back from a new table in the shared folder, and that table's path."""
     path = f"{scratch(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+class Tables:
+    """Settled tables of a job that go as soon as nothing is read from them any more.
+
+    Without that the disk holds every step of a job at its end, though a step reads
+    one or two others. Files of shuffles go as well when their table is written; else
+    they stay until the driver happens to collect its garbage.
+    """
+
+    def __init__(self):
+        self.paths: dict[str, tuple[SparkSession, str]] = {}
+
+    def settle(self, df: DataFrame, name: str) -> DataFrame:
+        """See the function; ``name`` stands for one table at a time."""
+        if name in self.paths:
+            raise ValueError(f"there is a table {name!r} already")
+        conf = df.sparkSession.conf
+        before = conf.get(CLEAN_SHUFFLES, None)
+        conf.set(CLEAN_SHUFFLES, "true")
+        try:
+            table, path = written(df, name)
+        finally:
+            if before is None:
+                conf.unset(CLEAN_SHUFFLES)
+            else:
+                conf.set(CLEAN_SHUFFLES, before)
+        self.paths[name] = df.sparkSession, path
+        return table
+
+    def drop(self, *names: str) -> None:
+        """Put an empty table in the place of each; what is still read from them must be settled."""
+        for name in names:
+            spark, path = self.paths.pop(name)
+            spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
+
+    def drop_others(self, *names: str) -> None:
+        self.drop(*(name for name in list(self.paths) if name not in names))
 
 
 def hash_sample(df: DataFrame, id_column: str, most: int, seed: int) -> DataFrame:

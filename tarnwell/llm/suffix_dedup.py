@@ -22,7 +22,7 @@ The places that the last parts leave are sorted by doubling: the ends of copied
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import bitmap, in_small_batches, is_set, settle
+from tarnwell.llm.common import Tables, bitmap, in_small_batches, is_set, settle
 from tarnwell.llm.jaccard_join import mixed, unbounded
 
 WIDTH = 200
@@ -41,7 +41,9 @@ START = 100  # bytes that the first sort of places compares
 ROWS_AT_ONCE = 50_000  # that a task hands on together
 PARTS = (32, 8)  # strings in the parts of a stretch, powers of two
 PIECE = 1 << 20  # bytes of a text that are looked at together
-BITS = 1 << 24  # of the bitmaps that thin out rows
+BITS = 1 << 24  # of the bitmaps that thin out rows, at least
+GROWN = 4  # times as many at most
+KEY_BITS = 8  # that a key has in them, as far as that goes
 
 #: Each text is known by its id and a hash of it; a place adds an offset in bytes.
 TEXT = ("doc", "text_key")
@@ -113,30 +115,6 @@ def hashed(text: bytes, begins: list[int], ends: list[int]) -> np.ndarray:
     return np.array(found, dtype=np.uint64).view(np.int64)
 
 
-def cores_of(width: int, gram: int):
-    """How often each least gram has a stretch, one row each for some of a task's texts."""
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler, held, rows = Sampler(width, gram), [], 0
-
-        def counted() -> pd.DataFrame:
-            cores, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"core": cores, "n": n})
-
-        for batch in batches:
-            for text in batch["text"]:
-                for _, _, _, grams in sampler.stretches(utf8(text)):
-                    held.append(grams)
-                    rows += len(grams)
-            if rows >= ROWS_AT_ONCE:
-                yield counted()
-                held, rows = [], 0
-        if held:
-            yield counted()
-
-    return find
-
-
 def stretches_of(width: int, gram: int):
     columns = [*PLACE, "count", "reach", "core", "k2"]
 
@@ -205,25 +183,40 @@ def parts_of(width: int, size: int):
     return cut_up
 
 
-def winnowed(rows: DataFrame, cores: DataFrame, width: int, name: str) -> tuple[DataFrame, DataFrame]:
+def roomy(count: int) -> int:
+    """Bits of a bitmap for ``count`` keys; one that is full would let everything through."""
+    bits = BITS
+    while bits < KEY_BITS * count and bits < GROWN * BITS:
+        bits *= 2
+    return bits
+
+
+def winnowed(rows: DataFrame, width: int, name: str, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """What repeated strings cover in the stretches, and the stretches that must be looked at closer.
 
     Stretches are sorted by core and content. Those whose core no other has go; the sieve
-    for that, from ``cores`` and how often each is, only saves work. Equal ones are repeated, all their strings are. What is
+    for that only saves work. Equal ones are repeated, all their strings are. What is
     left are stretches that are alone with their content, and for each other content, if
     some of those have its core, one that has it (``known``: nothing is asked about it).
+
+    ``rows`` is the table ``name``. It is dropped, and both results are settled.
     """
-    often = cores.groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1")
-    sieve = settle(bitmap(often, "core", BITS), f"{name}-cores").scalar()
-    likely = settle(rows.filter(is_set(sieve, F.col("core"), BITS)), name)
-    found = ranked(likely.withColumn("k1", F.col("core")), f"{name}-ranked")
+    often = tables.settle(rows.groupBy("core").count().filter("count > 1").select("core"), f"{name}-often")
+    bits = roomy(often.count())
+    sieve = tables.settle(bitmap(often, "core", bits), f"{name}-cores").scalar()
+    likely = rows.filter(is_set(sieve, F.col("core"), bits))
+    found = ranked(likely.withColumn("k1", F.col("core")), f"{name}-ranked", tables.settle)
+    tables.drop(name, f"{name}-often", f"{name}-cores")
     alike = found.filter("NOT alone AND NOT known").select(
         *TEXT, F.col("at").alias("begin"), (F.col("at") + F.col("count") - 1 + width).alias("end")
     )
     open_ = F.col("alone") & ~F.col("known")
-    asking = settle(bitmap(found.filter(open_), "core", BITS), f"{name}-open").scalar()
-    left = found.filter(open_ | F.col("head") & is_set(asking, F.col("core"), BITS)).withColumn("known", ~open_)
-    return alike, settle(left.drop("core", "rank", "head", "alone"), f"{name}-left")
+    bits = roomy(found.filter(open_).count())
+    asking = tables.settle(bitmap(found.filter(open_), "core", bits), f"{name}-open").scalar()
+    left = found.filter(open_ | F.col("head") & is_set(asking, F.col("core"), bits)).withColumn("known", ~open_)
+    settled = tables.settle(alike, f"{name}-alike"), tables.settle(left.drop("core", "rank", "head", "alone"), f"{name}-left")
+    tables.drop(f"{name}-ranked", f"{name}-open")
+    return settled
 
 
 def grouped_frames(find):
@@ -280,7 +273,7 @@ def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield told(held.reset_index(drop=True), None)
 
 
-def ranked(rows: DataFrame, name: str) -> DataFrame:
+def ranked(rows: DataFrame, name: str, settle: Callable[[DataFrame, str], DataFrame] = settle) -> DataFrame:
     """Rows with the rank of their keys ``k1`` and ``k2``: how many have smaller ones.
 
     ``head`` is true for one row of each rank, ``alone`` where no other has it. Rows are
@@ -380,57 +373,69 @@ def find_repeats(
     width: int = WIDTH,
     gram: int = GRAM,
     start: int = START,
+    tables: Tables | None = None,
 ) -> DataFrame:
     """``(doc, text_key, begin, end)``: stretches of bytes that repeated strings cover.
 
     Together they are all such bytes; they may overlap. See ``dedup`` for odd rows.
+    ``tables`` then has those that the result is read from.
     """
     if not 0 < gram <= width or not 0 < start:
         raise ValueError("grams are no longer than the strings, and nothing is shorter than a byte")
     texts = named(in_small_batches(docs), id_column, text_column).filter(F.octet_length("text") >= width)
     kept = "doc bigint, text_key bigint, at bigint, count bigint, reach bigint, known boolean"
+    tables = Tables() if tables is None else tables
     stretches = texts.mapInPandas(stretches_of(width, gram), f"{kept}, core bigint, k2 bigint")
-    cores = texts.select("text").mapInPandas(cores_of(width, gram), "core bigint, n bigint")
-    covered, left = winnowed(stretches, cores, width, "stretches")
+    covered, left = winnowed(tables.settle(stretches, "stretches"), width, "stretches", tables)
 
-    asked = settle(
+    asked = tables.settle(
         left.groupBy(*TEXT).agg(F.collect_list(F.struct("at", "count", "reach", "known")).alias("asked")), "asked"
     )
-    near = texts.filter(is_set(bitmap(asked, "text_key", BITS).scalar(), F.col("text_key"), BITS))
+    tables.drop("stretches-left")
+    bits = roomy(asked.count())
+    near = texts.filter(is_set(bitmap(asked, "text_key", bits).scalar(), F.col("text_key"), bits))
     once = near.groupBy(*TEXT).agg(F.first("text").alias("text")).join(unbounded(asked), list(TEXT))
-    left = settle(once.mapInPandas(grouped_frames(with_content(width)), f"{kept}, content binary"), "content")
+    left, name = once.mapInPandas(grouped_frames(with_content(width)), f"{kept}, content binary"), "content"
+    left = tables.settle(left, name)
+    tables.drop("asked")
     for size in PARTS:
         if size < width:
             parts = left.mapInPandas(parts_of(width, size), f"{kept}, content binary, core bigint, k2 bigint")
-            parts = settle(parts, f"parts-{size}")
-            alike, left = winnowed(parts, parts.select("core", F.lit(1).alias("n")), width, f"parts-{size}")
-            covered = covered.union(alike)
-    return covered.union(doubled(left, width, start))
+            parts = tables.settle(parts, f"parts-{size}")
+            tables.drop(name)
+            alike, left = winnowed(parts, width, f"parts-{size}", tables)
+            covered, name = covered.union(alike), f"parts-{size}-left"
+    return covered.union(doubled(left, width, start, name, tables))
 
 
-def doubled(left: DataFrame, width: int, start: int) -> DataFrame:
-    """Repeated strings of the parts left, by prefix doubling."""
+def doubled(left: DataFrame, width: int, start: int, name: str, tables: Tables) -> DataFrame:
+    """Repeated strings of the parts left, by prefix doubling; ``name`` is their table and goes."""
     steps = lengths(width, start)
     parts = left.groupBy(*TEXT).agg(F.collect_list(F.struct("at", "count", "known", "content")).alias("parts"))
-    places = settle(
+    places = tables.settle(
         parts.mapInPandas(
             grouped_frames(places_of(steps)),
             "doc bigint, text_key bigint, at bigint, last int, wanted boolean, k1 bigint, k2 bigint",
         ),
         "places",
     )
+    tables.drop(name)
+    name = "places"
     for step, length in enumerate(steps):
-        shared = ranked(places, f"ranked-{length}").filter("NOT alone")
+        shared = ranked(places, f"ranked-{length}", tables.settle).filter("NOT alone")
+        tables.drop(name)
         if length == width:
             break
         further = steps[step + 1] - length
         after = Window.partitionBy(*TEXT).orderBy("at").rangeBetween(further, further)
-        places = settle(
+        name = f"places-{length}"
+        places = tables.settle(
             shared.withColumn("k2", F.max("rank").over(after))
             .filter((F.col("last") > step) & F.col("k2").isNotNull())
             .select(*PLACE, "last", "wanted", F.col("rank").alias("k1"), "k2"),
-            f"places-{length}",
+            name,
         )
+        tables.drop(f"ranked-{length}")
     return shared.filter("wanted").select(*TEXT, F.col("at").alias("begin"), (F.col("at") + width).alias("end"))
 
 
@@ -492,14 +497,17 @@ def dedup(
     task. An empty table gives an empty result, other columns are ignored. Texts move
     only where something is removed or still to be compared.
     """
-    spans = settle(
-        find_repeats(docs, id_column, text_column, width, gram, start)
+    tables = Tables()
+    spans = tables.settle(
+        find_repeats(docs, id_column, text_column, width, gram, start, tables)
         .groupBy(*TEXT)
         .agg(F.collect_list(F.struct("begin", "end")).alias("spans")),
         "spans",
     )
+    tables.drop_others("spans")
+    bits = roomy(spans.count())
     texts = named(docs, id_column, text_column)
-    likely: Column = is_set(bitmap(spans, "text_key", BITS).scalar(), F.col("text_key"), BITS)
+    likely: Column = is_set(bitmap(spans, "text_key", bits).scalar(), F.col("text_key"), bits)
     run = "array<struct<begin: bigint, end: bigint>>"
     whole = texts.filter(~likely).select(
         "doc_id",

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from tarnwell.llm import suffix_dedup
+from tarnwell.llm import common, suffix_dedup
 
 DOCS = "doc_id bigint, text string, doc string, `at` int, gram string, k1 string, spans int"
 
@@ -135,3 +136,39 @@ def test_nothing_to_remove(spark):
     assert (row.n_bytes, row.removed, bytes(row.kept)) == (199, [], b"x" * 199)
     with pytest.raises(ValueError):
         suffix_dedup.dedup(empty, width=10, gram=11)
+
+
+def test_only_the_spans_stay_on_disk(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "scratch", lambda spark: f"file://{tmp_path}")
+    rows = rows_of(7, 24)
+    done = suffix_dedup.dedup(table(spark, rows), width=24, gram=6, start=6)
+    full = [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if spark.read.parquet(str(p)).count()]
+    assert full == ["spans"]
+    assert len(done.collect()) == len(rows)  # and nothing else is read
+
+
+def test_tables_go_one_by_one(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "scratch", lambda spark: f"file://{tmp_path}/")
+    tables = common.Tables()
+    a, b = tables.settle(spark.range(1000), "a"), tables.settle(spark.range(5), "b")
+    with pytest.raises(ValueError):
+        tables.settle(b, "a")
+    tables.drop("a")
+    assert b.count() == 5 and sorted(tables.paths) == ["b"]
+    assert {p.name[0]: spark.read.parquet(str(p)).count() for p in tmp_path.iterdir()} == {"a": 0, "b": 5}
+
+
+def test_settled_tables_leave_no_shuffle_files(spark, settings):
+    settings(common.CLEAN_SHUFFLES, "false")
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    files = lambda: {p for p in local.rglob("shuffle_*") if p.exists()}
+    before = files()
+    found = common.Tables().settle(spark.range(200_000).repartition(3, "id"), "shuffled")
+    assert found.count() == 200_000
+    assert not [p for p in files() - before if p.stat().st_size > 2000]
+    assert spark.conf.get(common.CLEAN_SHUFFLES) == "false"
+
+
+def test_bitmaps_grow_with_their_keys_within_bounds():
+    bits = [suffix_dedup.roomy(count) for count in (0, 1 << 21, (1 << 21) + 1, 1 << 23, 1 << 40)]
+    assert bits == [1 << 24, 1 << 24, 1 << 25, 1 << 26, 1 << 26]
