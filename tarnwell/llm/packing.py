@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.llm.common import in_small_batches, in_turns, settle
-from tarnwell.llm.token_store import CHARACTERS_AT_ONCE, LengthCounter
+from tarnwell.llm.token_store import COUNTED_AT_ONCE, counter_at
 
 BUCKETS = 16
 CONTEXT = 4096  # longer documents are cut into pieces of this many tokens
@@ -92,10 +92,10 @@ def lengths_of(docs: DataFrame, tokenizer_path: str | None, id_column: str, text
         return texts.select("doc_id", "salt", word_count(F.col("text")).cast("bigint").alias("total"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = LengthCounter(tokenizer_path)
+        counter = counter_at(tokenizer_path)
         for batch in batches:
             texts, found = batch["text"].tolist(), []
-            for turn in in_turns(texts, CHARACTERS_AT_ONCE):
+            for turn in in_turns(texts, COUNTED_AT_ONCE):
                 found += counter.lengths(texts[turn])
             yield batch[["row", "salt"]].assign(total=found)
 

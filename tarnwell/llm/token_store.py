@@ -12,6 +12,7 @@ files; the index is written by Spark, so only files of successful tasks are list
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -25,6 +26,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.ipc
 from pyspark import TaskContext
@@ -37,11 +39,16 @@ from tarnwell.llm.common import in_small_batches, in_turns, scratch
 END_ID = 1
 BEYOND_LATIN = re.compile("[^\0-\u02ff]")
 MARKS = string.punctuation.encode()
+PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+HIDDEN = [byte for byte in range(0x100) if byte not in PRINTED]
+#: For each byte the character that stands for it in a byte-level vocabulary.
+BYTE_LEVEL = "".join(chr(b) if b in PRINTED else chr(0x100 + HIDDEN.index(b)) for b in range(0x100))
 SEQUENCE = 2048  # ids in a row
 ROWS = 256  # rows in a record batch
 CACHED_WORDS = 1_800_000  # about as many words' ids does a worker remember
-COUNTED_WORDS = 900_000  # words' lengths that a worker remembers, and as many older ones
+COUNTED_WORDS = 300_000  # words' lengths that a worker remembers, and as many older ones
 CHARACTERS_AT_ONCE = 200_000
+COUNTED_AT_ONCE = 1_000_000  # characters
 WORDS_AT_ONCE = 1000
 
 INDEX_SCHEMA = "doc_id bigint, part int, file string, file_start bigint, n_tokens bigint"
@@ -168,41 +175,73 @@ class LengthCounter:
 
     def __init__(self, path: str):
         self.encoder = WordEncoder(path)
-        self.known: dict[bytes, int] = {}  # a word's number of ids
+        self.known: dict[bytes, int] = {b"": 0}  # a word's number of ids; white space at an end gives an empty one
         self.older: dict[bytes, int] = {}  # what was known before ``known`` was begun
 
     def lengths(self, texts: list[str | None]) -> list[int]:
         if not self.encoder.by_words:
             return self.encoder.encode_whole(texts)[1].tolist()
-        words = [words_of(t or "") for t in texts]
-        here = dict.fromkeys(chain.from_iterable(words))
-        fresh = [word for word in here if word not in self.known]
-        again = [word for word in fresh if word in self.older]
-        self.known.update((word, self.older[word]) for word in again)
-        self.learn([word for word in fresh if word not in self.known])
-        known = self.known
-        found = [sum([known[word] for word in text]) + 1 for text in words]
+        lowered = pa.array([lowered_latin(t or "") for t in texts], pa.large_binary())
+        words = pc.ascii_split_whitespace(lowered.view(pa.large_string()))
+        places = words.flatten().dictionary_encode()
+        distinct = places.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        sizes = list(map(self.known.get, distinct))
+        fresh = [place for place, size in enumerate(sizes) if size is None]
+        self.learn([distinct[place] for place in fresh])
+        for place in fresh:
+            sizes[place] = self.known[distinct[place]]
+        each = np.array(sizes, dtype=np.int64)[places.indices.to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(each)])[words.offsets.to_numpy()]
         if len(self.known) > COUNTED_WORDS:
-            self.known, self.older = {}, self.known
-        return found
+            self.known, self.older = {b"": 0}, self.known
+        return (np.diff(ends) + 1).tolist()
 
     def learn(self, words: list[bytes]) -> None:
-        parts = {word: parted(word) for word in words}
-        fresh = {part for pair in parts.values() for part in pair if part not in self.known}
+        known, tokenize = self.known, self.encoder.tokenizer.model.tokenize
+        others, pairs = set(), []
+        for word in words:
+            size = self.older.get(word)
+            if size is not None:
+                known[word] = size
+                continue
+            parts = parted(word)
+            for part in parts:
+                if part in known:
+                    continue
+                letters = part.lower().decode() if part.isalpha() else letters_of(part)
+                if letters:
+                    known[part] = len(tokenize(letters))
+                else:
+                    others.add(part)
+            if len(parts) > 1:
+                pairs.append((word, *parts))
+        self.learn_others(others)
+        known.update((word, known[body] + known[marks]) for word, body, marks in pairs)
+
+    def learn_others(self, words: set[bytes]) -> None:
         size, self.encoder.known = self.encoder.width.itemsize, {}
-        self.encoder.learn(list(fresh))
-        self.known.update((part, len(self.encoder.known[part]) // size) for part in fresh)
-        self.known.update((word, sum(self.known[part] for part in pair)) for word, pair in parts.items())
+        self.encoder.learn(list(words))
+        self.known.update((word, len(self.encoder.known[word]) // size) for word in words)
 
 
 def words_of(text: str) -> list[bytes]:
-    """Words of a text, in lower case where the tokenizer would put the same.
+    """Words of a text, in lower case where the tokenizer would put the same."""
+    return lowered_latin(text).split()
 
-    That is so for Latin letters without combining characters, outside special tokens.
-    """
-    if not BEYOND_LATIN.search(text) and "<|" not in text:
+
+def lowered_latin(text: str) -> bytes:
+    """A text, in lower case if it has Latin letters without combining characters and no special tokens."""
+    if (text.isascii() or not BEYOND_LATIN.search(text)) and "<|" not in text:
         text = text.lower()
-    return text.encode("utf-8", "replace").split()
+    return text.encode("utf-8", "replace")
+
+
+def letters_of(word: bytes) -> str | None:
+    """Latin letters in lower case as the vocabulary has them; nothing for other words."""
+    text = word.decode().lower()
+    if not text.isalpha() or BEYOND_LATIN.search(text):
+        return None
+    return codecs.charmap_decode(text.encode(), "strict", BYTE_LEVEL)[0]
 
 
 def parted(word: bytes) -> tuple[bytes, ...]:
@@ -227,6 +266,15 @@ def encoder_at(path: str) -> WordEncoder:
     return ENCODERS[path]
 
 
+COUNTERS: dict[str, LengthCounter] = {}  # as well
+
+
+def counter_at(path: str) -> LengthCounter:
+    if path not in COUNTERS:
+        COUNTERS[path] = LengthCounter(path)
+    return COUNTERS[path]
+
+
 class SequenceFile:
     """Writes a run of ids as equal-length rows; holds one record batch at most."""
 

@@ -577,6 +577,33 @@ def test_any_tokenizers_ids_are_stored(spark, tmp_path, name):
     assert token_store.LengthCounter(path).lengths(texts) == [expected[i][0] for i in range(len(texts))]
 
 
+def test_lengths_of_plain_words_are_asked_of_the_model_alone_and_once_a_worker(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    texts = [
+        "  One line\x1cand two.\t", "\xa0\x85 a\u2028b\n", "ÜBER été ﬁn e\u0301t\u00e9 Œuvre,ÿ ªº ʰ", "İstanbul ÉTÉ é", "Ωmega ÉTÉ UPPER, ǅ",
+        "don't can't've 12a ²x a-b--c --- !?", "<|endoftext|> X<|startoftext|>y foo<|", "日本語 word, 日本", "x" * 3000 + " " + "é" * 999,
+        "\x0b\x0c\r", "", None, "straße ŉ İ. ß; Ⱥ ĳ.", "\x00a\x7f b\u200dc \U0001f600ok",
+    ]
+    expected = [len(own.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts]
+    counter = token_store.counter_at(path)
+    assert counter is token_store.counter_at(path)
+    assert counter.lengths(texts) == expected
+    assert [counter.lengths([t])[0] for t in texts] == expected
+    assert counter.lengths([]) == []
+
+    asked = []
+    monkeypatch.setattr(token_store.WordEncoder, "learn", lambda self, words: asked.extend(words))
+    plain = ["Latin cétait lètters ÉTÉ plainly"]
+    assert counter.lengths(plain) == [len(own.encode(plain[0], add_special_tokens=False).ids) + 1]
+    assert asked == []
+    monkeypatch.setattr(token_store, "COUNTED_WORDS", 0)  # all words are older ones after each call
+    assert [counter.lengths(texts) for _ in range(3)] == [expected] * 3
+    assert asked == []
+
+
 def test_an_empty_store(spark, tmp_path, tokenizer_path):
     index = token_store.write_store(table(spark, []).limit(0), tokenizer_path, f"file://{tmp_path}/none")
     assert token_store.read_store(index).collect() == []
