@@ -28,39 +28,93 @@ ORDER = 4  # bytes of the longest context
 END = 0xFF  # never in UTF-8: ends a text, and stands before it
 BLOCK_BYTES = 16 << 20
 PART_BYTES = 1 << 20  # worked on at once within a block
+MERGED = 8  # parts whose keys are merged at once
 HELD = 2_000_000  # distinct entries a task gathers before it hands them on
 
 WORD, ENTRY, CONTEXT = 0, 1, 16  # kinds of keys; + length of the context
 END_WORD = 0  # key of the end token
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
+MIXERS = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+LONG = 64  # bytes; longer words are hashed one by one
+BYTES_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
-def word_keys(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words, A-Z in lower case, then the end token.
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, A-Z in lower case, each text's end token last; and their numbers.
 
     Words are known by their hash: among 10^8 different words the chance that any two
     fall together is about 3 in 10,000.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    keys = np.empty(len(words) + 1, dtype=np.uint64)
-    keys[: len(words)] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    keys[len(words)] = END_WORD
-    return keys.view(np.int64)
+    raw = b"".join(t + b" " for t in texts).lower()
+    flat = np.frombuffer(raw + bytes(8), dtype=np.uint8)
+    space = SPACES[flat[: len(raw)]]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(raw) and not space[0]:
+        edges = np.concatenate([[0], edges])
+    starts, ends = edges[::2], edges[1::2]
+    before = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    sizes = np.diff(before, prepend=0) + 1
+    keys = np.full(len(starts) + len(texts), END_WORD, dtype=np.int64)
+    is_word = np.ones(len(keys), dtype=bool)
+    is_word[np.cumsum(sizes) - 1] = False
+    keys[is_word] = hashes(raw, flat, starts, ends - starts)
+    return keys, sizes
+
+
+def mixed(numbers: np.ndarray) -> np.ndarray:
+    """Each 64-bit number to another one; every bit depends on all bits."""
+    for factor in MIXERS:
+        numbers = (numbers ^ (numbers >> np.uint64(33))) * factor
+    return numbers ^ (numbers >> np.uint64(33))
+
+
+def hashes(raw: bytes, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of ``raw``, by eight bytes at a time; ``flat`` is ``raw`` and eight bytes more."""
+    eights = np.ndarray(len(raw) + 1, dtype="<u8", buffer=flat, strides=(1,))
+    found = sizes.astype(np.uint64) * SPREAD
+    left = np.arange(len(starts))
+    for at in range(0, LONG, 8):
+        rest = sizes[left] - at
+        eight = eights[starts[left] + at] & BYTES_KEPT[np.minimum(rest, 8)]
+        found[left] = mixed(found[left] ^ eight)
+        left = left[rest > 8]
+    for i in left.tolist():
+        found[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : starts[i] + sizes[i]])
+    return found.view(np.int64)
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Every key once, ascending; by a sort, which keeps to the processor's caches."""
+    keys = np.sort(keys)
+    return keys[first_of_runs(keys)]
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    first = np.flatnonzero(first_of_runs(keys))
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def first_of_runs(keys: np.ndarray) -> np.ndarray:
+    first = np.ones(len(keys), dtype=bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    return first
 
 
 def windows(texts: list[bytes]) -> np.ndarray:
     """For each byte and the end of each text, it and the ``ORDER`` bytes before as one number."""
     edge = bytes([END]) * ORDER
-    flat = np.frombuffer(b"".join(edge + t + edge[:1] for t in texts), dtype=np.uint8)
-    n = max(len(flat) - ORDER, 0)
-    codes = np.zeros(n, dtype=np.int64)
-    for j in range(ORDER + 1):
-        codes <<= 8
-        codes |= flat[j : j + n]
-    sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-    starts = np.cumsum(sizes + ORDER) - sizes - ORDER
-    inside = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    return codes[inside]
+    padded = b"".join(edge + t + edge[:1] for t in texts) + bytes(8)
+    n = max(len(padded) - 8 - ORDER, 0)
+    eights = np.ndarray(n, dtype="<u8", buffer=padded, strides=(1,))
+    codes = eights.astype(np.uint64).byteswap(inplace=True)  # the first byte is the highest
+    codes >>= np.uint64(8 * (7 - ORDER))
+    inside = np.ones(n, dtype=bool)
+    ends = np.cumsum([len(t) + 1 + ORDER for t in texts[:-1]], dtype=np.int64)
+    for j in range(1, ORDER + 1):
+        inside[ends - j] = False  # over the end of a text
+    return codes[inside].view(np.int64)
 
 
 def parts(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -79,8 +133,10 @@ def parts(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 def merged(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([k for k, _ in counts])
     numbers = np.concatenate([n for _, n in counts])
-    distinct, place = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(place, numbers).astype(np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(first_of_runs(keys))
+    return keys[first], np.add.reduceat(numbers[order], first) if len(first) else numbers
 
 
 def count_training(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,13 +151,11 @@ def count_training(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 counts.clear()
 
     for batch in batches:
-        texts = batch["text"].tolist()
-        for first, raw in parts(texts):
-            words = np.concatenate([word_keys(t) for t in texts[first : first + len(raw)]])
-            held[WORD].append(np.unique(words, return_counts=True))
-            held[ENTRY].append(np.unique(windows(raw), return_counts=True))
+        for _, raw in parts(batch["text"].tolist()):
+            held[WORD].append(counted(word_keys(raw)[0]))
+            held[ENTRY].append(counted(windows(raw)))
             for counts in held.values():
-                if len(counts) > 8:
+                if len(counts) > MERGED:
                     counts[:] = [merged(counts)]
             if sum(len(k) for counts in held.values() for k, _ in counts) > HELD:
                 yield from handed_on()
@@ -144,18 +198,17 @@ def statistics(counts: DataFrame) -> DataFrame:
 
 def keys_of_block(rows: pd.DataFrame) -> pd.DataFrame:
     """Every word, entry and context of a block, once each."""
-    texts = rows["text"].tolist()
     words, codes = [], []
-    for first, raw in parts(texts):
-        words.append(np.unique(np.concatenate([word_keys(t) for t in texts[first : first + len(raw)]])))
-        codes.append(np.unique(windows(raw)))
-        if len(codes) > 8:
-            words, codes = [np.unique(np.concatenate(words))], [np.unique(np.concatenate(codes))]
-    full = np.unique(np.concatenate(codes))
-    found = [(WORD, np.unique(np.concatenate(words)))]
+    for _, raw in parts(rows["text"].tolist()):
+        words.append(distinct(word_keys(raw)[0]))
+        codes.append(distinct(windows(raw)))
+        if len(codes) > MERGED:
+            words, codes = [distinct(np.concatenate(words))], [distinct(np.concatenate(codes))]
+    full = distinct(np.concatenate(codes))
+    found = [(WORD, distinct(np.concatenate(words)))]
     for k in range(ORDER + 1):
-        code = np.unique(full & ((1 << 8 * (k + 1)) - 1))
-        found += [(ENTRY + k, code), (CONTEXT + k, np.unique(code >> 8))]
+        code = distinct(full & ((1 << 8 * (k + 1)) - 1))
+        found += [(ENTRY + k, code), (CONTEXT + k, distinct(code >> 8))]
     return pd.concat(
         [pd.DataFrame({"kind": np.int32(kind), "key": key}) for kind, key in found]
     ).assign(block=rows["block"].iloc[0])[["block", "kind", "key"]]
@@ -235,19 +288,24 @@ def score_block(rows: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
         of = kinds == kind
         tables[kind] = Lookup(keys[of], *(n[of] for n in numbers[: 3 if kind >= CONTEXT else 1]))
     texts, out = rows["text"].tolist(), []
-    codes = np.unique(np.concatenate([np.unique(windows(raw)) for _, raw in parts(texts)] or [np.zeros(0, np.int64)]))
+    found = []
+    for _, raw in parts(texts):
+        found.append(distinct(windows(raw)))
+        if len(found) > MERGED:
+            found = [distinct(np.concatenate(found))]
+    codes = distinct(np.concatenate(found or [np.zeros(0, np.int64)]))
     logs, places = log_probabilities(codes, tables), Slots(codes)
-    for first, raw in parts(texts):
+    for _, raw in parts(texts):
         each = logs[places(windows(raw))]
         starts = np.cumsum([0, *(len(t) + 1 for t in raw[:-1])])
         scores = np.add.reduceat(each, starts)
-        words = [word_keys(t) for t in texts[first : first + len(raw)]]
-        (counts,) = tables[WORD](np.concatenate(words))
-        word_starts = np.cumsum([0, *map(len, words[:-1])])
+        words, sizes = word_keys(raw)
+        (counts,) = tables[WORD](words)
+        word_starts = np.cumsum(sizes) - sizes
         out.append(
             pd.DataFrame(
                 {
-                    "n_tokens": [len(w) for w in words],
+                    "n_tokens": sizes,
                     "n_known": np.add.reduceat((counts > 0).astype(np.int64), word_starts),
                     "logs": np.add.reduceat(np.log10(counts + 0.5), word_starts),
                     "score": scores,

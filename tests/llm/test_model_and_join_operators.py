@@ -290,6 +290,38 @@ def test_scoring_with_nothing_to_learn(spark):
     assert (row.train_tokens, row.n_tokens, row.n_known) == (0, 2, 0)
 
 
+def test_words_are_hashed_together_and_only_long_ones_one_by_one(monkeypatch):
+    hashed, own = [], ppm.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(ppm.xxhash, "xxh3_64_intdigest", lambda word: hashed.append(word) or own(word))
+    texts = [
+        b"", b" ", b"One two\x1cthree\x0b\x0cONE", "\u00a0\u00e9t\u00e9 \u00c9T\u00c9 \u65e5\u672c".encode(), b"\t\n\r one  ",
+        b"a a\0 a\0\0 \0 \0\0", b"abcdefgh abcdefghi abcdefgi hgfedcba " + b" ".join(b"x" * n for n in range(1, 80)),
+        b"x" * 70 + b"\n" + b"X" * 70 + b" " + b"x" * 69 + b"y", b"one", b"12345678" * 8, b"12345678" * 8 + b"9", b"\x85 \xff",
+    ]
+    keys, sizes = ppm.word_keys(texts)
+    words = [[*t.lower().split(), None] for t in texts]  # None: the end
+    assert sizes.tolist() == [len(w) for w in words]
+    known = {}
+    for key, word in zip(keys.tolist(), [w for text in words for w in text], strict=True):
+        assert known.setdefault(word, key) == key
+    assert known[None] == ppm.END_WORD and len(set(known.values())) == len(known)
+    assert hashed and all(len(word) > ppm.LONG for word in hashed)
+    rng = np.random.default_rng(3)
+    many = [bytes(rng.choice(list(b"ab \n"), n).tolist()) for n in rng.integers(0, 60, 300)]
+    split = [t.split() for t in many]
+    keys, sizes = ppm.word_keys(many)
+    assert sizes.tolist() == [len(w) + 1 for w in split]
+    words = [w for text in split for w in [*text, None]]
+    assert len(set(zip(keys.tolist(), words, strict=True))) == len(set(keys.tolist())) == len(set(words))
+
+
+def test_counts_of_keys_are_merged():
+    keys = np.random.default_rng(1).integers(-50, 50, 1000)
+    assert ppm.distinct(keys).tolist() == sorted(set(keys.tolist()))
+    found, numbers = ppm.merged([ppm.counted(keys[:400]), ppm.counted(keys[400:]), ppm.counted(keys[:0])])
+    assert dict(zip(found.tolist(), numbers.tolist(), strict=True)) == Counter(keys.tolist())
+
+
 def test_parts_of_a_long_text_add_up():
     text = ("héllo wörld " * 400_000).encode()
     codes = ppm.windows([text, b"", b"x"])
