@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from tarnwell.llm.common import in_small_batches, in_turns, scratch
 
@@ -45,7 +46,7 @@ HIDDEN = [byte for byte in range(0x100) if byte not in PRINTED]
 BYTE_LEVEL = "".join(chr(b) if b in PRINTED else chr(0x100 + HIDDEN.index(b)) for b in range(0x100))
 SEQUENCE = 2048  # ids in a row
 ROWS = 256  # rows in a record batch
-CACHED_WORDS = 1_800_000  # about as many words' ids does a worker remember
+CACHED_WORDS = 900_000  # words' ids that a worker remembers, and as many older ones
 COUNTED_WORDS = 300_000  # words' lengths that a worker remembers, and as many older ones
 CHARACTERS_AT_ONCE = 200_000
 COUNTED_AT_ONCE = 1_000_000  # characters
@@ -110,26 +111,30 @@ class WordEncoder:
         self.width = np.dtype("<u2" if small else "<u4")
         self.pack = "H" if small else "I"
         self.end = struct.pack(f"<{self.pack}", END_ID)
-        self.known: dict[bytes, bytes] = {}  # a word's ids
+        self.known: dict[bytes, bytes] = {b"": b""}  # a word's ids; white space at an end gives an empty one
+        self.older: dict[bytes, bytes] = {}  # what was known before ``known`` was begun
+        # The model alone, for words as the vocabulary has them, between bytes that stand for spaces.
+        self.spaced = Tokenizer(self.tokenizer.model)
+        self.spaced.pre_tokenizer = CharDelimiterSplit(BYTE_LEVEL[0x20])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by the end id, and the number of each text."""
         if not self.by_words:
             return self.encode_whole(texts)
-        words = [words_of(t or "") for t in texts]
+        distinct, places, ends = words_at(texts)
+        runs = list(map(self.known.get, distinct))
+        fresh = [place for place, run in enumerate(runs) if run is None]
+        self.learn([distinct[place] for place in fresh])
+        for place in fresh:
+            runs[place] = self.known[distinct[place]]
         if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        here = dict.fromkeys(chain.from_iterable(words))  # asked once each, then at hand
-        known, fresh = self.known, []
-        for word in here:
-            here[word] = known.get(word)
-            if here[word] is None:
-                fresh.append(word)
-        self.learn(fresh)
-        here.update((word, self.known[word]) for word in fresh)
-        runs = [b"".join([here[w] for w in text]) + self.end for text in words]
-        sizes = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs)) // self.width.itemsize
-        return np.frombuffer(b"".join(runs), dtype=self.width), sizes
+            self.known, self.older = {b"": b""}, self.known
+        with_ends = np.insert(places, ends[1:], len(runs))  # the end id is one word more
+        found = pa.array([*runs, self.end], pa.large_binary()).take(pa.array(with_ends))
+        _, offsets, ids = found.buffers()
+        starts = np.frombuffer(offsets, dtype=np.int64) // self.width.itemsize  # of each word in the ids
+        sizes = np.diff(starts[ends + np.arange(len(ends))])
+        return np.frombuffer(ids or b"", dtype=self.width, count=int(sizes.sum())), sizes
 
     def encode_whole(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         encoded = self.tokenizer.encode_batch_fast([text or "" for text in texts], add_special_tokens=False)
@@ -138,36 +143,46 @@ class WordEncoder:
         return np.fromiter(chain.from_iterable(runs), dtype=self.width, count=int(sizes.sum())), sizes
 
     def learn(self, words: list[bytes]) -> None:
-        parts = {word: parted(word) for word in words}
-        fresh = [p for p in {p for pair in parts.values() for p in pair} if p not in self.known]
-        texts = [p.decode() for p in fresh]
-        whole = [t.isalpha() and not BEYOND_LATIN.search(t) for t in texts]
-        self.learn_together([t for t, w in zip(texts, whole, strict=True) if w])
-        self.learn_each([t for t, w in zip(texts, whole, strict=True) if not w])
-        for word, pair in parts.items():
-            if len(pair) > 1:
-                self.known[word] = self.known[pair[0]] + self.known[pair[1]]
-
-    def learn_each(self, texts: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        for text, e in zip(texts, encoded, strict=True):
-            self.known[text.encode()] = struct.pack(f"<{len(e)}{self.pack}", *e.ids)
-
-    def learn_together(self, texts: list[str]) -> None:
+        known, others, pairs = self.known, set(), []
+        together: dict[bytes, bytes] = {}  # runs of Latin letters, and these in lower case
+        for word in words:
+            run = self.older.get(word)
+            if run is not None:
+                known[word] = run
+                continue
+            parts = parted(word)
+            for part in parts:
+                if part in known or part in together:
+                    continue
+                lower = latin_letters(part)
+                if lower:
+                    together[part] = lower
+                else:
+                    others.add(part)
+            if len(parts) > 1:
+                pairs.append((word, *parts))
+        self.learn_together(together)
+        self.learn_each(list(others))
+        known.update((word, known[body] + known[marks]) for word, body, marks in pairs)
+
+    def learn_each(self, words: list[bytes]) -> None:
+        encoded = self.tokenizer.encode_batch_fast([word.decode() for word in words], add_special_tokens=False)
+        for word, e in zip(words, encoded, strict=True):
+            self.known[word] = struct.pack(f"<{len(e)}{self.pack}", *e.ids)
+
+    def learn_together(self, words: dict[bytes, bytes]) -> None:
         """Runs of Latin letters are encoded as one text, which is faster, and told apart by their place."""
-        size = self.width.itemsize
-        for first in range(0, len(texts), WORDS_AT_ONCE):
-            some = texts[first : first + WORDS_AT_ONCE]
-            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+        size, every = self.width.itemsize, list(words)
+        for first in range(0, len(every), WORDS_AT_ONCE):
+            some = every[first : first + WORDS_AT_ONCE]
+            encoded = self.spaced.encode(in_byte_level(b" ".join(map(words.get, some))), add_special_tokens=False)
             place = np.array(encoded.word_ids)
-            ends = (np.flatnonzero(np.diff(place, append=-1)) + 1).tolist()
-            if len(ends) != len(some):  # a tokenizer that cuts words into more pieces
+            ends = ((np.flatnonzero(np.diff(place, append=-1)) + 1) * size).tolist()
+            if len(ends) != len(some):  # a vocabulary without some letters
                 self.learn_each(some)
                 continue
-            ids, start = np.array(encoded.ids, dtype=self.width).tobytes(), 0
-            for text, end in zip(some, ends, strict=True):
-                self.known[text.encode()] = ids[start * size : end * size]
-                start = end
+            ids = np.array(encoded.ids, dtype=self.width).tobytes()
+            self.known.update((word, ids[start:end]) for word, start, end in zip(some, [0, *ends], ends, strict=False))
 
 
 class LengthCounter:
@@ -181,17 +196,14 @@ class LengthCounter:
     def lengths(self, texts: list[str | None]) -> list[int]:
         if not self.encoder.by_words:
             return self.encoder.encode_whole(texts)[1].tolist()
-        lowered = pa.array([lowered_latin(t or "") for t in texts], pa.large_binary())
-        words = pc.ascii_split_whitespace(lowered.view(pa.large_string()))
-        places = words.flatten().dictionary_encode()
-        distinct = places.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        distinct, places, word_ends = words_at(texts)
         sizes = list(map(self.known.get, distinct))
         fresh = [place for place, size in enumerate(sizes) if size is None]
         self.learn([distinct[place] for place in fresh])
         for place in fresh:
             sizes[place] = self.known[distinct[place]]
-        each = np.array(sizes, dtype=np.int64)[places.indices.to_numpy()]
-        ends = np.concatenate([[0], np.cumsum(each)])[words.offsets.to_numpy()]
+        each = np.array(sizes, dtype=np.int64)[places]
+        ends = np.concatenate([[0], np.cumsum(each)])[word_ends]
         if len(self.known) > COUNTED_WORDS:
             self.known, self.older = {b"": 0}, self.known
         return (np.diff(ends) + 1).tolist()
@@ -208,9 +220,9 @@ class LengthCounter:
             for part in parts:
                 if part in known:
                     continue
-                letters = part.lower().decode() if part.isalpha() else letters_of(part)
+                letters = latin_letters(part)
                 if letters:
-                    known[part] = len(tokenize(letters))
+                    known[part] = len(tokenize(in_byte_level(letters)))
                 else:
                     others.add(part)
             if len(parts) > 1:
@@ -224,9 +236,16 @@ class LengthCounter:
         self.known.update((word, len(self.encoder.known[word]) // size) for word in words)
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words of a text, in lower case where the tokenizer would put the same."""
-    return lowered_latin(text).split()
+def words_at(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words, which of them stand in all texts in turn, and 0 and where each text's words end there.
+
+    Words are in lower case where the tokenizer would put the same.
+    """
+    lowered = pa.array([lowered_latin(t or "") for t in texts], pa.large_binary())
+    words = pc.ascii_split_whitespace(lowered.view(pa.large_string()))
+    places = words.flatten().dictionary_encode()
+    distinct = places.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    return distinct, places.indices.to_numpy(), words.offsets.to_numpy()
 
 
 def lowered_latin(text: str) -> bytes:
@@ -236,12 +255,17 @@ def lowered_latin(text: str) -> bytes:
     return text.encode("utf-8", "replace")
 
 
-def letters_of(word: bytes) -> str | None:
-    """Latin letters in lower case as the vocabulary has them; nothing for other words."""
+def latin_letters(word: bytes) -> bytes | None:
+    """A word of Latin letters in lower case; nothing for other words."""
+    if word.isalpha():
+        return word.lower()
     text = word.decode().lower()
-    if not text.isalpha() or BEYOND_LATIN.search(text):
-        return None
-    return codecs.charmap_decode(text.encode(), "strict", BYTE_LEVEL)[0]
+    return text.encode() if text.isalpha() and not BEYOND_LATIN.search(text) else None
+
+
+def in_byte_level(word: bytes) -> str:
+    """As the vocabulary has it."""
+    return codecs.charmap_decode(word, "strict", BYTE_LEVEL)[0]
 
 
 def parted(word: bytes) -> tuple[bytes, ...]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import re
@@ -538,6 +539,46 @@ def test_ids_equal_the_tokenizers_own(tokenizer_path):
         assert ids.tolist() == [i for x in expected for i in x]
 
 
+def test_ids_of_plain_words_are_asked_of_the_model_alone_and_once_a_worker(monkeypatch, tokenizer_path):
+    own = Tokenizer.from_file(tokenizer_path)
+    letters = [chr(c) for c in range(1, 0x300)]
+    odd = [f"{c} a{c} {c}b, x{c}y\u0301 {c}" for c in letters] + ["ȺȾ İI ẞ Ⱥ\u0301 ÉTÉ ÉTÉ,", "\x0b a\x0c\r", " , b", "b b,b b"]
+    expected = [own.encode(t, add_special_tokens=False).ids + [1] for t in odd]
+    encoder = token_store.WordEncoder(tokenizer_path)
+    for texts, ids_of in ((odd, expected), (odd[::-1], expected[::-1]), ([], [])):
+        ids, sizes = encoder.encode(texts)
+        assert sizes.tolist() == list(map(len, ids_of))
+        assert ids.tolist() == [i for x in ids_of for i in x]
+
+    monkeypatch.setattr(token_store, "CACHED_WORDS", 0)  # all words are older ones after each call
+    plain = ["Latin cétait lètters ÉTÉ plainly", None, " again  plainly "]
+    expected = [i for t in plain for i in own.encode(t or "", add_special_tokens=False).ids + [1]]
+    asked = []
+    monkeypatch.setattr(encoder, "learn_each", asked.extend)
+    encoder.tokenizer = None
+    assert encoder.encode(plain)[0].tolist() == expected
+    encoder.spaced = None
+    assert [encoder.encode(plain)[0].tolist() for _ in range(3)] == [expected] * 3
+    assert asked == []
+
+
+def test_words_of_letters_that_a_vocabulary_lacks(tmp_path, tokenizer_path):
+    with open(tokenizer_path, encoding="utf-8") as file:
+        parts = json.load(file)
+    parts["model"] |= {"vocab": {c: i for i, c in enumerate("abc")}, "merges": []}
+    parts["added_tokens"] = []
+    parts["post_processor"] = None
+    path = tmp_path / "small.json"
+    path.write_text(json.dumps(parts))
+    own = Tokenizer.from_file(str(path))
+    assert token_store.splits_at_words(str(path))
+    texts = ["ab xyz ca, Xb", "x", "cab", "été ab"]
+    expected = [own.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    ids, sizes = token_store.WordEncoder(str(path)).encode(texts)
+    assert sizes.tolist() == list(map(len, expected))
+    assert ids.tolist() == [i for x in expected for i in x]
+
+
 @pytest.mark.parametrize("length", [16, 2048])
 def test_files_give_back_what_was_written(spark, tmp_path, tokenizer_path, length):
     rng = random.Random(9)
