@@ -41,6 +41,7 @@ START = 100  # bytes that the first sort of places compares
 ROWS_AT_ONCE = 50_000  # that a task hands on together
 PARTS = (32, 8)  # strings in the parts of a stretch, powers of two
 PIECE = 1 << 20  # bytes of a text that are looked at together
+JOINED = 1 << 16  # bytes of short texts that are
 BITS = 1 << 24  # of the bitmaps that thin out rows, at least
 GROWN = 4  # times as many at most
 KEY_BITS = 8  # that a key has in them, as far as that goes
@@ -87,15 +88,21 @@ class Sampler:
         low = np.minimum(low[:count], low[rest : rest + count])
         return (low & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
 
-    def stretches(self, text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
-        """First strings of neighbours with one least gram, how many they are, how far on the gram is, its hash."""
-        for begin in range(0, len(text) - self.width + 1, PIECE):
-            data = np.frombuffer(text, np.uint8, min(PIECE + self.width - 1, len(text) - begin), begin)
-            hashes = self.hashes(data)
-            places = self.least(hashes)
-            first = np.flatnonzero(np.diff(places, prepend=-1))
-            count = np.diff(first, append=len(places))
-            yield first + begin, count, places[first] - first, hashes[places[first]].view(np.int64)
+    def stretches(self, joined: bytes, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """First strings of neighbours with one least gram, how many they are, how far on the gram is, its hash.
+
+        ``joined`` is several pieces in a row, each of ``width`` bytes or more; no string is of two.
+        """
+        hashes = self.hashes(np.frombuffer(joined, np.uint8))
+        places = self.least(hashes)
+        whole = np.ones(len(places), dtype=bool)
+        for end in ends[:-1].tolist():
+            whole[end - self.width + 1 : end] = False
+        strings = np.flatnonzero(whole)
+        places = places[strings]
+        first = np.flatnonzero(np.diff(places, prepend=-1))
+        count, begins, grams = np.diff(first, append=len(places)), strings[first], places[first]
+        return begins, count, grams - begins, hashes[grams].view(np.int64)
 
 
 def utf8(text: str | None) -> bytes:
@@ -111,51 +118,81 @@ def fingerprints(text: bytes, begins, ends) -> np.ndarray:
 
 def hashed(text: bytes, begins: list[int], ends: list[int]) -> np.ndarray:
     view, digest = memoryview(text), xxhash.xxh3_64_intdigest
-    found = [digest(view[begin:end]) for begin, end in zip(begins, ends, strict=True)]
-    return np.array(found, dtype=np.uint64).view(np.int64)
+    found = (digest(view[begin:end]) for begin, end in zip(begins, ends, strict=True))
+    return np.fromiter(found, dtype=np.uint64, count=len(begins)).view(np.int64)
 
 
-def stretches_of(width: int, gram: int):
-    columns = [*PLACE, "count", "reach", "core", "k2"]
+def grouped_frames(columns: tuple[str, ...], find: Callable[[Iterator[pd.DataFrame]], Iterator[tuple]]):
+    """A frame of many rows at a time from a function that gives columns of a few rows each time."""
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler, held, rows = Sampler(width, gram), [], 0
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
 
         def framed() -> pd.DataFrame:
-            found = pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*held, strict=True)), strict=True)))
-            found.insert(5, "known", False)
-            return found
+            return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*held, strict=True)), strict=True)))
 
-        for batch in batches:
-            for doc, text_key, text in zip(batch["doc"], batch["text_key"], batch["text"], strict=True):
-                data = utf8(text)
-                for first, count, reach, grams in sampler.stretches(data):
-                    content = hashed(data, first.tolist(), (first + count - 1 + width).tolist())
-                    held.append((np.full(len(first), doc), np.full(len(first), text_key), first, count, reach, grams, content))
-                    rows += len(first)
-                if rows >= ROWS_AT_ONCE:
-                    yield framed()
-                    held, rows = [], 0
+        for found in find(batches):
+            held.append(found)
+            rows += len(found[0])
+            if rows >= ROWS_AT_ONCE:
+                yield framed()
+                held, rows = [], 0
         if held:
             yield framed()
 
-    return find
+    return run
+
+
+def pieces_of(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Texts' pieces with where they begin; the strings that begin in a piece are in it."""
+    for batch in batches:
+        for doc, text_key, text in zip(batch["doc"], batch["text_key"], batch["text"], strict=True):
+            data = utf8(text)
+            for begin in range(0, len(data) - width + 1, PIECE):
+                yield doc, text_key, begin, data[begin : begin + PIECE + width - 1]
+
+
+def together(pieces: Iterator[tuple], most: int) -> Iterator[list[tuple]]:
+    """Pieces in a row of at most so many bytes together, one at least."""
+    held, size = [], 0
+    for piece in pieces:
+        if held and size + len(piece[-1]) > most:
+            yield held
+            held, size = [], 0
+        held.append(piece)
+        size += len(piece[-1])
+    if held:
+        yield held
+
+
+def stretches_of(width: int, gram: int):
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        sampler = Sampler(width, gram)
+        for some in together(pieces_of(batches, width), min(JOINED, PIECE)):
+            docs, text_keys, offsets, data = zip(*some, strict=True)
+            joined, ends = b"".join(data), np.cumsum(list(map(len, data)))
+            begins, count, reach, grams = sampler.stretches(joined, ends)
+            content = hashed(joined, begins.tolist(), (begins + count - 1 + width).tolist())
+            piece = np.searchsorted(ends, begins, side="right")
+            at = begins + (np.array(offsets) - ends + list(map(len, data)))[piece]
+            doc, text_key = np.array(docs, np.int64)[piece], np.array(text_keys, np.int64)[piece]
+            yield doc, text_key, at, count, reach, np.zeros(len(at), dtype=bool), grams, content
+
+    return grouped_frames((*PLACE, "count", "reach", "known", "core", "k2"), find)
 
 
 def with_content(width: int):
     """The bytes of the stretches that are asked of a text, a row for each."""
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
-            for doc, text_key, text, asked in zip(*(batch[c] for c in (*TEXT, "text", "asked")), strict=True):
-                data = utf8(text)
-                rows = [
-                    (doc, text_key, r["at"], r["count"], r["reach"], r["known"], data[r["at"] : r["at"] + r["count"] - 1 + width])
-                    for r in asked
-                ]
-                yield pd.DataFrame(rows, columns=[*PLACE, "count", "reach", "known", "content"])
+            columns = (*TEXT, "text", "at", "count", "reach", "known")
+            for doc, text_key, text, at, count, reach, known in zip(*(batch[c] for c in columns), strict=True):
+                data, content = utf8(text), np.empty(len(at), dtype=object)
+                content[:] = [data[b:e] for b, e in zip(at.tolist(), (at + count - 1 + width).tolist(), strict=True)]
+                yield np.full(len(at), doc), np.full(len(at), text_key), at, count, reach, known, content
 
-    return find
+    return grouped_frames((*PLACE, "count", "reach", "known", "content"), find)
 
 
 def parts_of(width: int, size: int):
@@ -219,23 +256,6 @@ def winnowed(rows: DataFrame, width: int, name: str, tables: Tables) -> tuple[Da
     return settled
 
 
-def grouped_frames(find):
-    """Fewer and larger frames from a function that makes a small one for each text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, rows = [], 0
-        for frame in find(batches):
-            held.append(frame)
-            rows += len(frame)
-            if rows >= ROWS_AT_ONCE:
-                yield pd.concat(held, ignore_index=True)
-                held, rows = [], 0
-        if held:
-            yield pd.concat(held, ignore_index=True)
-
-    return run
-
-
 def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of a sorted part with where their group of equal keys starts in it.
 
@@ -344,14 +364,14 @@ def needed(count: int, steps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
 def places_of(steps: tuple[int, ...]):
     """Places whose first bytes must be ranked, so that all strings asked for can be."""
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
-            for doc, text_key, parts in zip(*(batch[c] for c in (*TEXT, "parts")), strict=True):
+            for doc, text_key, *parts in zip(*(batch[c] for c in (*TEXT, "at", "count", "known", "content")), strict=True):
                 found, prints = [], []
-                for r in parts:
-                    places, last = needed(r["count"], steps)
-                    prints.append(fingerprints(r["content"], places.tolist(), (places + steps[0]).tolist()))
-                    found.append((places + r["at"], last, (places < r["count"]) & (not r["known"])))
+                for begin, count, known, content in zip(*(x.tolist() for x in parts), strict=True):
+                    places, last = needed(count, steps)
+                    prints.append(fingerprints(content, places.tolist(), (places + steps[0]).tolist()))
+                    found.append((places + begin, last, (places < count) & (not known)))
                 every, last, wanted = map(np.concatenate, zip(*found, strict=True))
                 # Parts overlap, and a place is one row.
                 at, first, number = np.unique(every, return_index=True, return_inverse=True)
@@ -359,11 +379,9 @@ def places_of(steps: tuple[int, ...]):
                 np.maximum.at(until, number, last)
                 np.logical_or.at(asked, number, wanted)
                 keys = np.concatenate(prints)[first]
-                yield pd.DataFrame(
-                    {"doc": doc, "text_key": text_key, "at": at, "last": until, "wanted": asked, "k1": keys[:, 0], "k2": keys[:, 1]}
-                )
+                yield np.full(len(at), doc), np.full(len(at), text_key), at, until, asked, keys[:, 0], keys[:, 1]
 
-    return find
+    return grouped_frames((*PLACE, "last", "wanted", "k1", "k2"), find)
 
 
 def find_repeats(
@@ -395,7 +413,8 @@ def find_repeats(
     bits = roomy(asked.count())
     near = texts.filter(is_set(bitmap(asked, "text_key", bits).scalar(), F.col("text_key"), bits))
     once = near.groupBy(*TEXT).agg(F.first("text").alias("text")).join(unbounded(asked), list(TEXT))
-    left, name = once.mapInPandas(grouped_frames(with_content(width)), f"{kept}, content binary"), "content"
+    once = once.select(*TEXT, "text", "asked.at", "asked.count", "asked.reach", "asked.known")
+    left, name = once.mapInPandas(with_content(width), f"{kept}, content binary"), "content"
     left = tables.settle(left, name)
     tables.drop("asked")
     for size in PARTS:
@@ -413,8 +432,8 @@ def doubled(left: DataFrame, width: int, start: int, name: str, tables: Tables)
     steps = lengths(width, start)
     parts = left.groupBy(*TEXT).agg(F.collect_list(F.struct("at", "count", "known", "content")).alias("parts"))
     places = tables.settle(
-        parts.mapInPandas(
-            grouped_frames(places_of(steps)),
+        parts.select(*TEXT, "parts.at", "parts.count", "parts.known", "parts.content").mapInPandas(
+            places_of(steps),
             "doc bigint, text_key bigint, at bigint, last int, wanted boolean, k1 bigint, k2 bigint",
         ),
         "places",
@@ -467,9 +486,10 @@ def removed(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[dict], byte
 def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
+        columns = ("doc_id", "text", "begins", "ends")
+        for doc_id, text, begins, ends in zip(*(batch[c] for c in columns), strict=True):
             data = utf8(text)
-            spans = [(s["begin"], s["end"]) for s in spans] if spans is not None else []
+            spans = list(zip(begins.tolist(), ends.tolist(), strict=True)) if begins is not None else []
             rows.append((doc_id, len(data), *removed(data, spans)))
         yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "removed", "kept"]).astype({"doc_id": "Int64"})
 
@@ -515,5 +535,7 @@ def dedup(
         F.array().cast(run).alias("removed"),
         F.col("text").cast("binary").alias("kept"),
     )
-    parted = texts.filter(likely).join(unbounded(spans), list(TEXT), "left").select("doc_id", "text", "spans")
+    parted = texts.filter(likely).join(unbounded(spans), list(TEXT), "left").select(
+        "doc_id", "text", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends")
+    )
     return whole.union(parted.mapInPandas(cut, f"doc_id bigint, n_bytes bigint, removed {run}, kept binary"))

@@ -113,6 +113,26 @@ def test_the_least_gram_is_that_of_each_string():
         assert (sampler.least(hashes) == windows.argmin(axis=1) + np.arange(len(windows))).all()
 
 
+def test_short_texts_are_looked_at_together_and_keep_their_own_stretches(monkeypatch):
+    rng, width, gram, calls = random.Random(8), 12, 4, []
+    least = suffix_dedup.Sampler.least
+    monkeypatch.setattr(suffix_dedup.Sampler, "least", lambda self, hashes: calls.append(len(hashes)) or least(self, hashes))
+    texts = ["".join(rng.choices("abé", k=rng.randrange(width, 6 * width))) for _ in range(60)] + ["a" * width, "b" * 900]
+    batch = pd.DataFrame({"doc": range(62), "text_key": range(100, 162), "text": texts})
+    (found,) = suffix_dedup.stretches_of(width, gram)(iter([batch]))
+    assert len(calls) == 1
+    alone = [frame for i in range(62) for frame in suffix_dedup.stretches_of(width, gram)(iter([batch[i : i + 1]]))]
+    pd.testing.assert_frame_equal(found, pd.concat(alone, ignore_index=True))
+    for doc, rows in found.groupby("doc"):
+        places = [p for at, n in zip(rows["at"], rows["count"], strict=True) for p in range(at, at + n)]
+        assert places == list(range(len(texts[doc].encode()) - width + 1))
+    asked = found.groupby(["doc", "text_key"])[["at", "count", "reach", "known"]].agg(list).map(np.array).reset_index()
+    (content,) = suffix_dedup.with_content(width)(iter([asked.assign(text=texts)]))
+    for r in content.itertuples():
+        assert r.content == texts[r.doc].encode()[r.at : r.at + r.count - 1 + width]
+    pd.testing.assert_frame_equal(content.drop(columns="content"), found.drop(columns=["core", "k2"]))
+
+
 def test_parts_have_every_string_once_and_a_core_that_all_share():
     rng = random.Random(6)
     for _ in range(300):
