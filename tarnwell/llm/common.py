@@ -1,11 +1,13 @@
-"""What the operators share: hold-out folds, bounded samples and shared scratch space."""
+"""What the operators share: hold-out folds, bounded samples, workers' memory and shared scratch space."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,28 @@ def in_small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+KEPT: dict[tuple, Any] = {}  # by this worker process, from task to task
+
+
+def kept(make: Callable[[str], Any], path: str) -> Any:
+    """``make(path)``, which a worker process keeps for its next task; one such thing at a time."""
+    if (make, path) not in KEPT:
+        let_go()
+        KEPT[make, path] = make(path)
+    return KEPT[make, path]
+
+
+def let_go() -> None:
+    """Forget what tasks before have kept in this worker process, and give the memory back.
+
+    For tasks that need none of it. Spark hands a worker on from stage to stage, and a
+    tokenizer with the words it remembers would take room beside all that follow.
+    """
+    if KEPT:
+        KEPT.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def in_turns(texts: Sequence[str | None], most: int) -> Iterator[slice]:
     """Slices of ``texts`` of about ``most`` characters, one text at least."""
     begin, held = 0, 0

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import bitmap, in_small_batches, is_set, settle
+from tarnwell.llm.common import bitmap, in_small_batches, is_set, let_go, settle
 from tarnwell.llm.components import connected_components
 
 WIDTH = 4  # words in a shingle
@@ -135,6 +135,7 @@ def cells_of(elements: np.ndarray, count: int) -> list[np.ndarray]:
 def sketch_counter(width: int, count_of_cells: int, in_row: int):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sets of a task that have an element of each cell (kind 0), and how many are small (kind 1)."""
+        let_go()
         sketch, seen = np.zeros((2, count_of_cells), dtype=np.int64), set()
         small = np.zeros(MOST_SMALL + 1, dtype=np.int64)
         for batch in batches:
@@ -225,6 +226,7 @@ def linked_in_block(percent: int):
     """Compares two blocks of sets; gives links for a forest and what they add up to."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         left, right = rows[rows["on_left"]], rows[rows["on_right"]]
         shared = shared_counts(left["tokens"].tolist(), right["tokens"].tolist())
         a, b = left["size"].to_numpy(), right["size"].to_numpy()
@@ -309,6 +311,7 @@ def link(
     shared = session.sparkContext.broadcast(sketch)  # of a fixed size
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         row, seen = TaskContext.get().partitionId() << 36, set()
         for batch in batches:
             rows = []
@@ -459,6 +462,7 @@ def sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     found = once.join(unbounded(wanted), ["row_key", "text_key"]).select("cid", "size", "weight", "text")
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for batch in batches:
             tokens = [shingles(text, width).view(np.int64) for text in batch["text"]]
             yield batch.drop(columns="text").assign(tokens=tokens)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import fold, hash_sample, in_small_batches, in_turns, settle
+from tarnwell.llm.common import fold, hash_sample, in_small_batches, in_turns, let_go, settle
 
 RUNS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -53,6 +53,7 @@ def grams_of(word: str, size: int) -> list[str]:
 
 def count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts per language of words (size 0) and n-grams, one row each for some texts."""
+    let_go()
     for batch in batches:
         for some in in_turns(batch["text"].tolist(), CHARACTERS_AT_ONCE):
             counts: Counter = Counter()
@@ -263,6 +264,7 @@ def identify(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         known = shared.value
         for batch in batches:
             for some in in_turns(batch["text"].tolist(), CHARACTERS_AT_ONCE):
@@ -300,6 +302,7 @@ def keep_identified(
 
     @F.pandas_udf("boolean")
     def identified(texts: pd.Series) -> pd.Series:
+        let_go()
         found = []
         for some in in_turns(texts.tolist(), CHARACTERS_AT_ONCE):
             found += shared.value.with_evidence(texts.iloc[some].tolist())

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import in_small_batches
+from tarnwell.llm.common import in_small_batches, let_go
 
 KINDS = ("assign", "access", "hex", "jwt", "der_key", "ssh_key")
 #: The base patterns, and what must follow for a match to count.
@@ -306,6 +306,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    let_go()
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -356,6 +357,7 @@ def blank_secrets(docs: DataFrame, text_column: str = "text", length_column: str
 
     @F.pandas_udf("string")
     def blank(texts: pd.Series) -> pd.Series:
+        let_go()
         return texts.map(lambda text: text if text is None else blanked(text))
 
     result = in_small_batches(docs).withColumn(text_column, blank(F.col(text_column)))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-from tarnwell.llm.common import in_small_batches, in_turns, scratch
+from tarnwell.llm.common import in_small_batches, in_turns, kept, scratch
 
 END_ID = 1
 BEYOND_LATIN = re.compile("[^\0-\u02ff]")
@@ -281,22 +281,12 @@ def parted(word: bytes) -> tuple[bytes, ...]:
     return (body, word[len(body) :]) if letter else (word,)
 
 
-ENCODERS: dict[str, WordEncoder] = {}  # of this worker process
-
-
 def encoder_at(path: str) -> WordEncoder:
-    if path not in ENCODERS:
-        ENCODERS[path] = WordEncoder(path)
-    return ENCODERS[path]
-
-
-COUNTERS: dict[str, LengthCounter] = {}  # as well
+    return kept(WordEncoder, path)
 
 
 def counter_at(path: str) -> LengthCounter:
-    if path not in COUNTERS:
-        COUNTERS[path] = LengthCounter(path)
-    return COUNTERS[path]
+    return kept(LengthCounter, path)
 
 
 class SequenceFile:

@@ -16,7 +16,18 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
-from tarnwell.llm import components, decontamination, jaccard_join, packing, ppm, token_store, voronoi_topk
+from tarnwell.llm import (
+    common,
+    components,
+    decontamination,
+    jaccard_join,
+    language_id,
+    packing,
+    ppm,
+    secret_scan,
+    token_store,
+    voronoi_topk,
+)
 from tarnwell.llm.voronoi_topk import top_k
 
 DOCS = "doc_id bigint, text string, size int, `key` string"
@@ -677,6 +688,30 @@ def test_lengths_of_plain_words_are_asked_of_the_model_alone_and_once_a_worker(m
     assert asked == []
 
 
+@pytest.mark.parametrize(
+    "task",
+    [
+        language_id.count_batches,
+        jaccard_join.sketch_counter(5, 64, 8),
+        secret_scan.scan,
+        lambda _: [token_store.encoder_at(public_tokenizers_path())],
+    ],
+)
+def test_words_that_a_worker_remembers_go_when_it_gets_other_work(task):
+    counter = token_store.counter_at(public_tokenizers_path())
+    counter.lengths(["some words to remember"])
+    list(task(iter([])))
+    assert all(value is not counter for value in common.KEPT.values())
+    assert token_store.counter_at(public_tokenizers_path()) is not counter
+    assert len(common.KEPT) == 1
+
+
+def public_tokenizers_path():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def test_an_empty_store(spark, tmp_path, tokenizer_path):
     index = token_store.write_store(table(spark, []).limit(0), tokenizer_path, f"file://{tmp_path}/none")
     assert token_store.read_store(index).collect() == []
